@@ -218,8 +218,8 @@ WORDS_SQL = "string_split_regex({t}, '[^\\w\\p{{L}}\\p{{N}}]+')"
 SQL["docm"] = f"""docm AS (
   SELECT doc_id, substr(sha256(src || chr(10) || doc_id), 1, 24) AS mention_id, *
     EXCLUDE (doc_id),
-    list_filter(list_distinct(words), w -> w IN ('the', 'of', 'und', 'la', 'que')) AS terms
-  FROM (
+    list_filter(hits, lambda w, i: list_position(hits, w) = i) AS terms
+  FROM (SELECT *, list_filter(words, lambda w: w IN ('the', 'of', 'und', 'la', 'que')) AS hits FROM (
     SELECT d.doc_id, d.source AS src, d.lang AS brand, d.text, {norm_sql('d.text')} AS norm,
       {WORDS_SQL.format(t=norm_sql('d.text'))} AS words,
       CASE WHEN d.doc_id % 4 = 0 THEN 'trustpilot' ELSE 'reddit' END AS source,
@@ -235,7 +235,7 @@ SQL["docm"] = f"""docm AS (
       CASE d.doc_id % 5 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' WHEN 2 THEN 'irrelevant'
         ELSE 'neutral' END AS t_label,
       0.7 + (d.doc_id % 20) / 100.0::DOUBLE AS t_conf
-    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id))"""
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)))"""
 # The deterministic signal of each document.
 SQL["sig"] = f"""sig AS (
   SELECT *, CASE WHEN rated THEN 'rating' WHEN up + down > 0 THEN 'lexicon' ELSE 'none' END AS s_kind,
@@ -243,8 +243,8 @@ SQL["sig"] = f"""sig AS (
         ELSE 'neutral' END
       WHEN up > down THEN 'positive' WHEN up < down THEN 'negative' END AS s_label
   FROM (SELECT *, source = 'trustpilot' AND rating IS NOT NULL AS rated,
-      len(list_filter(words, w -> w IN {DOC_LEX_POS})) AS up,
-      len(list_filter(words, w -> w IN {DOC_LEX_NEG})) AS down
+      len(list_filter(words, lambda w: w IN {DOC_LEX_POS})) AS up,
+      len(list_filter(words, lambda w: w IN {DOC_LEX_NEG})) AS down
     FROM docm))"""
 
 
@@ -362,8 +362,8 @@ SQL["vec"] = """vec0 AS (
   SELECT vec_id, lpad(vec_id::VARCHAR, 6, '0') AS mention_id, 'brand' || (vec_id % 4) AS brand,
     (vec_id // 3)::VARCHAR AS cluster_key,
     CASE vec_id % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'irrelevant' END AS label,
-    list_transform(embedding[1:4], x -> x::DOUBLE) AS raw
+    list_transform(embedding[1:4], lambda x: x::DOUBLE) AS raw
   FROM embeddings),
 vec AS (
-  SELECT *, list_transform(raw, x -> x / CASE WHEN list_dot_product(raw, raw) = 0 THEN 1.0
+  SELECT *, list_transform(raw, lambda x: x / CASE WHEN list_dot_product(raw, raw) = 0 THEN 1.0
     ELSE sqrt(list_dot_product(raw, raw)) END) AS u FROM vec0)"""
