@@ -1,6 +1,6 @@
 """Every registered query, and its checking SQL where there is one."""
 
 from earshot.catalog.registry import ORACLES, QUERIES
-from earshot.catalog import label_queries, stats_queries, text_queries  # noqa: F401
+from earshot.catalog import label_queries, ledger_queries, stats_queries, text_queries  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

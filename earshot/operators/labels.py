@@ -156,6 +156,8 @@ def label_mentions(
         "mention_id", "brand", "published_at", "signal", "c_status", "c_label", "c_about_brand",
         "c_confidence", "c_rationale", "c_cached", "matched_terms",
     ).withColumn("policy", is_policy_row())
+    # Read several times below and free of texts: keep it, so texts are scored once.
+    narrow = narrow.persist()
     plan = tiebreak_plan(narrow.filter("policy"), seed).select(
         "mention_id", "brand", "audited", "triggered", "called"
     )
