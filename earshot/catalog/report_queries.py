@@ -272,30 +272,12 @@ def _stream(spark, sf_dir, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-class _Streamed:
-    """The views read through a stream instead of a scan."""
-
-    def __init__(self, spark, sf_dir):
-        self._tables = {n: _stream(spark, sf_dir, n) for n in ("lineitem", "events")}
-
-    def table(self, spark, sf_dir, name):
-        return self._tables[name]
-
-
-def _as_stream(view, spark, sf_dir):
-    whole, V.table = V.table, _Streamed(spark, sf_dir).table
-    try:
-        return view(spark, sf_dir)
-    finally:
-        V.table = whole
-
-
 @query(
     "s01_ledger_stream",
     V.with_("log", "ledger") + "SELECT local_seq, run_id, input_digest, status, cost_source FROM ledger",
 )
 def ledger_stream(spark, sf_dir):
-    log = _as_stream(V.runs_log, spark, sf_dir)
+    log = V.runs_log(spark, sf_dir, _stream(spark, sf_dir, "lineitem"))
     path = fresh_path(spark, "ledger")
     streams.start_ledger_stream(log, f"{path}/state", f"{path}/progress").awaitTermination()
     return streams.ledger_state(spark, f"{path}/state").select(
@@ -311,7 +293,7 @@ WHERE published_at IS NOT NULL AND published_at::DATE + INTERVAL 1 DAY <=
 )
 def daily_stream(spark, sf_dir):
     """Every event arrives twice; days close two days behind the newest one."""
-    once = _as_stream(V.ev_labelled, spark, sf_dir).select(
+    once = V.ev_labelled(spark, sf_dir, events=_stream(spark, sf_dir, "events")).select(
         F.col("event_id").cast("string").alias("native_id"), "url", "brand", "source", "published_at",
         "cluster_key", F.lit("").alias("text"),
     )

@@ -10,14 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.functions import scalars as S
+from earshot.settings import spread
 
 NOW = datetime(2024, 1, 31)
 BRANDS = ("click", "error", "purchase", "signup", "view")
 EVENT_SOURCES = ("reddit", "tiktok", "news", "google_maps")
 
 
+# Long texts: costly per row.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def _cycle(column, values):
@@ -33,8 +39,10 @@ def with_(*views: str) -> str:
 
 
 # -- events as mentions that already carry a label ------------------------------------------------
-def ev_labelled(spark: SparkSession, sf_dir: str, keep: str | None = None) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def ev_labelled(
+    spark: SparkSession, sf_dir: str, keep: str | None = None, events: DataFrame | None = None
+) -> DataFrame:
+    e = table(spark, sf_dir, "events") if events is None else events
     if keep:
         e = e.filter(keep)
     eid = F.col("event_id")
@@ -249,9 +257,10 @@ SQL["sig"] = f"""sig AS (
 
 
 # -- lineitem and orders as run ledger and billing list -------------------------------------------
-def runs_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def runs_log(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """One line of the append-only log per row; later dates are later lines."""
-    li, k = table(spark, sf_dir, "lineitem"), F.col("l_orderkey")
+    li = table(spark, sf_dir, "lineitem") if lineitem is None else lineitem
+    k = F.col("l_orderkey")
     return li.select(
         k.alias("local_seq"),
         F.when(k % 17 != 0, k.cast("string")).alias("run_id"),

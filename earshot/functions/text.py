@@ -26,6 +26,11 @@ def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
 @F.pandas_udf(T.StringType())
 def _fold_unicode(values: pd.Series) -> pd.Series:
     return values.map(
@@ -127,23 +132,24 @@ def normalize_url(url) -> Column:
 def detect_lang(text, normalized: bool = False) -> Column:
     """F07. pt, en, other or unknown, by the share of stop words."""
     base = _col(text) if normalized else normalize(text)
-    words = F.regexp_extract_all(base, F.lit(r"([a-zà-ú]+)"), F.lit(1))
 
-    def hits(stop):
-        table = F.array(*[F.lit(word) for word in stop])
-        return F.size(F.filter(words, lambda word: F.array_contains(table, word)))
+    def hits(words, stop):
+        # A long list of literals becomes a hash set.
+        return F.size(F.filter(words, lambda word: word.isin(*stop)))
 
-    counts = F.struct(
-        F.size(words).alias("n"),
-        hits(word_lists.STOP_PT).alias("pt"),
-        hits(word_lists.STOP_EN).alias("en"),
-    )
+    def count(words):
+        return F.struct(
+            F.size(words).alias("n"),
+            hits(words, word_lists.STOP_PT).alias("pt"),
+            hits(words, word_lists.STOP_EN).alias("en"),
+        )
 
     def decide(c):
         pt = c["pt"] / c["n"] > 0.10
         en = c["en"] / c["n"] > 0.10
         return (
-            F.when(c["n"] < 5, "unknown")
+            F.when(c["n"].isNull(), None)
+            .when(c["n"] < 5, "unknown")
             .when(pt & en & (c["pt"] >= 2 * c["en"]), "pt")
             .when(pt & en & (c["en"] >= 2 * c["pt"]), "en")
             .when(pt & en, "other")
@@ -152,8 +158,8 @@ def detect_lang(text, normalized: bool = False) -> Column:
             .otherwise("other")
         )
 
-    # One-element transform: the counts are computed once and then read several times.
-    return F.when(base.isNotNull(), F.transform(F.array(counts), decide)[0])
+    words = F.regexp_extract_all(base, F.lit(r"([a-zà-ú]+)"), F.lit(1))
+    return let(let(words, count), decide)
 
 
 def match_terms(text, terms: Sequence[str], normalized: bool = False) -> Column:
@@ -196,20 +202,24 @@ def lexicon_score(
     }
     if not table or "" in table:
         raise ValueError("a lexicon needs at least one term, and no empty ones")
-    hits = F.regexp_extract_all(base, F.lit(lexicon_pattern(list(table))), F.lit(1))
-    positive = F.array(*[F.lit(t) for t, p in sorted(table.items()) if p > 0]).cast("array<string>")
-    up = lambda found: F.size(F.filter(found, lambda term: F.array_contains(positive, term)))
+    pattern = F.lit(lexicon_pattern(list(table)))
+    positive = sorted(term for term, polarity in table.items() if polarity > 0)
+    up = lambda found: F.size(F.filter(found, lambda term: term.isin(*positive)))
 
     def scored(found):
-        score = (2 * up(found) - F.size(found)).cast("long")
-        return F.struct(
-            found.alias("hits"),
-            F.size(found).cast("long").alias("n_hits"),
-            score.alias("score"),
-            F.when(score > 0, "positive").when(score < 0, "negative").alias("sign"),
-        )
+        def summed(c):
+            return F.struct(
+                found.alias("hits"),
+                c["n"].alias("n_hits"),
+                c["score"].alias("score"),
+                F.when(c["score"] > 0, "positive").when(c["score"] < 0, "negative").alias("sign"),
+            )
+
+        n = F.size(found).cast("long")
+        counts = F.struct(n.alias("n"), (2 * up(found) - n).cast("long").alias("score"))
+        return F.when(found.isNotNull(), let(counts, summed))
 
-    return F.when(base.isNotNull(), F.transform(F.array(hits), scored)[0])
+    return let(F.regexp_extract_all(base, pattern, F.lit(1)), scored)
 
 
 def rating_bucket(rating) -> Column:
@@ -226,14 +236,17 @@ def deterministic_signal(source, rating, text, lexicon=None, normalized: bool =
     """F11. Rating bucket on review sources with a rating, else the sign of the lexicon."""
     source, rating = _col(source), _col(rating)
     rated = source.isin(*config.REVIEW_SOURCES) & rating.isNotNull()
-    score = lexicon_score(text, lexicon, normalized)
-    return F.struct(
-        F.when(rated, "rating")
-        .when(score["n_hits"] > 0, "lexicon")
-        .otherwise("none")
-        .alias("kind"),
-        F.when(rated, rating_bucket(rating)).otherwise(score["sign"]).alias("label"),
-    )
+
+    def signal(score):
+        return F.struct(
+            F.when(rated, "rating")
+            .when(score["n_hits"] > 0, "lexicon")
+            .otherwise("none")
+            .alias("kind"),
+            F.when(rated, rating_bucket(rating)).otherwise(score["sign"]).alias("label"),
+        )
+
+    return let(lexicon_score(text, lexicon, normalized), signal)
 
 
 def quote(text) -> Column:

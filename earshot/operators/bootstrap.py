@@ -22,7 +22,7 @@ from earshot.functions.scalars import design_effect
 from earshot.operators.frame import CELL
 from earshot.operators.ranking import bucketed_running_total
 
-COUNTER_LIMIT = 200_000_000
+COUNTER_LIMIT = 50_000_000
 KINDS_PER_GROUP = 4096
 ITERATIONS_PER_TASK = 250
 _MAX_GROUPS = 4096

@@ -18,9 +18,22 @@ def _in(period):
     return F.col("period") == period
 
 
+def _kept(make):
+    """Build once per plan and keep: a table with a row per brand, or per brand and source."""
+
+    def once(self) -> DataFrame:
+        return self._once(make.__name__, lambda: make(self))
+
+    once.__doc__ = make.__doc__
+    return once
+
+
 class StatsPlan:
     """All statistics of one session, as lazy DataFrames over shared pre-aggregates.
 
+    Kept while the plan is in use (``close`` drops them): the unit cells, both sets of draws with one
+    row per iteration and cell, and the tables with one row per brand that several results read.
+
     ``labelled`` holds mentions joined with labels, ``brands`` the compared brands in order,
     ``basis`` the sources every brand returned. Draws are made once and read by every estimate.
     """
@@ -41,20 +54,28 @@ class StatsPlan:
         self.rows = R.stats_rows(labelled, now).join(
             brands.select("brand"), "brand", "left_semi"
         )
-        self.cells = R.unit_cells(self.rows)
+        # Kept: a few rows per unit, and every estimate and both resamples start from them.
+        self.cells = R.unit_cells(self.rows).persist()
         self.marked = R.mark_basis(self.cells, basis)
         self._cache: dict[str, DataFrame] = {}
 
     def _once(self, name, make) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = make()
+            self._cache[name] = make().persist()
         return self._cache[name]
 
+    def close(self) -> None:
+        """Drop what was kept."""
+        for kept in (self.cells, *self._cache.values()):
+            kept.unpersist()
+        self._cache.clear()
+
     # -- points ---------------------------------------------------------------------------------
     def counts(self) -> DataFrame:
         """A05-A07 per brand, basis sources and all sources."""
         return self._once("counts", lambda: R.brand_counts(self.marked, self.brands))
 
+    @_kept
     def share_points(self) -> DataFrame:
         """A07. Share over basis sources; brands below the minimums stay in the denominator."""
         everyone = Window.partitionBy()
@@ -85,6 +106,7 @@ class StatsPlan:
             )
         )
 
+    @_kept
     def net_points(self) -> DataFrame:
         """A03, A08, A09. Polarity counts and net over all sources, undated rows included."""
         n, confirmed = F.col("n"), F.col("confirmed")
@@ -113,6 +135,7 @@ class StatsPlan:
             R.below_minimum("net", "all", True).alias("wow_detail"),
         )
 
+    @_kept
     def source_points(self) -> DataFrame:
         """A04, A10. Every brand with every basis source, zero rows included."""
         per_unit = self.cells.groupBy("brand", "source", "cluster_key").agg(
@@ -196,6 +219,7 @@ class StatsPlan:
         """B04, B05. Net and its change, full set and confirmed only, per iteration and brand."""
         return self._net_draws(self.cluster_draws())
 
+    @_kept
     def net_intervals(self) -> DataFrame:
         """A20, A21, F35 per brand."""
         cluster = self.net_draws().groupBy("brand").agg(
@@ -219,6 +243,7 @@ class StatsPlan:
             ),
         )
 
+    @_kept
     def share_intervals(self) -> DataFrame:
         draws = self.share_draws().groupBy("brand").agg(
             B.percentile_interval("share").alias("ci"),
@@ -229,6 +254,7 @@ class StatsPlan:
             "brand", *_ends("ci", "ci_lo", "ci_hi"), *_ends("dci", "lo", "hi"), "p_raw"
         )
 
+    @_kept
     def source_intervals(self) -> DataFrame:
         """B04 per (brand, source)."""
 

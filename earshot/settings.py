@@ -1,6 +1,6 @@
 """Session settings the plans rely on; everything else is left to the cluster."""
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime (non-static) settings. Skewed join keys are split by the adaptive planner, also where
 # the split costs one more exchange; results never depend on any of these.
@@ -33,3 +33,13 @@ def checkpoint_dir(spark: SparkSession) -> None:
 
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(configured)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give heavy per-row work to every core when the scan is smaller than the cluster.
+
+    A table of a few row groups scans in a few tasks; a large one already has more partitions
+    than cores and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
