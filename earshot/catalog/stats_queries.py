@@ -25,6 +25,8 @@ def plan(spark, sf_dir, keep=None, b=B_CHECK):
         V.EV_BASIS,
         V.NOW,
         b=b,
+        # Replayable draws while they are affordable, so that the SQL can repeat them.
+        method="auto",
     )
 
 
@@ -327,6 +329,15 @@ def iid_bootstrap(spark, sf_dir):
     return d.groupBy("b", "brand", "polarity").agg(F.sum("w").alias("w"))
 
 
+@query("b01_multinomial_bootstrap")
+def multinomial_bootstrap(spark, sf_dir):
+    """Live number of resamples, drawn over kinds of units."""
+    p = plan(spark, sf_dir, b=config.B_LIVE)
+    p.method = "multinomial"
+    return p.net_intervals().join(p.share_intervals().select("brand", "ci_lo", "ci_hi").toDF(
+        "brand", "share_lo", "share_hi"), "brand")
+
+
 _SHARE_DRAWS = """, sd AS (SELECT b, brand, coalesce(f, 0) AS f, coalesce(c, 0) AS c, coalesce(p, 0) AS p
   FROM (SELECT b, brand FROM range(200) t(b), (SELECT DISTINCT brand FROM ev))
   LEFT JOIN (SELECT b, brand, sum(w) AS f, sum(w) FILTER (period = 'current') AS c,

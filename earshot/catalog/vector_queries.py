@@ -177,7 +177,7 @@ SELECT brand, cid, round(quantile_cont(net, 0.025), 9) AS ci_lo,
   round(quantile_cont(net, 0.975), 9) AS ci_hi FROM nt GROUP BY ALL""",
 )
 def topic_intervals(spark, sf_dir):
-    got = T.topic_intervals(T.unit_counts(members(spark, sf_dir)), b=200)
+    got = T.topic_intervals(T.unit_counts(members(spark, sf_dir)), b=200, method="auto")
     return got.select("brand", "cid", *[F.round(c, 9).alias(c) for c in ("ci_lo", "ci_hi")])
 
 

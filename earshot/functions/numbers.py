@@ -13,8 +13,12 @@ _HEX24 = r"(?<![0-9a-zA-Z])[0-9a-f]{24}(?![0-9a-zA-Z])"
 _ISO = r"(?U)\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?Z?)?\b"
 # Groups: sign, dollar, digits, fraction, percent; then the variant that knows the word "minus".
 _AMOUNT = r"(\$)?([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(\.[0-9]+)?\s?"
-_WRITTEN = r"(?iU)(?<![\w.])([-−–])?" + _AMOUNT + r"(%|percent\b|per\s?cent\b|pct\b)?"
-_SPOKEN = r"(?iU)(\bminus\s+|(?<![0-9.])[-−–])?" + _AMOUNT + r"(%|(?:percent|per\s?cent|pct)\b)?"
+_WRITTEN = r"((?<![\w.])(?:[-−–])?" + _AMOUNT + r"(?:%|percent\b|per\s?cent\b|pct\b)?)"
+_SPOKEN = (
+    r"((?:\bminus\s+|(?<![0-9.])[-−–])?" + _AMOUNT + r"(?:%|(?:percent|per\s?cent|pct)\b)?)"
+)
+# The parts of one number already found.
+_PARTS = r"(?iU)^(minus\s+|[-−–])?(?:\$)?([0-9,]+)(\.[0-9]+)?\s?(\D.*)?$"
 
 
 def clean_for_numbers(text) -> Column:
@@ -30,24 +34,20 @@ def extract_numbers(text, spoken: bool = False) -> Column:
 
     ``spoken`` reads "minus 3" as a sign, as narration texts write it.
     """
-    text = _col(text)
-    pattern = F.lit(_SPOKEN if spoken else _WRITTEN)
-    groups = [F.regexp_extract_all(text, pattern, F.lit(i)) for i in range(6)]
-    zipped = F.arrays_zip(
-        *[g.alias(n) for g, n in zip(groups, ("raw", "sign", "dollar", "digits", "frac", "pct"))]
-    )
+    pattern = F.lit("(?iU)" + (_SPOKEN if spoken else _WRITTEN))
 
-    def token(m):
-        plain = F.concat(F.replace(m["digits"], F.lit(","), F.lit("")), m["frac"])
-        value = plain.try_cast(VALUE_TYPE)
+    def token(raw):
+        frac = F.regexp_extract(raw, _PARTS, 3)
+        whole = F.replace(F.regexp_extract(raw, _PARTS, 2), F.lit(","), F.lit(""))
+        value = F.concat(whole, frac).try_cast(VALUE_TYPE)
         return F.struct(
-            F.regexp_replace(m["raw"], r"(?U)^\s+|\s+$", "").alias("text"),
-            F.when(m["sign"] != "", -value).otherwise(value).alias("value"),
-            (m["pct"] != "").alias("percent"),
-            F.greatest(F.char_length(m["frac"]) - 1, F.lit(0)).alias("decimals"),
+            F.regexp_replace(raw, r"(?U)^\s+|\s+$", "").alias("text"),
+            F.when(F.regexp_extract(raw, _PARTS, 1) != "", -value).otherwise(value).alias("value"),
+            (F.regexp_extract(raw, _PARTS, 4) != "").alias("percent"),
+            F.greatest(F.char_length(frac) - 1, F.lit(0)).alias("decimals"),
         )
 
-    return F.transform(zipped, token)
+    return F.transform(F.regexp_extract_all(_col(text), pattern, F.lit(1)), token)
 
 
 def match_candidates(token: Column) -> Column:

@@ -95,46 +95,35 @@ def number_checks(
     tokens = answers.select(
         "answer_id", *scope, F.posexplode(N.extract_numbers(source, spoken)).alias("position", "token")
     )
+    # One row per distinct number of an answer; kept, since both joins and the result read it.
+    tokens = tokens.groupBy(
+        "answer_id", *scope, F.col("token.text").alias("number")
+    ).agg(F.min("position").alias("position"), F.first("token").alias("token")).persist()
     options = tokens.select(
-        "answer_id", *scope, F.col("token.text").alias("number"),
-        F.explode(N.match_candidates(F.col("token"))).alias("o"),
-    ).select("answer_id", *scope, "number", "o.value", "o.places").distinct()
+        "answer_id", *scope, "number", F.explode(N.match_candidates(F.col("token"))).alias("o"),
+    ).select("answer_id", *scope, "number", "o.value", "o.places")
     wanted = options.select(*scope, "value", "places").distinct()
-    places = wanted.filter("places is not null").select("places").distinct()
     values = available.select(*scope, "value").distinct()
     exact = wanted.filter("places is null").join(values, [*scope, "value"], "left_semi")
     # Round every available value only to the places somebody wrote: at most MAX_PLACES + 1 ways.
-    asked = [
-        row["places"]
-        for row in places.filter(F.col("places") <= N.MAX_PLACES).collect()
-    ]
+    longest = tokens.agg(F.max("token.decimals")).first()[0] or 0
+    asked = range(0, min(longest + 2, N.MAX_PLACES) + 1)
     rounded_wanted = wanted.filter("places is not null")
-    if asked:
-        rounded = values.select(
-            *scope,
-            F.explode(
-                F.array(*[
-                    F.struct(
-                        F.round("value", p).cast(N.VALUE_TYPE).alias("value"),
-                        F.lit(p).alias("places"),
-                    )
-                    for p in sorted(asked)
-                ])
-            ).alias("r"),
-        ).select(*scope, "r.value", "r.places").distinct()
-        near = rounded_wanted.join(rounded, [*scope, "value", "places"], "left_semi")
-    else:
-        near = rounded_wanted.limit(0)
+    to_places = [
+        F.struct(F.round("value", p).cast(N.VALUE_TYPE).alias("value"), F.lit(p).alias("places"))
+        for p in asked
+    ]
+    rounded = values.select(*scope, F.explode(F.array(*to_places)).alias("r")).select(
+        *scope, "r.value", "r.places"
+    )
+    near = rounded_wanted.join(rounded, [*scope, "value", "places"], "left_semi")
     at = F.coalesce("places", F.lit(-1)).alias("_at")
     matched = exact.unionByName(near).select(*scope, "value", at, F.lit(True).alias("_ok"))
     joined = options.withColumn("_at", at).join(matched, [*scope, "value", "_at"], "left")
-    first = tokens.groupBy("answer_id", F.col("token.text").alias("number")).agg(
-        F.min("position").alias("position")
-    )
     verified = joined.groupBy("answer_id", "number").agg(
         F.bool_or(F.coalesce("_ok", F.lit(False))).alias("verified")
     )
-    return first.join(verified, ["answer_id", "number"], "left").select(
+    return tokens.join(verified, ["answer_id", "number"], "left").select(
         "answer_id", "position", "number", F.coalesce("verified", F.lit(False)).alias("verified")
     )
 

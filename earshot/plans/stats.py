@@ -46,7 +46,7 @@ class StatsPlan:
         now: datetime,
         b: int = config.B_LIVE,
         seed: int = config.SEED,
-        method: str = "auto",
+        method: str = "multinomial",
         topic_names: DataFrame | None = None,
     ):
         self.labelled, self.brands, self.basis, self.now = labelled, brands, basis, now
