@@ -41,6 +41,8 @@ def observed(
     normalized: bool = False,
 ) -> DataFrame:
     """Mentions with their classifier answer (``c_``) and the deterministic ``signal``."""
+    if "cached" not in observations.columns:
+        observations = observations.withColumn("cached", F.lit(False))
     joined = mentions.join(prefixed(observations, "c_", ("cached",)), ["mention_id", "brand"])
     return joined.withColumn(
         "signal", X.deterministic_signal("source", "rating", text, lexicon, normalized)
