@@ -46,6 +46,16 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
+def _rows(brand: str, **columns) -> pd.DataFrame:
+    """A result frame with plain object columns for text, whatever the number of rows."""
+    n = len(next(iter(columns.values())))
+    out = {"brand": np.full(n, brand, dtype=object)}
+    for name, values in columns.items():
+        values = np.asarray(values)
+        out[name] = values.astype(object) if values.dtype.kind in "OUT" or n == 0 else values
+    return pd.DataFrame(out)
+
+
 def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.clip(1.0 - left @ right.T, 0.0, 2.0)
 
@@ -75,26 +85,23 @@ def close_pairs(unit: DataFrame, cut: float = config.TOPIC_CUT, block: int = BLO
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = _sides(pdf)
-        names = ["brand", "a", "b", "distance", "copies_a", "copies_b"]
         if left.empty or right.empty:
-            return pd.DataFrame([], columns=names)
+            return _rows("", a=[], b=[], distance=[], copies_a=[], copies_b=[])
         d = _distances(_matrix(left["mean"]), _matrix(right["mean"]))
         i, j = np.nonzero(d <= cut)
-        one, two = left["cid"].to_numpy()[i], right["cid"].to_numpy()[j]
+        one, two = left["cid"].to_numpy(dtype=object)[i], right["cid"].to_numpy(dtype=object)[j]
         same_block = pdf["_p"].iloc[0] == pdf["_q"].iloc[0]
         keep = one < two if same_block else one != two
         i, j, one, two = i[keep], j[keep], one[keep], two[keep]
         swap = one > two
         n_one, n_two = left["size"].to_numpy()[i], right["size"].to_numpy()[j]
-        return pd.DataFrame(
-            {
-                "brand": pdf["brand"].iloc[0],
-                "a": np.where(swap, two, one),
-                "b": np.where(swap, one, two),
-                "distance": d[i, j],
-                "copies_a": np.where(swap, n_two, n_one),
-                "copies_b": np.where(swap, n_one, n_two),
-            }
+        return _rows(
+            pdf["brand"].iloc[0],
+            a=np.where(swap, two, one),
+            b=np.where(swap, one, two),
+            distance=d[i, j],
+            copies_a=np.where(swap, n_two, n_one),
+            copies_b=np.where(swap, n_one, n_two),
         )
 
     rows = distinct_vectors(unit).drop("vkey")
@@ -107,32 +114,26 @@ def _nearest(rows: DataFrame, cut: float, block: int) -> DataFrame:
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = _sides(pdf)
         if left.empty or right.empty:
-            return pd.DataFrame([], columns=["brand", "cid", "d", "a", "b"])
+            return _rows("", cid=[], d=[], a=[], b=[])
         d = _distances(_matrix(left["mean"]), _matrix(right["mean"]))
-        l_ids, r_ids = left["cid"].to_numpy(), right["cid"].to_numpy()
+        l_ids, r_ids = left["cid"].to_numpy(dtype=object), right["cid"].to_numpy(dtype=object)
         same_block = pdf["_p"].iloc[0] == pdf["_q"].iloc[0]
         if same_block:
             np.fill_diagonal(d, np.inf)
         parts = [(l_ids, r_ids[d.argmin(axis=1)], d.min(axis=1))]
         if not same_block:
             parts.append((r_ids, l_ids[d.argmin(axis=0)], d.min(axis=0)))
-        out = []
-        for own, other, dist in parts:
-            near = dist <= cut
-            own, other, dist = own[near], other[near], dist[near]
-            lower = own < other
-            out.append(
-                pd.DataFrame(
-                    {
-                        "brand": pdf["brand"].iloc[0],
-                        "cid": own,
-                        "d": dist,
-                        "a": np.where(lower, own, other),
-                        "b": np.where(lower, other, own),
-                    }
-                )
-            )
-        return pd.concat(out, ignore_index=True)
+        own, other, dist = (np.concatenate(side) for side in zip(*parts))
+        near = dist <= cut
+        own, other, dist = own[near], other[near], dist[near]
+        lower = own < other
+        return _rows(
+            pdf["brand"].iloc[0],
+            cid=own,
+            d=dist,
+            a=np.where(lower, own, other),
+            b=np.where(lower, other, own),
+        )
 
     found = _block_pairs(rows, block).groupBy("brand", "_p", "_q").applyInPandas(best, _NEAREST)
     return (
@@ -147,7 +148,7 @@ def _merge_in_task(cut: float):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cid", ignore_index=True)
-        names, size = pdf["cid"].to_numpy(), pdf["size"].to_numpy(dtype=np.float64)
+        names, size = pdf["cid"].to_numpy(dtype=object), pdf["size"].to_numpy(dtype=np.float64)
         mean = _matrix(pdf["mean"])
         active = np.arange(len(names))
         children, parents = [], []
@@ -168,7 +169,7 @@ def _merge_in_task(cut: float):
             parents.extend(names[a])
             gone = set(b.tolist())
             active = np.array([x for x in active[inside] if x not in gone], dtype=np.int64)
-        return pd.DataFrame({"brand": pdf["brand"].iloc[0], "child": children, "parent": parents})
+        return _rows(pdf["brand"].iloc[0], child=children, parent=parents)
 
     return run
 
@@ -301,7 +302,7 @@ def cosine_top_k_many(vectors: DataFrame, questions: DataFrame, k: int = config.
         asked = questions.filter(place == at).select("question_id", "unit").collect()
         if not asked:
             continue
-        ids = np.array([row["question_id"] for row in asked])
+        ids = np.array([row["question_id"] for row in asked], dtype=object)
         matrix = np.array([row["unit"] for row in asked], dtype=np.float64)
 
         def rank(frames, ids=ids, matrix=matrix):
@@ -311,7 +312,7 @@ def cosine_top_k_many(vectors: DataFrame, questions: DataFrame, k: int = config.
                 pdf = pdf.sort_values("mention_id", ignore_index=True)
                 scores = _matrix(pdf["unit"]) @ matrix.T
                 order = np.argsort(-scores, axis=0, kind="stable")[:k]
-                names = pdf["mention_id"].to_numpy()
+                names = pdf["mention_id"].to_numpy(dtype=object)
                 yield pd.DataFrame(
                     {
                         "question_id": np.tile(ids, len(order)),

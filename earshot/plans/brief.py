@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot import config
+from earshot.functions import scalars as S
 from earshot.operators import counts, dedup, events, frame, labels, ledger, sets, topics
 from earshot.plans.stats import StatsPlan
+from earshot.settings import checkpoint_dir
 from earshot.sources import normalise, payloads
 
 
@@ -37,23 +39,30 @@ class Inputs:
 
 
 def run(spark: SparkSession, x: Inputs, b: int = config.B_LIVE, seed: int = config.SEED) -> dict[str, DataFrame]:
-    """Every table of the brief, lazily. Labelled mentions are kept, since most tables read them."""
+    """Every table of the brief.
+
+    The stages that many tables read (parsed items, deduplicated mentions, labels, topics) are
+    checkpointed: written once to the shared folder, which also cuts the plan behind them.
+    """
+    checkpoint_dir(spark)
     items = payloads.payload_items(x.runs)
-    parsed = normalise.parse_all(items, x.terms)
+    parsed = normalise.parse_all(items, x.terms, x.sources).checkpoint()
     fetched = normalise.mentions(parsed)
-    deduped = dedup.dedup(fetched)
+    deduped = dedup.dedup(fetched).checkpoint()
     kept = dedup.kept(deduped)
-    labelled_rows = labels.label_mentions(kept, x.observations, x.tiebreaks, x.lexicon, seed)
-    joined = frame.join_labels(
-        kept.withColumn("engagement_score", frame.S.engagement_score("engagement")), labelled_rows
-    ).persist()
-
+    labelled_rows = labels.label_mentions(
+        kept, x.observations, x.tiebreaks, x.lexicon, seed
+    ).checkpoint()
+    scored = kept.withColumn("engagement_score", S.engagement_score("engagement"))
+    joined = frame.join_labels(scored, labelled_rows)
     topic = topics.build_topics(joined, x.vectors, b=b, seed=seed)
-    with_topics = topics.assign_topics(joined, topic["assignments"])
+    topic = {name: table.checkpoint() for name, table in topic.items()}
+    with_topics = topics.assign_topics(joined, topic["assignments"]).checkpoint()
     brands = frame.brand_table(spark, list(x.terms))
     settled, unmatched = ledger.reconcile(
         ledger.fold_log(x.log), x.listing, x.started, x.reconciled
     )
+    settled = settled.checkpoint()
     grid = counts.coverage_grid(
         brands, list(x.sources), fetched.select("brand", "source"),
         spark.createDataFrame([], "brand string, source string, reason string"),

@@ -10,6 +10,8 @@ _RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Plans here read kept tables; their descriptions would repeat each other without a bound.
+    "spark.sql.maxPlanStringLength": "200000",
 }
 
 

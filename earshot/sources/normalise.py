@@ -447,14 +447,16 @@ def run_outcomes(parsed: DataFrame) -> DataFrame:
     )
 
 
-def parse_all(items: DataFrame, terms: Mapping[str, Sequence[str]]) -> DataFrame:
-    """U01. All sources, in plan order."""
+def parse_all(
+    items: DataFrame, terms: Mapping[str, Sequence[str]], sources: Sequence[str] | None = None
+) -> DataFrame:
+    """U01. The asked sources (all by default), in plan order."""
     keep = [
         *schemas.columns(schemas.MENTION), "local_seq", "index", "item", "drift_reason", "error_item",
         "no_text", "no_match", "cluster_key_fell_back",
     ]
     out = None
-    for source in READINGS:
+    for source in READINGS if sources is None else [s for s in READINGS if s in sources]:
         part = parse(items, source, terms).select(*keep)
         out = part if out is None else out.unionByName(part)
     return out
