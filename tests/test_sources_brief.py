@@ -141,7 +141,9 @@ def test_spikes_of_closed_days(spark):
 def test_whole_brief(spark):
     posts = [{"id": f"p{i}", "dataType": "post", "title": f"nubank story {i}", "body": "great app" if i % 2 else "bad scam", "createdAt": f"2024-01-{10 + i % 14:02d}T05:00:00Z"} for i in range(60)]
     bodies = runs(spark, ("Nubank", "reddit", {"output": posts + posts[:3]}), ("Inter", "reddit", [{"error": "none"}]), ("Nubank", "news", {"results": [{"url": "https://n.example/1?utm_source=z", "title": "Nubank grows"}]}))
-    kept = M.mentions(M.parse_all(P.payload_items(bodies), TERMS)).select("mention_id", "brand", "text").distinct()
+    found = M.mentions(M.parse_all(P.payload_items(bodies), TERMS, ["reddit", "news"]))
+    found = found.select("mention_id", "brand", "text").distinct().collect()
+    kept = spark.createDataFrame(found, "mention_id string, brand string, text string")
     answer = lambda label: kept.select("mention_id", "brand", F.lit("ok").alias("status"), label.alias("label"), F.lit(True).alias("about_brand"), F.lit(0.9).alias("confidence"), F.lit("r").alias("rationale"))
     label = F.when(F.col("text").contains("great"), "positive").otherwise("negative")
     vectors = kept.select("brand", "mention_id", F.when(F.col("text").contains("great"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("vector"))

@@ -57,8 +57,8 @@ def test_distributed_rounds_give_the_same_clusters(spark):
 
 
 def test_mean_link_is_not_single_link(spark):
-    # A chain: neighbours are close, the ends are not.
-    angles = np.deg2rad([0, 40, 80, 120])
+    # A chain: every neighbour is inside the cut, the ends are not.
+    angles = np.deg2rad([0, 38, 80, 118])
     points = np.stack([np.cos(angles), np.sin(angles)], axis=1)
     unit = V.with_unit_vectors(frame(spark, points))
     assert groups_of(V.average_linkage(unit, 0.35)) == {frozenset({0, 1}), frozenset({2, 3})}
