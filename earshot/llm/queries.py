@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from earshot.llm import bpe, decontaminate, near_dedup, quality, substring_dedup
+from earshot.llm import bpe, decontaminate, fingerprints, language, near_dedup, quality, shards, substring_dedup, token_counts, toxicity
+from earshot.llm.common import crc_bucket
 from earshot.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -98,3 +99,42 @@ def op10(spark, sf_dir):
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op3_fingerprints")
+def op3(spark, sf_dir):
+    """Fingerprints of each text and of its edit, and their likeness to each other and to the next text."""
+    return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    """Toxicity of every document; labels of a third of the ids are held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_bucket("doc_id", 3) == 1
+    model = toxicity.fit(docs, labels.where(~held_out))
+    return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op5_token_counts")
+def op5(spark, sf_dir):
+    """Unigram tokens of every document."""
+    vocabulary = token_counts.load(spark, token_counts.pieces_of(public_tokenizers.path("piece_bpe_32k.model")))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
+
+
+@query("op8_language_id")
+def op8(spark, sf_dir):
+    """Language of every document; labels of a quarter of the ids are held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_bucket("doc_id", 4) == 2
+    model = language.fit(docs.where(~held_out))
+    found = language.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("lang_spans").alias("n_spans"))
+
+
+@query("op9_hilbert_shards")
+def op9(spark, sf_dir):
+    """Shard and place of every document along the curve."""
+    placed = shards.assign(table(spark, sf_dir, "documents"), n_shards=8, keep=["doc_id"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit(shards.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
