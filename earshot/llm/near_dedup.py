@@ -7,11 +7,12 @@ of resemblance J shares a table with probability (1 - (1 - J ** ROWS) ** HALVES)
 the values here that is 0.9997 and at 0.8 it is above 0.99999.
 
 Texts with the same set are one node. Half keys that only one node has are dropped. Each node is
-first compared with the leader it shares the most half keys with, which connects most groups; then
-tables are made only of half keys whose nodes are not yet connected. In a bucket of a table, all nodes are compared with a few leaders,
-which then leave the bucket; this goes on, with eight times the leaders each time, until the nodes
-left in it are already connected. So each two nodes of a bucket are compared or connected, without
-listing the pairs of a bucket of copies. A compared pair is confirmed on its full sets.
+first compared with the leader it shares the most half keys with, which connects most groups. What
+is left are half keys with nodes of several components. The nodes outside the largest component of
+a half key are queries; tables are made of these half keys only, and every node that shares a table
+bucket with a block of queries is compared on full sets with the whole block, by an index of the
+block's shingles. So each two nodes of a bucket are compared or already connected, and a node meets
+a block once, not once for each pair: a bucket of thousands of copies costs its size.
 
 Odd input: a text without words is linked with nothing. Rows with a null id are not linked, get a
 null component and are kept. Rows with equal texts share a component. Repeated ids give one output
@@ -30,8 +31,9 @@ from earshot.llm import common as C
 
 HALVES = 16
 ROWS = 3
-#: Times the leaders of a bucket from one round to the next.
-LEADER_STEP = 8
+#: Query nodes of a block and their shingles, about; a task holds one block and a part of the rows.
+BLOCK_NODES = 256
+BLOCK_SHINGLES = 400_000
 
 _ODD = np.random.default_rng(20240229).integers(0, 1 << 63, size=2 * HALVES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -85,11 +87,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _close_sizes(a: str, b: str):
-    """No pair of sets is near unless their sizes are."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * C.NEAR_PERCENT
-
-
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (least id reachable over links), kept."""
     C.prepare(docs.sparkSession)
@@ -129,35 +126,64 @@ def _stars(nodes: DataFrame, base: DataFrame) -> DataFrame:
     firsts = votes.groupBy("node").agg(F.max(F.struct("count", F.negative("lead").alias("less"))).alias("best"))
     links = _confirmed(firsts.select(F.col("node").alias("u"), F.negative("best.less").alias("v")), sets)
     stars = C.min_label_edges(links)
-    # What is left: half keys with nodes of several components, and the tables made of them.
-    rooted = _rooted(half.select("node", "n", "slot", "h"), stars)
-    several = rooted.groupBy("slot", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("slot", "h")
-    left, leaders = _tables(rooted.join(several, ["slot", "h"], "left_semi")), 1
-    while True:
-        named = _rooted(left, stars)
-        several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        left = named.join(several, "key", "left_semi").checkpoint()
-        if left.isEmpty():
-            return stars
-        # A leader for each part of a bucket; the parts differ from round to round.
-        part = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))
-        chosen = (
-            left.groupBy("key", part.alias("part"))
-            .agg(F.min(F.struct("node", "n", "root")).alias("lead"))
-            .select("key", F.col("lead.node").alias("leader"), F.col("lead.n").alias("n_leader"), F.col("lead.root").alias("root_leader"))
-            .checkpoint()
-        )
-        pairs = (
-            left.join(chosen, "key")
-            .where((F.col("root") != F.col("root_leader")) & _close_sizes("n", "n_leader"))
-            .select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v"))
-            .distinct()
-        )
-        links = _confirmed(pairs, sets).checkpoint()
-        if not links.isEmpty():
-            stars = C.min_label_edges(stars.select("u", F.col("root").alias("v")).union(links))
-        left = left.join(chosen.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n")
-        leaders *= LEADER_STEP
+    # What is left: half keys with nodes of several components. Of two nodes in different components,
+    # one at least is outside the component that has most nodes of their half key: a query node.
+    rooted = _rooted(half.select("node", "n", "slot", "h", "lead"), stars)
+    sizes = rooted.groupBy("slot", "h", "root").count().groupBy("slot", "h").agg(F.max(F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
+    open_half = rooted.join(sizes.where("roots > 1").select("slot", "h", F.col("most.root").alias("major")), ["slot", "h"]).checkpoint()
+    queries = _query_blocks(open_half.where("root != major").groupBy("node", "n").agg(F.min("lead").alias("lead")))
+    links = _confirmed_in_blocks(open_half, queries, sets)
+    return C.min_label_edges(stars.select("u", F.col("root").alias("v")).union(links))
+
+
+def _query_blocks(queries: DataFrame) -> DataFrame:
+    """Query nodes (node, block): neighbours by leader, at most about BLOCK_NODES or BLOCK_SHINGLES a block."""
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES))
+    counts = queries.groupBy("lead").agg(parts.alias("parts"))
+    return queries.join(counts, "lead").select("node", F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")).checkpoint()
+
+
+def _confirmed_in_blocks(half: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between query nodes and all nodes that share a bucket of a table with their block."""
+    entries = _tables(half)
+    wanted = entries.join(queries, "node").select("key", "block").distinct()
+    near = entries.join(wanted, "key").select("node", "n", "block").distinct().checkpoint()
+    salts = F.ceil(F.greatest(F.count(F.lit(1)) / (8 * BLOCK_NODES), F.sum("n") / (8 * BLOCK_SHINGLES))).cast("int")
+    counts = near.groupBy("block").agg(salts.alias("salts"))
+    rows = near.join(counts, "block").join(sets, "node").select("block", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node", "shingles")
+    own = sets.select(F.col("node").alias("query"), F.col("shingles").alias("query_shingles"))
+    blocks = (
+        queries.join(counts, "block")
+        .select(F.col("node").alias("query"), F.col("block").alias("query_block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("query_salt"))
+        .join(own, "query")
+        .select("query_block", "query_salt", "query", "query_shingles")
+    )
+    return blocks.groupBy("query_block", "query_salt").cogroup(rows.groupBy("block", "salt")).applyInArrow(_links_of_block, "u long, v long")
+
+
+def _links_of_block(queries: pa.Table, rows: pa.Table) -> pa.Table:
+    """Near pairs of a block's sets and the rows' sets, by one sorted index of the block's shingles."""
+    nodes = queries["query"].to_numpy()
+    lists = queries["query_shingles"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(flat, kind="stable")
+    index, owner = flat[order], np.repeat(np.arange(len(nodes)), sizes)[order]
+    us, vs = [], []
+    for node, own in zip(rows["node"].to_pylist(), (r.values for r in rows["shingles"])):
+        own = own.to_numpy(zero_copy_only=False)
+        lo, hi = np.searchsorted(index, own, "left"), np.searchsorted(index, own, "right")
+        hit = hi > lo
+        # Every position of the index that one of the row's shingles has.
+        count = hi[hit] - lo[hit]
+        at = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        both = np.bincount(owner[at], minlength=len(nodes))
+        near = both * 100 >= (sizes + len(own) - both) * C.NEAR_PERCENT
+        found = nodes[near & (nodes != node)]
+        us.append(np.full(len(found), node, dtype=np.int64))
+        vs.append(found)
+    none = np.empty(0, dtype=np.int64)
+    return pa.table({"u": np.concatenate([none, *us]), "v": np.concatenate([none, *vs])})
 
 
 def _node_sets(base: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -174,7 +200,7 @@ def _rooted(entries: DataFrame, stars: DataFrame) -> DataFrame:
 
 
 def _tables(half: DataFrame) -> DataFrame:
-    """Bucket entries (key, node, n): every pair of a node's half keys from either side."""
+    """Bucket entries (key, node, n) of all tables: every pair of a node's half keys from either side."""
     sides = half.groupBy("node", "n").agg(F.collect_list(F.struct("slot", "h")).alias("halves"))  # at most 2 x HALVES
     return (
         sides.select("node", "n", F.expr(f"filter(halves, x -> x.slot < {HALVES})").alias("a"), F.expr(f"filter(halves, x -> x.slot >= {HALVES})").alias("b"))
