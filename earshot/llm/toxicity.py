@@ -3,7 +3,7 @@
 A word is the bag of its character n-grams (3 to 6, with word ends marked) and itself, hashed into
 rows of an embedding table; its vector is their mean, a text's vector the mean over its words, and
 a softmax over two classes is put on top. Embeddings and softmax are trained together by full-batch
-Adam. A misspelling that was never seen shares most n-grams with its word, and so its vector.
+steps. A misspelling that was never seen shares most n-grams with its word, and so its vector.
 
 After training, a word's share in the score is one number; workers keep them in a bounded table.
 
@@ -27,15 +27,20 @@ from pyspark.sql import functions as F
 from earshot.llm import common as C
 
 #: Labelled documents for training, at most: this many of either class, those with the least hash of the id.
-MAX_TRAIN_DOCS = 3_000
+MAX_TRAIN_DOCS = 2_500
 #: Bytes of their texts that are used, at most; whole documents beyond are left out.
-MAX_TRAIN_BYTES = 48 << 20
+MAX_TRAIN_BYTES = 24 << 20
 BUCKETS = 1 << 17
 DIMS = 4
-EPOCHS = 120
+EPOCHS = 30
+#: Steps of the embeddings: their size, the floor of a row's root mean square share, and the pull to zero.
+RATE, FLOOR, DECAY = 30.0, 5e-5, 1e-6
+#: Averages are small (a toxic word is a few hundredths of a text), so they are scaled up.
+SCALE = np.float32(20.0)
 THRESHOLD = 0.7
 #: Words in fewer training texts than this teach nothing, but are scored.
-MIN_TEXTS = 2
+MIN_TEXTS = 3
+MIN_ROW_TEXTS = 10
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -102,32 +107,47 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7
     owner = np.repeat(np.arange(len(subs)), [len(s) for s in subs])
     weight = (1 / np.array([len(s) for s in subs], np.float32))[owner] if subs else np.empty(0, np.float32)
 
-    def gather(at, values, into, n):  # sum of values[:, k] over equal `at`, for each column
+    def gather(at, values, n):  # sum of values[:, k] over equal `at`, for each column
         return np.stack([np.bincount(at, weights=values[:, k], minlength=n) for k in range(values.shape[1])], 1).astype(np.float32) if len(at) else np.zeros((n, values.shape[1]), np.float32)
 
+    # Rows that few texts share hardly move, and rows with small shares move as far as those with
+    # large ones: steps are divided by the row's mean square share plus a floor.
+    texts_of = np.array([seen[v] for v in vocabulary], dtype=float)
+    square = np.bincount(word, weights=share * share, minlength=len(subs)) / len(bags)
+    row_square = np.bincount(sub, weights=square[owner] * weight * weight, minlength=len(rows))
+    common = np.bincount(sub, weights=texts_of[owner], minlength=len(rows)) >= MIN_ROW_TEXTS
+    step = (common / (np.sqrt(row_square) + FLOOR) ** 2)[:, None].astype(np.float32) if len(rows) else np.zeros((0, 1), np.float32)
+    if len(rows):
+        step /= 1 / (np.quantile(np.sqrt(row_square), 0.99) + FLOOR) ** 2
     rng = np.random.default_rng(seed)
-    e = rng.normal(0, 0.05, (len(rows), DIMS)).astype(np.float32)
+    e = rng.normal(0, 0.01, (len(rows), DIMS)).astype(np.float32)
     w = rng.normal(0, 0.5, (DIMS, 2)).astype(np.float32)
+    w[:, 0] = -w[:, 1]
     b = np.zeros(2, np.float32)
     target = np.eye(2, dtype=np.float32)[y.astype(int)]
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (e, w, b)]
-    n_docs, scale = len(bags), np.float32(20.0)  # averages are small: a toxic word is a few hundredths of a text
+    # Either class has half of the weight.
+    share_of_doc = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())).astype(np.float32)[:, None]
+    momentum = np.zeros_like(e)
+    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, b)]
+    n_docs = len(bags)
     for t in range(1, epochs + 1):
-        word_vec = gather(owner, e[sub] * weight[:, None], None, len(subs))
-        doc_vec = gather(doc, word_vec[word] * share[:, None], None, n_docs) * scale
+        word_vec = gather(owner, e[sub] * weight[:, None], len(subs))
+        doc_vec = gather(doc, word_vec[word] * share[:, None], n_docs) * SCALE
         z = doc_vec @ w + b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        g = (p - target) / n_docs
-        g_doc = (g @ w.T) * scale
-        g_word = gather(word, g_doc[doc] * share[:, None], None, len(subs))
-        g_e = gather(sub, g_word[owner] * weight[:, None], None, len(rows))
-        for (m, v), param, grad, rate in zip(moments, (e, w, b), (g_e, doc_vec.T @ g + 1e-4 * w, g.sum(0)), (0.05, 0.05, 0.05)):
+        g = (p - target) * share_of_doc
+        g_doc = (g @ w.T) * SCALE
+        g_word = gather(word, g_doc[doc] * share[:, None], len(subs))
+        momentum = 0.9 * momentum + gather(sub, g_word[owner] * weight[:, None], len(rows)) + DECAY * e
+        g_w, g_b = doc_vec.T @ g + 1e-4 * w, g.sum(0)
+        e -= RATE * step * momentum
+        for (m, v), param, grad in zip(moments, (w, b), (g_w, g_b)):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
-            param -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            param -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     parts = np.zeros(BUCKETS, np.float32)
-    parts[rows] = (e @ (w[:, 1] - w[:, 0])) * scale
+    parts[rows] = (e @ (w[:, 1] - w[:, 0])) * SCALE
     return Model(parts, float(b[1] - b[0]))
 
 
