@@ -61,7 +61,8 @@ def map_texts(
     """``keep`` columns (all by default) and what ``fn`` makes of the texts of each batch, as columns ``fields``.
 
     ``fn`` gets the texts as UTF-8 bytes and, after them, one Arrow array for each column in
-    ``extra``. Kept columns travel inside one struct, so no name can clash.
+    ``extra``. Kept columns travel inside one struct, so no name can clash; an input column with
+    the name of a computed one gives way to it.
     """
     names = df.columns if keep is None else keep
     extra = extra or []

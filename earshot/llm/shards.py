@@ -25,6 +25,8 @@ from earshot.llm import common as C
 from earshot.llm.fingerprints import _range_of
 
 LAW = "bytes"
+#: Columns that ``assign`` adds; an input column of the same name gives way.
+MADE = ("size", "text_crc32", "shard", "slot")
 SALTS = 1_024
 BITS = 8
 GROUPS_PER_BIN = 50_000
@@ -94,7 +96,7 @@ def assign(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     names = [f"m{i}" for i in range(len(by))]
     raw = C.utf8(text_col)
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in MADE], F.lit(0).alias("_")).alias("row"),
         F.col(id_col).cast("string").alias("id"),
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("crc"),
@@ -121,7 +123,7 @@ def assign(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     numbered = rows.drop(*names).withColumn("nth", nth)
     joined = numbered.join(homes, [*group, "salt"]).withColumn("number", F.col("before") + F.col("nth"))
     mine = joined.where((F.col("number") >= F.col("first")) & (F.col("number") < F.col("until")))
-    return mine.select("row.*", "size", F.col("crc").alias("text_crc32"), "shard", (F.col("base") + F.col("number") - F.col("first")).alias("slot"))
+    return mine.select(*[F.col(f"row.`{c}`").alias(c) for c in rows.schema["row"].dataType.names if c != "_"], "size", F.col("crc").alias("text_crc32"), "shard", (F.col("base") + F.col("number") - F.col("first")).alias("slot"))
 
 
 def _place_large(large: list, n_shards: int, target: float) -> tuple[list[tuple], list[int], list[int]]:
