@@ -160,7 +160,7 @@ def _range_of(column: str, cuts: list[int]) -> Column:
         return below(number(cuts))
     coarse = below(number([g[-1] for g in groups]))  # whole groups below
     fine = F.array(*[number(g) for g in groups])
-    return coarse * wide + F.when(coarse < len(groups), below(F.get(fine, coarse))).otherwise(0)
+    return F.least(coarse * wide, F.lit(len(cuts))) + F.when(coarse < len(groups), below(F.get(fine, coarse))).otherwise(0)
 
 
 def _edit(k: int):

@@ -66,24 +66,32 @@ def hilbert_index(codes: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def _codes(values: DataFrame, column: str) -> list[str]:
-    """Up to 2 ** BITS - 1 frequent values of a column, in order: the bounds of its codes."""
-    top = values.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where(F.col(column).isNotNull()).orderBy(F.desc("n"), column).limit((1 << BITS) - 1)
-    return sorted(r[0] for r in top.collect())
+def _text_codes(groups: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Up to 2 ** BITS - 1 frequent values of a column, in order, and a code for each.
+
+    Codes follow the share of groups at or below a value, so they fill the range of a dimension.
+    """
+    top = groups.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where(F.col(column).isNotNull()).orderBy(F.desc("n"), column).limit((1 << BITS) - 1).collect()
+    top = sorted((r[0], r[1]) for r in top)
+    share = np.cumsum([n for _, n in top]) / max(1, sum(n for _, n in top))
+    return np.array([v for v, _ in top], dtype=object), np.array([0, *np.round(share * ((1 << BITS) - 1)).astype(np.int64)])
 
 
 def curve(groups: DataFrame, size: str, names: list[str]) -> DataFrame:
-    """Adds ``curve``: the Hilbert index of log size and of the named text columns."""
-    bounds = {c: np.array(_codes(groups, c), dtype=object) for c in names}
+    """Adds ``curve``: the Hilbert index of the size (by quantiles) and of the named text columns."""
+    codes = {c: _text_codes(groups, c) for c in names}
+    steps = [i / (1 << BITS) for i in range(1, 1 << BITS)]
+    sizes = np.array(groups.agg(F.percentile_approx(size, steps, 10_000)).first()[0] or [], dtype=np.int64)
 
     def index(*columns: pd.Series) -> pd.Series:
-        points = [np.minimum(np.log2(columns[0].to_numpy(dtype=float)) * 8, (1 << BITS) - 1).astype(np.int64)]
+        points = [np.searchsorted(sizes, columns[0].to_numpy(dtype=np.int64), side="right")]
         for name, column in zip(names, columns[1:]):
+            values, code = codes[name]
             known = column.notna().to_numpy()
-            code = np.zeros(len(column), dtype=np.int64)
-            if len(bounds[name]):
-                code[known] = np.searchsorted(bounds[name], column[known].to_numpy(dtype=object), side="right")
-            points.append(np.minimum(code, (1 << BITS) - 1))
+            place = np.zeros(len(column), dtype=np.int64)
+            if len(values) and known.any():
+                place[known] = np.searchsorted(values, column[known].to_numpy(dtype=object), side="right")
+            points.append(code[place])
         return pd.Series(hilbert_index(np.array(points).T.reshape(len(columns[0]), len(points))))
 
     return groups.withColumn("curve", F.pandas_udf(index, "long")(size, *names))
