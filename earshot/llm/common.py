@@ -140,18 +140,36 @@ def crc_bucket(id_col: str, buckets: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(buckets))
 
 
+#: Edges of a partition of a graph; smaller graphs take fewer partitions.
+EDGES_PER_PART = 200_000
+
+
+def _packed(edges: DataFrame) -> DataFrame:
+    """Edges written to the shared folder, in as few partitions as they fill."""
+    done = edges.checkpoint()
+    parts = -(-done.count() // EDGES_PER_PART)
+    return done.coalesce(max(1, parts)) if parts < done.rdd.getNumPartitions() else done
+
+
+def tree_roots(parents: DataFrame) -> DataFrame:
+    """Stars (u, root) of a forest given as (u, v) with one v < u for each u, by pointer jumping."""
+    now = _packed(parents.select("u", "v"))
+    while True:
+        up = now.select(F.col("u").alias("v"), F.col("v").alias("top"))
+        jumped = _packed(now.join(up, "v", "left").select("u", F.coalesce("top", "v").alias("v"), F.col("top").isNotNull().alias("moved")))
+        now = jumped.select("u", "v")
+        if jumped.where("moved").isEmpty():
+            return now.select("u", F.col("v").alias("root"))
+
+
 def min_label_edges(edges: DataFrame) -> DataFrame:
     """Stars (u, root) of the connected components of edges (u, v): root is the least id; u > root.
 
     Alternating large and small stars. Each step is a partial aggregate and a join, so a hub's
     edges are never gathered; each round is checkpointed, and the loop ends when nothing changes.
     """
-    now = (
-        edges.where(F.col("u") != F.col("v"))
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
-        .checkpoint()
-    )
+    one_way = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    now = _packed(one_way.distinct())
     while True:
         # Done when no node has two lower neighbours, and none has lower and higher ones.
         ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
@@ -165,7 +183,7 @@ def min_label_edges(edges: DataFrame) -> DataFrame:
         # Small star: u and its lower neighbours are linked to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = small.where(F.col("u") != F.col("v")).distinct().checkpoint()
+        now = _packed(small.where(F.col("u") != F.col("v")).distinct())
 
 
 def fresh_name() -> str:

@@ -94,12 +94,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Texts are read once here; later steps use this table, about a tenth of the text's size.
     rows = C.map_texts(base, "text", _sketches, "n long, digest binary, half array<long>", keep=["id"]).checkpoint()
     # Equal sets are one node, named by its least id; their half keys are the same.
-    nodes = (
-        rows.where("id IS NOT NULL AND digest IS NOT NULL")
-        .groupBy("digest")
-        .agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("half").alias("half"))
-        .checkpoint()
-    )
+    known = rows.where("id IS NOT NULL AND digest IS NOT NULL")
+    least = known.groupBy("digest").agg(F.min("id").alias("node")).select("node", F.col("digest").alias("own"))
+    nodes = known.join(least, (F.col("digest") == F.col("own")) & (F.col("id") == F.col("node"))).select("digest", "node", "n", "half").dropDuplicates(["node"]).checkpoint()
     stars = _stars(nodes, base)
     named = (
         nodes.select("digest", "node")
@@ -117,50 +114,77 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _stars(nodes: DataFrame, base: DataFrame) -> DataFrame:
     """Stars (u, root) of the confirmed links between nodes."""
-    half = nodes.select("node", "n", F.posexplode("half").alias("slot", "h"))
-    shared = half.groupBy("slot", "h").agg(F.min("node").alias("lead"), F.max("node").alias("hi")).where("lead < hi")
-    half = half.join(shared.drop("hi"), ["slot", "h"]).checkpoint()
-    sets = _node_sets(base, nodes, half.select("node").distinct())
+    slots = ["slot", "h"]
+    half = nodes.select("node", F.posexplode("half").alias("slot", "h"))
+    shared = half.groupBy(*slots).agg(F.min("node").alias("lead"), F.max("node").alias("hi")).where("lead < hi").drop("hi").checkpoint()
     # First each node with the leader that it shares the most half keys with.
-    votes = half.where("node != lead").groupBy("node", "lead").count()
-    firsts = votes.groupBy("node").agg(F.max(F.struct("count", F.negative("lead").alias("less"))).alias("best"))
-    links = _confirmed(firsts.select(F.col("node").alias("u"), F.negative("best.less").alias("v")), sets)
-    stars = C.min_label_edges(links)
+    votes = half.join(shared, slots).groupBy("node", "lead").count()
+    best = votes.groupBy("node").agg(F.max(F.struct("count", F.negative("lead").alias("less"))).alias("best"))
+    firsts = best.select(F.col("node").alias("u"), F.negative("best.less").alias("v")).checkpoint()
+    sets = _node_sets(base, nodes, firsts.select(F.col("u").alias("node")))
+    tree = C.tree_roots(_confirmed(firsts.where("u != v"), sets))
     # What is left: half keys with nodes of several components. Of two nodes in different components,
     # one at least is outside the component that has most nodes of their half key: a query node.
-    rooted = _rooted(half.select("node", "n", "slot", "h", "lead"), stars)
-    sizes = rooted.groupBy("slot", "h", "root").count().groupBy("slot", "h").agg(F.max(F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
-    open_half = rooted.join(sizes.where("roots > 1").select("slot", "h", F.col("most.root").alias("major")), ["slot", "h"]).checkpoint()
-    queries = _query_blocks(open_half.where("root != major").groupBy("node", "n").agg(F.min("lead").alias("lead")))
-    links = _confirmed_in_blocks(open_half, queries, sets)
-    return C.min_label_edges(stars.select("u", F.col("root").alias("v")).union(links))
+    rooted = nodes.join(tree.withColumnRenamed("u", "node"), "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), "half")
+    rooted = rooted.select("node", "n", "root", F.posexplode("half").alias("slot", "h")).join(shared, slots)
+    sizes = rooted.groupBy(*slots, "root").count().groupBy(*slots).agg(F.max(F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
+    open_half = rooted.join(sizes.where("roots > 1").select(*slots, F.col("most.root").alias("major")), slots)
+    sides = (
+        open_half.groupBy("node", "n")
+        .agg(
+            F.min("lead").alias("lead"),
+            F.bool_or(F.col("root") != F.col("major")).alias("query"),
+            F.collect_list(F.struct(*slots)).alias("halves"),  # at most 2 x HALVES
+        )
+        .checkpoint()
+    )
+    links = _confirmed_in_blocks(_blocked(sides), sets)
+    return C.min_label_edges(tree.select("u", F.col("root").alias("v")).union(links))
 
 
-def _query_blocks(queries: DataFrame) -> DataFrame:
-    """Query nodes (node, block): neighbours by leader, at most about BLOCK_NODES or BLOCK_SHINGLES a block."""
+def _blocked(sides: DataFrame) -> DataFrame:
+    """Adds the block of the query nodes: neighbours by leader, about BLOCK_NODES or BLOCK_SHINGLES a block."""
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES))
-    counts = queries.groupBy("lead").agg(parts.alias("parts"))
-    return queries.join(counts, "lead").select("node", F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")).checkpoint()
+    counts = sides.where("query").groupBy("lead").agg(parts.alias("parts"))
+    block = F.when(F.col("query"), F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts"))))
+    return sides.join(counts, "lead", "left").select("node", "n", "halves", block.alias("block"))
 
 
-def _confirmed_in_blocks(half: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed_in_blocks(sides: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) between query nodes and all nodes that share a bucket of a table with their block."""
-    entries = _tables(half)
-    wanted = entries.join(queries, "node").select("key", "block").distinct()
-    near = entries.join(wanted, "key").select("node", "n", "block").distinct().checkpoint()
+    # Tables: every pair of a node's half keys from either side.
+    entries = (
+        sides.select("node", "n", "block", F.expr(f"filter(halves, x -> x.slot < {HALVES})").alias("a"), F.expr(f"filter(halves, x -> x.slot >= {HALVES})").alias("b"))
+        .select("node", "n", "block", F.explode("a").alias("a"), "b")
+        .select("node", "n", "block", "a", F.explode("b").alias("b"))
+        .select(F.xxhash64("a.slot", "a.h", "b.slot", "b.h").alias("key"), "node", "n", "block")
+    )
+    wanted = entries.where("block IS NOT NULL").select("key", F.col("block").alias("query_block")).distinct()
+    near = entries.join(wanted, "key").select("node", "n", F.col("query_block").alias("block")).distinct().checkpoint()
     salts = F.ceil(F.greatest(F.count(F.lit(1)) / (8 * BLOCK_NODES), F.sum("n") / (8 * BLOCK_SHINGLES))).cast("int")
-    counts = near.groupBy("block").agg(salts.alias("salts"))
+    counts = near.groupBy("block").agg(salts.alias("salts")).checkpoint()
     rows = near.join(counts, "block").join(sets, "node").select("block", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node", "shingles")
     own = sets.select(F.col("node").alias("query"), F.col("shingles").alias("query_shingles"))
     blocks = (
-        queries.join(counts, "block")
-        .select(F.col("node").alias("query"), F.col("block").alias("query_block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("query_salt"))
+        sides.where("block IS NOT NULL")
+        .select(F.col("node").alias("query"), "block")
+        .join(counts, "block")
+        .select("query", F.col("block").alias("query_block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("query_salt"))
         .join(own, "query")
         .select("query_block", "query_salt", "query", "query_shingles")
     )
     return blocks.groupBy("query_block", "query_salt").cogroup(rows.groupBy("block", "salt")).applyInArrow(_links_of_block, "u long, v long")
 
 
+def _node_sets(base: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Full sets (node, shingles) of the wanted nodes, from the texts that have them."""
+    known = nodes.select("digest", "node").join(wanted, "node", "left_semi")
+    own = base.join(wanted.select(F.col("node").alias("id")), "id", "left_semi")
+    sets = C.map_texts(own, "text", _sets, "digest binary, shingles array<long>", keep=["id"])
+    # An id that stands for a node may have other texts as well.
+    return sets.join(known.select(F.col("node").alias("id"), "digest"), ["id", "digest"]).dropDuplicates(["id"]).select(F.col("id").alias("node"), "shingles").checkpoint()
+
+
 def _links_of_block(queries: pa.Table, rows: pa.Table) -> pa.Table:
     """Near pairs of a block's sets and the rows' sets, by one sorted index of the block's shingles."""
     nodes = queries["query"].to_numpy()
@@ -186,30 +210,6 @@ def _links_of_block(queries: pa.Table, rows: pa.Table) -> pa.Table:
     return pa.table({"u": np.concatenate([none, *us]), "v": np.concatenate([none, *vs])})
 
 
-def _node_sets(base: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Full sets (node, shingles) of the wanted nodes, from the texts that have them."""
-    known = nodes.select("digest", "node").join(wanted, "node", "left_semi")
-    own = base.join(wanted.select(F.col("node").alias("id")), "id", "left_semi")
-    sets = C.map_texts(own, "text", _sets, "digest binary, shingles array<long>", keep=["id"])
-    # An id that stands for a node may have other texts as well.
-    return sets.join(known.select(F.col("node").alias("id"), "digest"), ["id", "digest"]).dropDuplicates(["id"]).select(F.col("id").alias("node"), "shingles").checkpoint()
-
-
-def _rooted(entries: DataFrame, stars: DataFrame) -> DataFrame:
-    return entries.join(stars.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def _tables(half: DataFrame) -> DataFrame:
-    """Bucket entries (key, node, n) of all tables: every pair of a node's half keys from either side."""
-    sides = half.groupBy("node", "n").agg(F.collect_list(F.struct("slot", "h")).alias("halves"))  # at most 2 x HALVES
-    return (
-        sides.select("node", "n", F.expr(f"filter(halves, x -> x.slot < {HALVES})").alias("a"), F.expr(f"filter(halves, x -> x.slot >= {HALVES})").alias("b"))
-        .select("node", "n", F.explode("a").alias("a"), "b")
-        .select("node", "n", "a", F.explode("b").alias("b"))
-        .select(F.xxhash64("a.slot", "a.h", "b.slot", "b.h").alias("key"), "node", "n")
-    )
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near copies: of each component the one with the least id stays.
 
