@@ -88,10 +88,10 @@ def available(spark, sf_dir):
     o = V.table(spark, sf_dir, "orders")
     totals = o.select(
         F.col("o_custkey").alias("customer"),
-        F.round("o_totalprice", 2).cast("decimal(38,10)").alias("value"),
+        F.round("o_totalprice", 2).cast("decimal(38,18)").alias("value"),
     )
     rates = o.select(
-        F.col("o_custkey").alias("customer"), F.lit("0.1234").cast("decimal(38,10)").alias("value")
+        F.col("o_custkey").alias("customer"), F.lit("0.1234").cast("decimal(38,18)").alias("value")
     )
     return totals.unionByName(rates)
 
@@ -167,9 +167,9 @@ def narration_check(spark, sf_dir):
     )
     digest = e.select(
         F.col("event_type").alias("brand"),
-        (-F.round("value", 2)).cast("decimal(38,10)").alias("value"),
+        (-F.round("value", 2)).cast("decimal(38,18)").alias("value"),
     ).unionByName(
-        e.select(F.col("event_type").alias("brand"), F.lit("0.0712").cast("decimal(38,10)").alias("value"))
+        e.select(F.col("event_type").alias("brand"), F.lit("0.0712").cast("decimal(38,18)").alias("value"))
     )
     got = A.narration_checks(texts, digest, ["brand"])
     return got.select("answer_id", "numbers_verified")

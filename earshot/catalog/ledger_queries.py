@@ -8,6 +8,7 @@ from earshot.catalog.registry import query
 from earshot.functions import scalars as S
 from earshot.operators import counts as C
 from earshot.operators import ledger as G
+from earshot.sources import tables as T
 
 LEDGER = V.with_("log", "ledger")
 SETTLED = V.with_("log", "ledger", "list")
@@ -38,7 +39,11 @@ def ledger_fold(spark, sf_dir):
     LEDGER + "SELECT status, cost_source, count(*) AS n FROM ledger GROUP BY ALL",
 )
 def ledger_log(spark, sf_dir):
-    return ledger(spark, sf_dir).groupBy("status", "cost_source").agg(F.count(F.lit(1)).alias("n"))
+    """Appended in two batches, the last state of each run in the later one, and read back."""
+    path = T.fresh_path(spark, "log")
+    T.write_log(V.runs_log(spark, sf_dir), path, 0)
+    T.write_log(ledger(spark, sf_dir), path, 1)
+    return G.fold_log(T.read_log(spark, path)).groupBy("status", "cost_source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p09_listing_window", SETTLED + "SELECT run_id FROM inwin")

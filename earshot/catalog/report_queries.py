@@ -1,6 +1,5 @@
 """Rule checks, ordered unions, samples, stored tables and streams."""
 
-from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -14,18 +13,11 @@ from earshot.operators import events as E
 from earshot.operators import quality as Q
 from earshot.operators import sampling
 from earshot.operators import sets as U
-from earshot.settings import checkpoint_dir
 from earshot.sources import normalise as M
 from earshot.sources import tables as T
 from earshot.streaming import streams
 
 
-def fresh_path(spark, name):
-    """A new folder beside the session's checkpoints, which every executor can reach."""
-    checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
-
-
 # -- rule checks ------------------------------------------------------------------------------------
 @query(
     "q01_mention_rules",
@@ -109,7 +101,7 @@ def _unpaired(plan):
 )
 def unpaired_nulls(spark, sf_dir):
     """Nulls with no abstention at all are reported; with the plan's own rows none is."""
-    plan = TQ.plan(spark, sf_dir, V.SPARSE)
+    plan = TQ.plan(spark, sf_dir, V.THIN)
     estimates = _unpaired(plan)
     none = plan.abstentions().filter("reason = 'no such reason'")
     lost = Q.unpaired_nulls(estimates, none).select("what", "brand")
@@ -235,7 +227,7 @@ def stratified_sample(spark, sf_dir):
 def mentions_table(spark, sf_dir):
     """Written as partitioned Parquet and read back."""
     got = M.mentions(M.parse(SQ.items(spark, sf_dir, "youtube"), "youtube", SQ.TERMS))
-    path = fresh_path(spark, "mentions")
+    path = T.fresh_path(spark, "mentions")
     T.write_table(got, path, "s1")
     back = T.read_table(spark, path, "s1")
     assert back.drop("session_id").columns == schemas.columns(schemas.MENTION)
@@ -247,10 +239,11 @@ def mentions_table(spark, sf_dir):
     LQ.LABELS + "SELECT mention_id, brand, label, corroboration FROM lab WHERE c_status = 'ok'",
 )
 def labels_table(spark, sf_dir):
-    """Written as JSON lines and read back, the last line per key."""
+    """Written as JSON lines in two batches and read back, the last line per key."""
     rows = LQ.labelled(spark, sf_dir).filter("label is not null")
-    path = fresh_path(spark, "labels")
-    T.write_labels(rows, path)
+    path = T.fresh_path(spark, "labels")
+    T.write_labels(rows.withColumns({"label": F.lit("outdated"), "corroboration": F.lit("none")}), path, 0)
+    T.write_labels(rows, path, 1)
     return T.read_labels(spark, path).select("mention_id", "brand", "label", "corroboration")
 
 
@@ -278,7 +271,7 @@ def _stream(spark, sf_dir, name):
 )
 def ledger_stream(spark, sf_dir):
     log = V.runs_log(spark, sf_dir, _stream(spark, sf_dir, "lineitem"))
-    path = fresh_path(spark, "ledger")
+    path = T.fresh_path(spark, "ledger")
     streams.start_ledger_stream(log, f"{path}/state", f"{path}/progress").awaitTermination()
     return streams.ledger_state(spark, f"{path}/state").select(
         "local_seq", "run_id", "input_digest", "status", "cost_source"
@@ -298,7 +291,7 @@ def daily_stream(spark, sf_dir):
         "cluster_key", F.lit("").alias("text"),
     )
     twice = once.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    path = fresh_path(spark, "daily")
+    path = T.fresh_path(spark, "daily")
     streams.start_daily_stream(twice, f"{path}/days", f"{path}/progress").awaitTermination()
     got = streams.closed_days(spark, f"{path}/days")
     return got.select(F.col("day").cast("string").alias("day"), "brand", "n")

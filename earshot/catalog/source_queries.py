@@ -410,10 +410,13 @@ _LEX_VALUES = ", ".join(
 SELECT polarity, count(*) AS n FROM w JOIN lex USING (term) GROUP BY polarity""",
 )
 def lexicon_use(spark, sf_dir):
-    """Documents that contain a single-word lexicon term, by polarity."""
+    """Documents that contain a single-word lexicon term, by polarity; the lexicon is read from its file form."""
     from earshot.functions import text as X
 
-    lexicon = T.default_lexicon(spark).filter(~F.col("term").contains(" "))
+    path = T.fresh_path(spark, "lexicon")
+    sign = F.when(F.col("polarity") > 0, "+").otherwise("-")
+    T.default_lexicon(spark).select(F.concat(sign, F.lit("\t"), "term").alias("value")).write.text(path)
+    lexicon = T.read_lexicon(spark, path).filter(~F.col("term").contains(" "))
     words = V.table(spark, sf_dir, "documents").select(
         F.explode(F.array_distinct(F.split(X.normalize("text"), r"(?U)[^\w]+"))).alias("term")
     )

@@ -15,18 +15,19 @@ from earshot.plans.stats import StatsPlan
 B_CHECK = 200
 EV = V.with_("ev", "rows")
 SPIKE = V.with_("ev_spikes", "rows")
-SPARSE = V.with_("ev_sparse", "rows")
+THIN = V.with_("ev_thin", "rows")
 
 
-def plan(spark, sf_dir, keep=None, b=B_CHECK):
+def plan(spark, sf_dir, shape=None, b=B_CHECK):
+    brands = (*V.BRANDS, V.REST) if shape == V.THIN else V.BRANDS
     return StatsPlan(
-        V.ev_labelled(spark, sf_dir, keep),
-        R.brand_table(spark, V.BRANDS),
+        V.ev_labelled(spark, sf_dir, shape),
+        R.brand_table(spark, brands),
         V.EV_BASIS,
         V.NOW,
         b=b,
-        # Replayable draws while they are affordable, so that the SQL can repeat them.
-        method="auto",
+        # Draws that the SQL can repeat.
+        method="counter",
     )
 
 
@@ -136,7 +137,7 @@ def distinct_clusters(spark, sf_dir):
     return plan(spark, sf_dir).counts().select("brand", "clusters_n_all", "clusters_n_basis")
 
 
-_MINIMUMS = SPARSE + """, per AS (
+_MINIMUMS = THIN + """, per AS (
   SELECT brand, count(*) FILTER (period = 'current') AS cur,
     count(DISTINCT cluster_key) FILTER (period = 'current') AS ccur,
     count(*) FILTER (period = 'previous') AS prev,
@@ -155,7 +156,7 @@ SELECT brand, CASE WHEN level <> '' THEN 'net: ' || level END AS level_detail,
 
 @query("p06_minimums", _MINIMUMS)
 def minimums(spark, sf_dir):
-    points = plan(spark, sf_dir, V.SPARSE).net_points()
+    points = plan(spark, sf_dir, V.THIN).net_points()
     return points.select("brand", "level_detail", "wow_detail")
 
 
@@ -465,7 +466,7 @@ UNION ALL SELECT brand, 'below_minimum', 'share: ' || wow FROM share WHERE wow <
 -- SELECT brand, CASE WHEN level""").split("-- SELECT")[0],
 )
 def family_abstentions(spark, sf_dir):
-    rows = verdicts.family_abstentions(plan(spark, sf_dir, V.SPARSE).tests())
+    rows = verdicts.family_abstentions(plan(spark, sf_dir, V.THIN).tests())
     return rows.filter("reason = 'below_minimum'").select("brand", "reason", "detail")
 
 

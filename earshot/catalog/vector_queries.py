@@ -16,12 +16,11 @@ def unit(spark, sf_dir):
     return X.with_unit_vectors(V.vec_mentions(spark, sf_dir))
 
 
-@query("f33_unit_vector", VEC + """SELECT mention_id, round(u[1], 9) AS u1, round(u[2], 9) AS u2,
-  round(u[3], 9) AS u3, round(u[4], 9) AS u4 FROM vec""")
+@query("f33_unit_vector", VEC + "SELECT mention_id, " + ", ".join(f"round(u[{i}], 9) AS u{i}" for i in range(1, V.VEC_DIMS + 1)) + " FROM vec")
 def unit_vector(spark, sf_dir):
     u = unit(spark, sf_dir)
     return u.select(
-        "mention_id", *[F.round(F.col("unit")[i], 9).alias(f"u{i + 1}") for i in range(4)]
+        "mention_id", *[F.round(F.col("unit")[i], 9).alias(f"u{i + 1}") for i in range(V.VEC_DIMS)]
     )
 
 
@@ -46,7 +45,7 @@ _DIST = VEC + """, dv AS (SELECT brand, u, min(mention_id) AS cid, count(*) AS c
     _DIST + """SELECT x.brand, x.cid AS a, y.cid AS b,
   round(greatest(0, 1 - list_dot_product(x.u, y.u)), 8) AS distance, x.copies AS copies_a,
   y.copies AS copies_b FROM dv x JOIN dv y ON x.brand = y.brand AND x.cid < y.cid
-WHERE 1 - list_dot_product(x.u, y.u) <= 0.05""",
+WHERE 1 - list_dot_product(x.u, y.u) <= """ + str(V.VEC_CUT),
 )
 def close_pairs(spark, sf_dir):
     got = X.close_pairs(unit(spark, sf_dir), V.VEC_CUT)
@@ -147,7 +146,7 @@ def brand_slugs(spark, sf_dir):
     return d.select("lang", T.slug(F.concat(F.lit("Caf "), F.upper("lang"), F.lit(" & Çó."))).alias("slug"))
 
 
-_MED = GRP + """, ce AS (SELECT brand, cid, [avg(u[1]), avg(u[2]), avg(u[3]), avg(u[4])] AS c
+_MED = GRP + ", ce AS (SELECT brand, cid, [" + ", ".join(f"avg(u[{i}])" for i in range(1, V.VEC_DIMS + 1)) + """] AS c
   FROM mem GROUP BY ALL),
 cn AS (SELECT brand, cid, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM ce)"""
 
@@ -177,7 +176,7 @@ SELECT brand, cid, round(quantile_cont(net, 0.025), 9) AS ci_lo,
   round(quantile_cont(net, 0.975), 9) AS ci_hi FROM nt GROUP BY ALL""",
 )
 def topic_intervals(spark, sf_dir):
-    got = T.topic_intervals(T.unit_counts(members(spark, sf_dir)), b=200, method="auto")
+    got = T.topic_intervals(T.unit_counts(members(spark, sf_dir)), b=200, method="counter")
     return got.select("brand", "cid", *[F.round(c, 9).alias(c) for c in ("ci_lo", "ci_hi")])
 
 

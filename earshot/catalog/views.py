@@ -13,6 +13,8 @@ from earshot.functions import scalars as S
 from earshot.settings import spread
 
 NOW = datetime(2024, 1, 31)
+SPIKES, THIN = "spikes", "thin"
+SPIKE_FROM, REST = "2024-01-18", "rest"
 BRANDS = ("click", "error", "purchase", "signup", "view")
 EVENT_SOURCES = ("reddit", "tiktok", "news", "google_maps")
 
@@ -40,20 +42,30 @@ def with_(*views: str) -> str:
 
 # -- events as mentions that already carry a label ------------------------------------------------
 def ev_labelled(
-    spark: SparkSession, sf_dir: str, keep: str | None = None, events: DataFrame | None = None
+    spark: SparkSession, sf_dir: str, shape: str | None = None, events: DataFrame | None = None
 ) -> DataFrame:
+    """All events as labelled mentions.
+
+    ``shape``: ``spikes`` moves a third of each brand's rows to one day, ``thin`` leaves a
+    twentieth of the users with their brand and gives all others to one large brand.
+    """
     e = table(spark, sf_dir, "events") if events is None else events
-    if keep:
-        e = e.filter(keep)
     eid = F.col("event_id")
+    brand, at = F.col("event_type"), F.col("ts").cast("timestamp")
+    if shape == SPIKES:
+        day = F.date_add(F.lit(SPIKE_FROM).cast("date"), (F.length("event_type") % 5).cast("int"))
+        moved = day.cast("timestamp") + (at - F.date_trunc("day", at))
+        at = F.when(eid % 3 == 0, moved).otherwise(at)
+    elif shape == THIN:
+        brand = F.when(F.col("user_id") % 20 == 0, brand).otherwise(REST)
     source = _cycle(eid % 4, EVENT_SOURCES)
     return e.select(
         S.mention_id(source, eid.cast("string")).alias("mention_id"),
-        F.col("event_type").alias("brand"),
+        brand.alias("brand"),
         source.alias("source"),
         eid.alias("event_id"),
         F.col("user_id").cast("string").alias("cluster_key"),
-        F.when(eid % 11 != 0, F.col("ts").cast("timestamp")).alias("published_at"),
+        F.when(eid % 11 != 0, at).alias("published_at"),
         F.create_map(F.lit("likes"), F.floor("value").cast("long")).alias("engagement"),
         F.floor("value").cast("long").alias("engagement_score"),
         F.concat(F.lit("https://example.org/"), eid.cast("string")).alias("url"),
@@ -78,10 +90,10 @@ SQL = {}
 _EV = """{name} AS (
   SELECT substr(sha256(source || chr(10) || event_id), 1, 24) AS mention_id, *
   FROM (
-    SELECT event_id, event_type AS brand, user_id::VARCHAR AS cluster_key,
+    SELECT event_id, {brand} AS brand, user_id::VARCHAR AS cluster_key,
       CASE event_id % 4 WHEN 0 THEN 'reddit' WHEN 1 THEN 'tiktok' WHEN 2 THEN 'news'
         ELSE 'google_maps' END AS source,
-      CASE WHEN event_id % 11 <> 0 THEN ts END AS published_at,
+      CASE WHEN event_id % 11 <> 0 THEN {at} END AS published_at,
       floor(value)::BIGINT AS engagement_score,
       'https://example.org/' || event_id AS url,
       event_id % 19 <> 0 AS has_terms,
@@ -92,11 +104,17 @@ _EV = """{name} AS (
       CASE WHEN event_id % 17 = 0 THEN 'error' WHEN event_id % 17 = 1 THEN 'cached'
         ELSE 'ok' END AS status,
       CASE WHEN event_id % 5 < 3 THEN event_type || '-0' || (event_id % 5 + 1) END AS topic_id
-    FROM events {where}))"""
-SQL["ev"] = _EV.format(name="ev", where="")
-SQL["ev_spikes"] = _EV.format(name="ev", where="WHERE value > 100")
-SQL["ev_sparse"] = _EV.format(name="ev", where="WHERE user_id % 20 = 0")
-SPIKES, SPARSE = "value > 100", "user_id % 20 = 0"
+    FROM events))"""
+SQL["ev"] = _EV.format(name="ev", brand="event_type", at="ts")
+SQL["ev_spikes"] = _EV.format(
+    name="ev",
+    brand="event_type",
+    at=f"CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '{SPIKE_FROM}' + to_days((length(event_type) % 5)::INT)"
+    " + (ts - date_trunc('day', ts)) ELSE ts END",
+)
+SQL["ev_thin"] = _EV.format(
+    name="ev", brand=f"CASE WHEN user_id % 20 = 0 THEN event_type ELSE '{REST}' END", at="ts"
+)
 # Relevant rows with period, day and polarity.
 SQL["rows"] = """rel AS (
   SELECT *,
@@ -313,8 +331,9 @@ SQL["ledger"] = f"""ledger AS (
 def runs_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The provider's billing list. Some runs are missing, some have an id the ledger lacks."""
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    return o.filter(k % 5 != 0).select(
-        F.when(k % 7 == 0, F.concat(F.lit("x"), k.cast("string")))
+    return o.select(
+        F.when(k % 5 == 0, F.concat(F.lit("y"), k.cast("string")))
+        .when(k % 7 == 0, F.concat(F.lit("x"), k.cast("string")))
         .otherwise(k.cast("string"))
         .alias("run_id"),
         F.when(k % 19 != 0, F.col("o_orderdate").cast("timestamp")).alias("created_at"),
@@ -330,13 +349,13 @@ def runs_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STARTED, RECONCILED = datetime(1995, 1, 1), datetime(2002, 1, 1)
 SQL["list"] = """list AS (
-  SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'x' || o_orderkey ELSE o_orderkey::VARCHAR END AS run_id,
+  SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'y' || o_orderkey WHEN o_orderkey % 7 = 0 THEN 'x' || o_orderkey ELSE o_orderkey::VARCHAR END AS run_id,
     CASE WHEN o_orderkey % 19 <> 0 THEN o_orderdate END AS created_at,
     CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice / 1000000.0 END AS cost_usd,
     o_orderkey % 9 AS billed_units,
     CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'P' THEN 'FAILED' END AS status,
     CASE WHEN o_orderkey % 3 = 0 THEN 503 END AS http
-  FROM orders WHERE o_orderkey % 5 <> 0),
+  FROM orders),
 inwin AS (SELECT * FROM list WHERE created_at IS NULL OR
     (created_at >= TIMESTAMP '1994-12-31 23:59:00' AND created_at <= TIMESTAMP '2002-01-01 00:01:00')),
 settled AS (
@@ -350,7 +369,8 @@ settled AS (
 
 
 # -- embeddings as mention vectors ----------------------------------------------------------------
-VEC_DIMS, VEC_CUT = 4, 0.05
+# A twentieth of the pairs of a brand are closer than this.
+VEC_DIMS, VEC_CUT = 64, 0.8
 
 
 def vec_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,7 +378,7 @@ def vec_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(
         F.format_string("%06d", i).alias("mention_id"),
         F.concat(F.lit("brand"), (i % 4).cast("string")).alias("brand"),
-        F.slice("embedding", 1, VEC_DIMS).cast("array<double>").alias("vector"),
+        F.col("embedding").cast("array<double>").alias("vector"),
         F.floor(i / 3).cast("string").alias("cluster_key"),
         F.when(i % 3 == 0, "positive").when(i % 3 == 1, "negative").otherwise("irrelevant").alias("label"),
         F.lit("ok").alias("status"),
@@ -371,7 +391,7 @@ SQL["vec"] = """vec0 AS (
   SELECT vec_id, lpad(vec_id::VARCHAR, 6, '0') AS mention_id, 'brand' || (vec_id % 4) AS brand,
     (vec_id // 3)::VARCHAR AS cluster_key,
     CASE vec_id % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'irrelevant' END AS label,
-    list_transform(embedding[1:4], lambda x: x::DOUBLE) AS raw
+    list_transform(embedding, lambda x: x::DOUBLE) AS raw
   FROM embeddings),
 vec AS (
   SELECT *, list_transform(raw, lambda x: x / CASE WHEN list_dot_product(raw, raw) = 0 THEN 1.0

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from earshot.functions.text import _col
 
-VALUE_TYPE = "decimal(38,10)"
-MAX_PLACES = 10
+# A double has 17 significant digits. A number written with more places than MAX_PLACES has no
+# value here, and so is never taken for verified.
+VALUE_TYPE = "decimal(38,18)"
+MAX_PLACES = 18
 
 _MARKER = r"\[\s*[0-9a-f]{24}\s*\]"
 _HEX24 = r"(?<![0-9a-zA-Z])[0-9a-f]{24}(?![0-9a-zA-Z])"
@@ -39,7 +41,7 @@ def extract_numbers(text, spoken: bool = False) -> Column:
     def token(raw):
         frac = F.regexp_extract(raw, _PARTS, 3)
         whole = F.replace(F.regexp_extract(raw, _PARTS, 2), F.lit(","), F.lit(""))
-        value = F.concat(whole, frac).try_cast(VALUE_TYPE)
+        value = F.when(F.char_length(frac) - 1 <= MAX_PLACES, F.concat(whole, frac).try_cast(VALUE_TYPE))
         return F.struct(
             F.regexp_replace(raw, r"(?U)^\s+|\s+$", "").alias("text"),
             F.when(F.regexp_extract(raw, _PARTS, 1) != "", -value).otherwise(value).alias("value"),
@@ -53,7 +55,8 @@ def extract_numbers(text, spoken: bool = False) -> Column:
 def match_candidates(token: Column) -> Column:
     """J14. Array of {value, places}: what the token may equal; null places means exactly."""
     value, percent, decimals = token["value"], token["percent"], token["decimals"]
-    hundredth = (value / F.lit(100).cast("decimal(3,0)")).cast(VALUE_TYPE)
+    # Two more places are needed for the hundredth.
+    hundredth = F.when(decimals <= MAX_PLACES - 2, (value / F.lit(100).cast("decimal(3,0)")).cast(VALUE_TYPE))
 
     def option(v, places):
         return F.struct(v.alias("value"), places.cast("int").alias("places"))
@@ -65,7 +68,7 @@ def match_candidates(token: Column) -> Column:
         F.when(percent | (decimals >= 1), option(value, decimals)),
         F.when(percent, option(hundredth, decimals + 2)),
     )
-    return F.filter(options, lambda o: o.isNotNull())
+    return F.filter(options, lambda o: o["value"].isNotNull())
 
 
 def strip_citations(text, unknown) -> Column:

@@ -9,7 +9,7 @@ of kinds, not of mentions. Two exact ways to draw:
 * ``multinomial``: one multinomial draw per iteration over the kinds, first over groups of kinds,
   then within each group. The same distribution at a cost that does not grow with the units.
 
-``auto`` counts the units and takes ``counter`` while the draws stay below ``COUNTER_LIMIT``.
+The caller chooses; neither changes into the other with the size of the input.
 """
 
 import numpy as np
@@ -22,7 +22,6 @@ from earshot.functions.scalars import design_effect
 from earshot.operators.frame import CELL
 from earshot.operators.ranking import bucketed_running_total
 
-COUNTER_LIMIT = 50_000_000
 KINDS_PER_GROUP = 4096
 ITERATIONS_PER_TASK = 250
 _MAX_GROUPS = 4096
@@ -87,7 +86,7 @@ def resample(
     b: int = config.B_LIVE,
     seed: int = config.SEED,
     stream: str = "c",
-    method: str = "auto",
+    method: str = "multinomial",
 ) -> DataFrame:
     """B01. Weighted cell totals per iteration: (b, key, source, period, polarity, confirmed, w)."""
     if b < 1:
@@ -95,8 +94,6 @@ def resample(
     kinds = kinds.persist()
     size = kinds.agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("t")).first()
     n, t = size["n"] or 0, size["t"]
-    if method == "auto":
-        method = "counter" if n * b <= COUNTER_LIMIT else "multinomial"
     if n == 0:
         drawn = kinds.sparkSession.createDataFrame([], _DRAWN)
     elif method == "counter":

@@ -1,5 +1,8 @@
 """W03. One mention per (source, brand) and identity rule; the dropped ones say why."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +40,15 @@ def winners(keyed: DataFrame) -> DataFrame:
 def dedup(items: DataFrame) -> DataFrame:
     """All rows with ``reason`` (null where kept) and the winner's ``winner_ref``.
 
-    The lowest run, then item, wins. A key that many rows share is one row on the winner side, so
-    the join splits a skewed probe side instead of collecting it.
+    The lowest run, then item, wins. The join is on a hash of the key, so the winners get an
+    exchange of their own and the adaptive planner can split a key that many rows share.
     """
     keyed = identity(with_position(items))
-    joined = keyed.join(winners(keyed), list(KEYS))
+    hashed = F.xxhash64(*KEYS)
+    won = winners(keyed).select(*[F.col(c).alias(f"_{c}") for c in KEYS], "winner", hashed.alias("_hash"))
+    same = [F.col(c) == F.col(f"_{c}") for c in KEYS]
+    joined = keyed.withColumn("_key_hash", hashed).join(won, reduce(and_, same, F.col("_key_hash") == F.col("_hash")))
+    joined = joined.drop("_hash", "_key_hash", *[f"_{c}" for c in KEYS])
     dropped = F.col("position") != F.col("winner")
     winner_ref = F.concat(
         F.floor(F.col("winner") / _LOW).cast("string"),

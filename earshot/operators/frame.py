@@ -152,13 +152,13 @@ def wow_scope(labelled: DataFrame) -> DataFrame:
 
 def unit_index(rows: DataFrame) -> DataFrame:
     """W13. Dense 0..n-1 over (brand_order, brand, cluster_key), in that order."""
-    from earshot.operators.ranking import bucketed_rank
+    from earshot.operators.ranking import bucketed_rank, range_bucket
 
     units = rows.select("brand_order", "brand", "cluster_key").distinct()
     ranked = bucketed_rank(
         units,
         [],
-        [F.col("brand_order"), F.substring("cluster_key", 1, 3)],
+        [F.col("brand_order"), range_bucket(units, "cluster_key")],
         [F.col("cluster_key")],
         "unit",
     )

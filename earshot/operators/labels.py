@@ -85,12 +85,14 @@ def tiebreak_plan(policy: DataFrame, seed: int = config.SEED) -> DataFrame:
         "mention_id", "brand", "audited", "published_at", "n_policy"
     )
     late = F.when(F.col("audited"), 0).when(F.col("published_at").isNotNull(), 1).otherwise(2)
-    hour = F.when(~F.col("audited"), F.date_trunc("hour", "published_at"))
+    # A second of one brand can be a spike; inside it, and without a date, the id spreads the rows.
+    second = F.when(~F.col("audited"), F.date_trunc("second", "published_at"))
+    exact = F.when(late == 1, F.col("published_at"))
     bucket = [
         late,
-        F.coalesce(hour, F.lit("1970-01-01").cast("timestamp")),
-        # Undated and audited rows are ordered by id alone: their id spreads them.
-        F.when(late == 1, "").otherwise(F.substring("mention_id", 1, 3)),
+        F.coalesce(second, F.lit("1970-01-01").cast("timestamp")),
+        F.coalesce(exact, F.lit("1970-01-01").cast("timestamp")),
+        F.substring("mention_id", 1, 3),
     ]
     order = [
         late, F.when(late == 1, F.col("published_at")).asc_nulls_first(), F.col("mention_id"),

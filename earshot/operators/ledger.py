@@ -65,7 +65,12 @@ def reconcile(
         F.col("status").alias("r_status"),
         F.col("provider_http_status").alias("r_http"),
     )
-    joined = ledger.join(remote, "run_id", "left")
+    # Rows without an id can't match; they pass beside the join instead of meeting in one task.
+    joined = (
+        ledger.filter("run_id is not null")
+        .join(remote, "run_id", "left")
+        .unionByName(ledger.filter("run_id is null"), allowMissingColumns=True)
+    )
     billed = F.col("r_cost").isNotNull()
 
     def take(new, old):

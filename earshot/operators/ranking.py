@@ -27,6 +27,30 @@ def _offsets(df: DataFrame, group: Sequence[str], names: Sequence[str], measure:
     )
 
 
+BUCKETS = 256
+SAMPLE = 20_000
+
+
+def range_bucket(df: DataFrame, column: str) -> Column:
+    """A bucket number that agrees with the order of a text column and cuts it evenly.
+
+    The cuts come from the values with the least hashes, ``SAMPLE`` at most, so they are the same
+    for the same rows and fit keys with any common prefix. Ranks do not depend on the cuts.
+    """
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    taken = sorted(r[0] for r in values.orderBy(F.xxhash64(column), column).limit(SAMPLE).collect())
+    cuts = sorted({taken[i * len(taken) // BUCKETS] for i in range(1, BUCKETS)} if taken else set())
+    if not cuts:
+        return F.lit(0)
+    wide = 16
+    groups = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
+    count = lambda values: F.size(F.filter(values, lambda c: c <= F.col(column)))
+    texts = lambda values: F.array(*[F.lit(v) for v in values])
+    coarse = count(texts([g[-1] for g in groups]))
+    fine = F.when(coarse < len(groups), count(F.get(F.array(*[texts(g) for g in groups]), coarse))).otherwise(0)
+    return F.coalesce(coarse * wide + fine, F.lit(-1))
+
+
 def bucketed_rank(
     df: DataFrame,
     group: Sequence[str],

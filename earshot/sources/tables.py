@@ -1,5 +1,7 @@
 """Stored tables: JSON lines at the edge, partitioned Parquet inside."""
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -7,22 +9,40 @@ from earshot import schemas
 from earshot.functions import text as X
 from earshot.functions.word_lists import sentiment_terms
 from earshot.operators.ranking import keep_last
+from earshot.settings import checkpoint_dir
+
+
+_BATCH = "batch bigint, batch_line bigint"
 
 
 def _line_order(df: DataFrame) -> DataFrame:
-    """Order of JSON lines: file, block, then the position inside the block.
+    """``write_seq`` of JSON lines: the batch and line that the writer put into them.
 
-    ``monotonically_increasing_id`` numbers lines upward within a partition and partitions follow
-    the file splits, so later lines of one file get higher numbers.
+    Part files of an append have random names, so their order says nothing; writers number their
+    batches. Lines without a number are older than all batches and follow file, block and position.
     """
     return df.withColumn(
         "write_seq",
         F.struct(
+            F.coalesce("batch", F.lit(-1)).cast("long").alias("batch"),
+            F.coalesce("batch_line", F.lit(-1)).cast("long").alias("batch_line"),
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("line"),
         ),
-    )
+    ).drop("batch", "batch_line")
+
+
+def _numbered(df: DataFrame, batch: int) -> DataFrame:
+    if batch < 0:
+        raise ValueError("batches are numbered from 0 on")
+    return df.withColumns({"batch": F.lit(batch).cast("long"), "batch_line": F.monotonically_increasing_id()})
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder beside the session's checkpoints, which every executor can reach."""
+    checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
 
 
 def read_mentions(spark: SparkSession, path: str) -> DataFrame:
@@ -44,8 +64,9 @@ def read_table(spark: SparkSession, path: str, session_id: str | None = None) ->
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """SRC15. ``{brand, label}`` lines, the last line per mention and brand."""
-    lines = spark.read.schema(f"brand string, label struct<{_nested(schemas.LABEL)}>").json(path)
-    flat = _line_order(lines.select("brand", "label", "_metadata")).select("brand", "write_seq", "label.*")
+    schema = f"brand string, label struct<{_nested(schemas.LABEL)}>, {_BATCH}"
+    lines = spark.read.schema(schema).json(path)
+    flat = _line_order(lines.select("*", "_metadata")).select("brand", "write_seq", "label.*")
     return keep_last(flat, ["mention_id", "brand"], ["write_seq"]).drop("write_seq")
 
 
@@ -56,15 +77,22 @@ def _nested(schema: str) -> str:
     return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in fields)
 
 
-def write_labels(labels: DataFrame, path: str) -> None:
-    """SRC15. JSON lines of ``{brand, label}``."""
+def write_labels(labels: DataFrame, path: str, batch: int) -> None:
+    """SRC15. Append JSON lines of ``{brand, label}``; lines of a higher batch win."""
     names = [c for c in schemas.columns(schemas.LABEL) if c in labels.columns]
-    labels.select("brand", F.struct(*names).alias("label")).write.mode("append").json(path)
+    lines = labels.select("brand", F.struct(*names).alias("label"))
+    _numbered(lines, batch).write.mode("append").json(path)
+
+
+def write_log(log: DataFrame, path: str, batch: int) -> None:
+    """SRC16. Append lines of the run log; lines of a higher batch are later."""
+    names = [c for c in schemas.columns(schemas.RUN) if c in log.columns]
+    _numbered(log.select(*names), batch).write.mode("append").json(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """SRC16. All lines of the append-only run log, with their order."""
-    lines = spark.read.schema(schemas.RUN).json(path)
+    lines = spark.read.schema(f"{schemas.RUN}, {_BATCH}").json(path)
     return _line_order(lines.select("*", "_metadata")).drop("_metadata")
 
 

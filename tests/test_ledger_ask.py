@@ -96,7 +96,7 @@ def test_comparison_without_cost(spark):
 
 def numbers(spark, text, values, spoken=False):
     answers = spark.createDataFrame([("q", text)], "answer_id string, answer string")
-    have = spark.createDataFrame([(v,) for v in values], "v string").select(F.col("v").cast("decimal(38,10)").alias("value"))
+    have = spark.createDataFrame([(v,) for v in values], "v string").select(F.col("v").cast("decimal(38,18)").alias("value"))
     return {r["number"]: r["verified"] for r in A.number_checks(answers, have, spoken=spoken).collect()}
 
 
@@ -115,7 +115,7 @@ def test_check_answers(spark):
         "answer_id string, answer string, citations array<string>",
     )
     known = spark.createDataFrame([("m1",), ("m2",)], "mention_id string")
-    have = spark.createDataFrame([("5",)], "v string").select(F.col("v").cast("decimal(38,10)").alias("value"))
+    have = spark.createDataFrame([("5",)], "v string").select(F.col("v").cast("decimal(38,18)").alias("value"))
     got = {r["answer_id"]: r for r in A.check_answers(answers, known, have).collect()}
     assert (got["ok"]["status"], got["ok"]["citations_kept"]) == ("ok", ["m1"])
     assert (got["bad"]["status"], got["bad"]["citations_unknown"], got["bad"]["foreign_numbers"]) == ("unverified", ["m9"], ["6"])
@@ -128,3 +128,15 @@ def test_lexical_ranking_and_fallback(spark):
     df = spark.createDataFrame(rows, "mention_id string, text string, engagement_score long")
     got, method = A.retrieve(df, "Red card, the", None, 3)
     assert method == "lexical" and [r["mention_id"] for r in got.collect()] == ["m1", "m3", "m2"]
+
+
+def test_numbers_with_many_places_are_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    from earshot.operators import ask
+
+    rows = [(1, "it was 0.12345678901"), (2, "it was 0.12345678902"), (3, "it was 12.345678902%"), (4, "it was 0.1234567890212345678901")]
+    answers = spark.createDataFrame(rows, "answer_id long, answer string")
+    have = spark.createDataFrame([("0.12345678902",)], "v string").select(F.col("v").cast("decimal(38,18)").alias("value"))
+    got = {r.answer_id: r.verified for r in ask.number_checks(answers, have).collect()}
+    assert got == {1: False, 2: True, 3: True, 4: False}

@@ -69,3 +69,30 @@ def test_stratified_sample_sizes(spark):
     assert sampling.stratified_sample(df, "source", "source").count() == 50
     few = df.limit(20)
     assert sampling.stratified_sample(few, "source", "source").count() == 20
+
+
+def test_range_buckets_agree_with_the_order_and_are_even(spark):
+    from earshot.operators.ranking import range_bucket
+
+    rows = [(f"t3_{i * 7919 % 100_003:06d}",) for i in range(5000)] + [(None,)]
+    df = spark.createDataFrame(rows, "k string")
+    got = df.withColumn("b", range_bucket(df, "k")).collect()
+    order = sorted((r.k, r.b) for r in got if r.k is not None)
+    assert [b for _, b in order] == sorted(b for _, b in order)
+    sizes = {}
+    for _, b in order:
+        sizes[b] = sizes.get(b, 0) + 1
+    assert len(sizes) > 100 and max(sizes.values()) < 5000 / 40
+
+
+def test_winners_have_an_exchange_of_their_own(spark):
+    from earshot.operators import dedup
+
+    rows = [("reddit", "a", "same" if i % 2 else f"n{i}", None, "text", f"1#{i}") for i in range(200)]
+    items = spark.createDataFrame(rows, "source string, brand string, native_id string, url string, text string, raw_ref string")
+    got = dedup.dedup(items)
+    assert got.columns == [*items.columns, "reason", "winner_ref"]
+    kept = [r for r in got.collect() if r.reason is None]
+    assert len(kept) == 101 and sum(r.native_id == "same" for r in kept) == 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_key_hash" in plan

@@ -163,3 +163,22 @@ def test_whole_brief(spark):
     reasons = {(r["brand"], r["source"], r["reason"]) for r in got["abstentions"].collect()}
     assert ("Inter", "reddit", "empty") in reasons and ("Inter", None, "below_minimum") in reasons
     assert got["drift"].count() == 0 and got["mention_counts"].count() > 0
+
+
+def test_later_batches_win(spark, folder):
+    from pyspark.sql import functions as F
+
+    from earshot import schemas
+    from earshot.operators.ledger import fold_log
+    from earshot.sources import tables as T
+
+    base = spark.createDataFrame([(f"m{i}", "acme", "positive") for i in range(20)], "mention_id string, brand string, label string")
+    T.write_labels(base.repartition(4), f"{folder}/labels", 0)
+    T.write_labels(base.withColumn("label", F.lit("negative")).repartition(3), f"{folder}/labels", 1)
+    assert {r.label for r in T.read_labels(spark, f"{folder}/labels").collect()} == {"negative"}
+    log = spark.createDataFrame([(i, "PENDING") for i in range(20)], "local_seq long, status string")
+    T.write_log(log.repartition(4), f"{folder}/log", 0)
+    T.write_log(log.withColumn("status", F.lit("COMPLETED")).repartition(3), f"{folder}/log", 1)
+    back = fold_log(T.read_log(spark, f"{folder}/log"))
+    assert back.columns == schemas.columns(schemas.RUN)
+    assert back.where("status = 'COMPLETED'").count() == back.count() == 20
