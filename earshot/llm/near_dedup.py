@@ -152,15 +152,18 @@ def _blocked(sides: DataFrame) -> DataFrame:
 
 def _confirmed_in_blocks(sides: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) between query nodes and all nodes that share a bucket of a table with their block."""
-    # Tables: every pair of a node's half keys from either side.
-    entries = (
-        sides.select("node", "n", "block", F.expr(f"filter(halves, x -> x.slot < {HALVES})").alias("a"), F.expr(f"filter(halves, x -> x.slot >= {HALVES})").alias("b"))
-        .select("node", "n", "block", F.explode("a").alias("a"), "b")
-        .select("node", "n", "block", "a", F.explode("b").alias("b"))
-        .select(F.xxhash64("a.slot", "a.h", "b.slot", "b.h").alias("key"), "node", "n", "block")
+    # A table's key is a pair (a, b) of half keys, one from either side. A node is in a bucket with a
+    # block if it shares a half key of each side with it; side a is looked up first, side b only for
+    # what side a has left, so no node is written out under its HALVES ** 2 keys.
+    half = sides.select("node", "n", "block", F.explode("halves").alias("k")).select("node", "n", "block", "k.slot", "k.h")
+    asked = half.where("block IS NOT NULL").select("slot", "h", F.col("block").alias("query_block")).distinct()
+    first = half.where(F.col("slot") < HALVES).join(asked, ["slot", "h"]).select("node", F.col("query_block").alias("block")).distinct()
+    second = (
+        first.join(sides.select("node", "n", "halves"), "node")
+        .select("node", "n", "block", F.explode(F.expr(f"filter(halves, x -> x.slot >= {HALVES})")).alias("k"))
+        .select("node", "n", "block", "k.slot", "k.h")
     )
-    wanted = entries.where("block IS NOT NULL").select("key", F.col("block").alias("query_block")).distinct()
-    near = entries.join(wanted, "key").select("node", "n", F.col("query_block").alias("block")).distinct().checkpoint()
+    near = second.join(asked.withColumnRenamed("query_block", "block"), ["slot", "h", "block"], "left_semi").select("node", "n", "block").distinct().checkpoint()
     salts = F.ceil(F.greatest(F.count(F.lit(1)) / (8 * BLOCK_NODES), F.sum("n") / (8 * BLOCK_SHINGLES))).cast("int")
     counts = near.groupBy("block").agg(salts.alias("salts")).checkpoint()
     rows = near.join(counts, "block").join(sets, "node").select("block", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node", "shingles")
