@@ -135,6 +135,18 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
 
 
+#: Ids that are sent to every worker (8 bytes each, before the hash table), at most.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def id_filter(ids: DataFrame) -> DataFrame:
+    """Ids for a semi or anti join, written to the shared folder: sent to every worker if they are
+    at most ``MAX_BROADCAST_IDS``, so that texts stay where they are; a plain join side beyond that.
+    """
+    done = ids.checkpoint()
+    return F.broadcast(done) if done.count() <= MAX_BROADCAST_IDS else done
+
+
 def crc_bucket(id_col: str, buckets: int) -> Column:
     """crc32 of an id as text, modulo ``buckets``; ids that are null count as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(buckets))

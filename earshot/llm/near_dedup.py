@@ -182,7 +182,7 @@ def _confirmed_in_blocks(sides: DataFrame, sets: DataFrame) -> DataFrame:
 def _node_sets(base: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """Full sets (node, shingles) of the wanted nodes, from the texts that have them."""
     known = nodes.select("digest", "node").join(wanted, "node", "left_semi")
-    own = base.join(wanted.select(F.col("node").alias("id")), "id", "left_semi")
+    own = base.join(C.id_filter(wanted.select(F.col("node").alias("id"))), "id", "left_semi")
     sets = C.map_texts(own, "text", _sets, "digest binary, shingles array<long>", keep=["id"])
     # An id that stands for a node may have other texts as well.
     return sets.join(known.select(F.col("node").alias("id"), "digest"), ["id", "digest"]).dropDuplicates(["id"]).select(F.col("id").alias("node"), "shingles").checkpoint()
@@ -220,6 +220,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     gone = near_components(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
     row = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"))
-    kept = row.join(gone, F.col("_id") == F.col("_gone"), "left_anti")
-    known = kept.where("_id IS NOT NULL").dropDuplicates(["_id", "row"])
-    return known.union(kept.where("_id IS NULL")).select("row.*")
+    kept = row.join(C.id_filter(gone), F.col("_id") == F.col("_gone"), "left_anti")
+    # Only rows whose id comes up again can repeat each other; the others need not be compared.
+    again = row.where("_id IS NOT NULL").groupBy("_id").count().where("count > 1").select(F.col("_id").alias("_again"))
+    again = C.id_filter(again)
+    once = kept.join(again, F.col("_id") == F.col("_again"), "left_anti")
+    more = kept.join(again, F.col("_id") == F.col("_again"), "left_semi").dropDuplicates(["_id", "row"])
+    return once.union(more).select("row.*")
