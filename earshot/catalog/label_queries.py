@@ -6,6 +6,7 @@ from earshot.catalog import views as V
 from earshot.catalog.registry import query
 from earshot.operators import frame as R
 from earshot.operators import labels as L
+from earshot.settings import keep
 
 SIG = V.with_("docm", "sig")
 _POLICY = ("c_status = 'ok' AND c_about AND len(terms) > 0 AND c_label IN "
@@ -32,7 +33,7 @@ def seen(spark, sf_dir):
 
 def policy(spark, sf_dir):
     """Policy rows without their texts; the plan reads them several times."""
-    return seen(spark, sf_dir).filter(L.is_policy_row()).drop("text", "norm").persist()
+    return keep(seen(spark, sf_dir).drop("text", "norm")).filter(L.is_policy_row())
 
 
 @query(

@@ -9,6 +9,7 @@ from earshot.functions import text as X
 from earshot.operators.frame import relevant_for_stats
 from earshot.operators.ranking import keep_first
 from earshot.operators.vectors import cosine_top_k
+from earshot.settings import keep
 
 
 def brand_rows(labelled: DataFrame, brand: str) -> DataFrame:
@@ -56,9 +57,14 @@ def citation_checks(answers: DataFrame, known: DataFrame) -> DataFrame:
         .groupBy("answer_id", "cited")
         .agg(F.min("position").alias("position"))
     )
-    have = known.select(F.col("mention_id").alias("cited")).distinct().withColumn("_k", F.lit(True))
-    return cited.join(have, "cited", "left").select(
-        "answer_id", "position", "cited", F.coalesce("_k", F.lit(False)).alias("known")
+    # The join is on a hash, so the known side has an exchange of its own and a citation that all
+    # answers share can be split.
+    have = known.select(F.col("mention_id").alias("_k")).distinct().withColumn("_have", F.xxhash64("_k"))
+    found = cited.withColumn("_hash", F.xxhash64("cited")).join(
+        have, (F.col("_hash") == F.col("_have")) & (F.col("cited") == F.col("_k")), "left"
+    )
+    return found.select(
+        "answer_id", "position", "cited", F.col("_k").isNotNull().alias("known")
     )
 
 
@@ -96,9 +102,11 @@ def number_checks(
         "answer_id", *scope, F.posexplode(N.extract_numbers(source, spoken)).alias("position", "token")
     )
     # One row per distinct number of an answer; kept, since both joins and the result read it.
-    tokens = tokens.groupBy(
-        "answer_id", *scope, F.col("token.text").alias("number")
-    ).agg(F.min("position").alias("position"), F.first("token").alias("token")).persist()
+    tokens = keep(
+        tokens.groupBy("answer_id", *scope, F.col("token.text").alias("number")).agg(
+            F.min("position").alias("position"), F.first("token").alias("token")
+        )
+    )
     options = tokens.select(
         "answer_id", *scope, "number", F.explode(N.match_candidates(F.col("token"))).alias("o"),
     ).select("answer_id", *scope, "number", "o.value", "o.places")

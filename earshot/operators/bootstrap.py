@@ -21,6 +21,7 @@ from earshot import config
 from earshot.functions.scalars import design_effect
 from earshot.operators.frame import CELL
 from earshot.operators.ranking import bucketed_running_total
+from earshot.settings import keep
 
 KINDS_PER_GROUP = 4096
 ITERATIONS_PER_TASK = 250
@@ -91,7 +92,7 @@ def resample(
     """B01. Weighted cell totals per iteration: (b, key, source, period, polarity, confirmed, w)."""
     if b < 1:
         raise ValueError("b must be at least 1")
-    kinds = kinds.persist()
+    kinds = keep(kinds)
     size = kinds.agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("t")).first()
     n, t = size["n"] or 0, size["t"]
     if n == 0:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from earshot import config
 from earshot.functions import text as X
 from earshot.operators.ranking import bucketed_rank, keep_first
+from earshot.settings import keep
 
 _ANSWER = ("status", "label", "about_brand", "confidence", "rationale")
 
@@ -161,7 +162,7 @@ def label_mentions(
         "c_confidence", "c_rationale", "c_cached", "matched_terms",
     ).withColumn("policy", is_policy_row())
     # Read several times below and free of texts: keep it, so texts are scored once.
-    narrow = narrow.persist()
+    narrow = keep(narrow)
     plan = tiebreak_plan(narrow.filter("policy"), seed).select(
         "mention_id", "brand", "audited", "triggered", "called"
     )

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from earshot import config
 from earshot.functions import scalars as S
 from earshot.operators.ranking import top_per_group
-from earshot.settings import checkpoint_dir
+from earshot.settings import checkpoint_dir, keep
 
 BLOCK = 2048
 _NEAREST = "brand string, cid string, d double, a string, b string"
@@ -229,7 +229,7 @@ def average_linkage(
     Brands with at most ``small`` distinct vectors are clustered in one task each, others in
     rounds over blocks of ``block``; both give the same clusters.
     """
-    rows = distinct_vectors(unit).persist()
+    rows = keep(distinct_vectors(unit))
     sizes = rows.groupBy("brand").agg(F.count(F.lit(1)).alias("_n"))
     sized = rows.drop("vkey").join(sizes, "brand")
     merged = (
@@ -334,3 +334,13 @@ def embedding_misses(texts: DataFrame, cache: DataFrame, model: str) -> DataFram
     keyed = texts.select(S.embedding_key(model, "text").alias("key"), "text")
     first = keyed.groupBy("key").agg(F.first("text").alias("text"))
     return first.join(cache.select("key"), "key", "left_anti")
+
+
+def embed_misses(misses: DataFrame, embed) -> DataFrame:
+    """X02. Run a user-supplied ``embed(list of texts) -> list of vectors`` on the cache misses, batch by batch."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[["key"]].assign(vector=[[float(x) for x in v] for v in embed(list(pdf["text"]))])
+
+    return misses.select("key", "text").mapInPandas(run, "key string, vector array<double>")

@@ -36,6 +36,12 @@ class Inputs:
     listing: DataFrame
     llm_calls: DataFrame
     lexicon: Mapping[str, int] | None = None
+    # Optional: looked-up entities (brand, source, entity); the planner's coverage gaps, skipped
+    # sources (source, reason, note) and notes (note, position).
+    entities: DataFrame | None = None
+    gaps: DataFrame | None = None
+    skipped: DataFrame | None = None
+    notes: DataFrame | None = None
 
 
 def run(spark: SparkSession, x: Inputs, b: int = config.B_LIVE, seed: int = config.SEED) -> dict[str, DataFrame]:
@@ -46,6 +52,12 @@ def run(spark: SparkSession, x: Inputs, b: int = config.B_LIVE, seed: int = conf
     """
     checkpoint_dir(spark)
     items = payloads.payload_items(x.runs)
+    lost = None
+    if x.entities is not None:
+        # Only sources that need a lookup are held back by it.
+        looked_up = x.entities.select("source").distinct()
+        found, lost = normalise.resolved_reviews(items.join(looked_up, "source", "left_semi"), x.entities)
+        items = items.join(looked_up, "source", "left_anti").unionByName(found)
     parsed = normalise.parse_all(items, x.terms, x.sources).checkpoint()
     fetched = normalise.mentions(parsed)
     deduped = dedup.dedup(fetched).checkpoint()
@@ -86,6 +98,17 @@ def run(spark: SparkSession, x: Inputs, b: int = config.B_LIVE, seed: int = conf
         "total_usd", F.col("provider_usd") + F.col("llm_usd")
     )
     audit = labels.audit(labelled_rows)
+    if lost is not None:
+        abstained = abstained.unionByName(lost.select("scope", "brand", "source", "reason", F.lit("").alias("detail"))).distinct()
+    gap = "source string, reason string, note string"
+    none = spark.createDataFrame([], gap)
+    gaps, skipped = (none if table is None else table for table in (x.gaps, x.skipped))
+    notes = x.notes if x.notes is not None else spark.createDataFrame([], "note string, position long")
+    verdict = ledger.verdict(settled, unmatched)
+    stored = totals.withColumn("_one", F.lit(1))
+    for table in (verdict.select("verdict"), ledger.ledger_digest(settled).select("content_digest")):
+        stored = stored.join(table.withColumn("_one", F.lit(1)), "_one")
+    stored = stored.drop("_one").withColumn("replay", F.lit(False))
     place = lambda df: df.withColumn("position", F.lit(0)).select(
         "scope", "brand", "source", "reason", "detail", "position"
     )
@@ -106,7 +129,12 @@ def run(spark: SparkSession, x: Inputs, b: int = config.B_LIVE, seed: int = conf
         "unmatched_remote": unmatched,
         "totals": totals,
         "llm_usage": usage,
-        "verdict": ledger.verdict(settled, unmatched),
+        "verdict": verdict,
+        "receipt_check": ledger.verify_receipt(stored, settled, unmatched),
+        "coverage_gaps": sets.coverage_gaps(gaps, skipped),
+        "notes": sets.distinct_notes(notes),
+        "parse_report": counts.parse_report(parsed),
+        "source_costs": counts.source_costs(kept, settled),
         "comparison": ledger.comparison(totals),
         "scorecard": counts.scorecard(totals, audit),
     }

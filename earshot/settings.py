@@ -37,6 +37,12 @@ def checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(configured)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """A table that is read several times: written once to the shared folder, nothing stays persisted."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give heavy per-row work to every core when the scan is smaller than the cluster.
 

@@ -18,6 +18,18 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
 
 
+def run_payloads(spark: SparkSession, path: str, log: DataFrame) -> DataFrame:
+    """SRC01. Stored run bodies with the run's columns, as ``payload_items`` reads them.
+
+    A body's file is named by its run id (``<run_id>.json``); ``log`` is the folded run log. Files
+    of unknown runs give no row.
+    """
+    stem = F.regexp_extract("file", r"([^/]+?)(?:\.json)?$", 1)
+    bodies = read_payloads(spark, path).select(F.url_decode(stem).alias("run_id"), "body")
+    runs = log.filter("run_id is not null").select("local_seq", "run_id", "brand", "source")
+    return bodies.join(runs, "run_id").select("local_seq", "run_id", "brand", "source", "body")
+
+
 def value(item, path: str) -> Column:
     """A field as a semi-structured value, null where absent."""
     item = F.col(item) if isinstance(item, str) else item

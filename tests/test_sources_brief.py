@@ -163,6 +163,32 @@ def test_whole_brief(spark):
     reasons = {(r["brand"], r["source"], r["reason"]) for r in got["abstentions"].collect()}
     assert ("Inter", "reddit", "empty") in reasons and ("Inter", None, "below_minimum") in reasons
     assert got["drift"].count() == 0 and got["mention_counts"].count() > 0
+    assert got["receipt_check"].first()["status"] == "ok"
+    assert [r["source"] for r in got["coverage_gaps"].collect()] == ["x"] and got["notes"].count() == 1
+    assert {r["brand"] for r in got["parse_report"].collect()} == {"Nubank", "Inter"}
+    assert got["source_costs"].filter("n_mentions > 0").count() > 0
+
+
+def test_run_bodies_are_read_with_their_run(spark, folder):
+    from earshot.sources import payloads as P
+
+    for run_id, body in (("r 1", '{"items": [{"id": "a"}, {"id": "b"}]}'), ("r2", "[]"), ("other", "[1]")):
+        with open(f"{folder}/{run_id}.json", "w") as out:
+            out.write(body)
+    log = spark.createDataFrame([(7, "r 1", "acme", "news"), (8, "r2", "acme", "reddit"), (9, None, "acme", "reddit")], "local_seq long, run_id string, brand string, source string")
+    items = P.payload_items(P.run_payloads(spark, folder, log)).collect()
+    assert sorted((r["local_seq"], r["source"]) for r in items)[:2] == [(7, "news"), (7, "news")]
+
+
+def test_embedding_runner(spark):
+    from earshot.operators import vectors as V
+
+    texts = spark.createDataFrame([("a",), ("bb",), ("a",)], "text string")
+    cache = spark.createDataFrame([], "key string, vector array<double>")
+    misses = V.embedding_misses(texts, cache, "m")
+    got = V.embed_misses(misses, lambda batch: [[len(t), 1] for t in batch])
+    assert sorted(r["vector"] for r in got.collect()) == [[1.0, 1.0], [2.0, 1.0]]
+    assert V.embedding_misses(texts, got, "m").count() == 0
 
 
 def test_later_batches_win(spark, folder):
