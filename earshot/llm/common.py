@@ -127,6 +127,29 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(mix(total))
 
 
+def char_grams(words: list[str], orders: range, buckets: int, longest: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams of words with marked ends: buckets, and the word each belongs to.
+
+    All words are handled at once, as one array of code points; only the first ``longest``
+    characters of a word have n-grams.
+    """
+    marked = [f"<{w[:longest]}>" for w in words]
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    owner = np.repeat(np.arange(len(marked)), sizes)
+    end = np.cumsum(sizes)[owner] if len(marked) else np.empty(0, np.int64)
+    place = np.arange(len(points))
+    rows, owners = [], []
+    for n in orders:
+        at = place[place + n <= end]
+        h = np.full(len(at), n, dtype=np.uint64)
+        for k in range(n):
+            h = h * _ODD[0] + points[at + k]
+        rows.append((mix(h) % _U(buckets)).astype(np.int64))
+        owners.append(owner[at])
+    return np.concatenate(rows), np.concatenate(owners)
+
+
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """One list per row of numpy parts."""
     offsets = np.zeros(len(parts) + 1, dtype=np.int32)

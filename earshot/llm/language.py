@@ -49,23 +49,21 @@ RANGES = [
 ]
 _STARTS = [start for start, _ in RANGES]
 _WORD = re.compile(r"[^\W\d_]+")
-_ORDERS = (1, 2, 3, 4)
+_ORDERS = range(1, 5)
+#: Rows of the table of hashed n-grams, and the characters of a word that count.
+BUCKETS = 1 << 18
+LONGEST = 40
 
 
 def script(letter: str) -> str:
     return RANGES[bisect.bisect_right(_STARTS, ord(letter)) - 1][1]
 
 
-def grams(word: str) -> list[str]:
-    marked = f"<{word[:40]}>"
-    return [marked[i : i + n] for n in _ORDERS for i in range(len(marked) - n + 1)]
-
-
 class Model:
-    """Log-probabilities of n-grams for each language, and the scripts each one uses."""
+    """Scaled log-probabilities of hashed n-grams for each language, and the scripts each one uses."""
 
-    def __init__(self, langs: list[str], table: dict[str, np.ndarray], unseen: np.ndarray, scripts: dict[str, np.ndarray]):
-        self.langs, self.table, self.unseen, self.scripts = langs, table, unseen, scripts
+    def __init__(self, langs: list[str], table: np.ndarray, scripts: dict[str, np.ndarray]):
+        self.langs, self.table, self.scripts = langs, table, scripts
         self._start()
 
     def _start(self) -> None:
@@ -73,41 +71,54 @@ class Model:
         self._scores = np.zeros((4096, len(self.langs)), dtype=np.float64)
 
     def __getstate__(self):
-        return (self.langs, self.table, self.unseen, self.scripts)
+        return (self.langs, self.table, self.scripts)
 
     def __setstate__(self, state):
-        self.langs, self.table, self.unseen, self.scripts = state
+        self.langs, self.table, self.scripts = state
         self._start()
 
-    def word_scores(self, word: str) -> np.ndarray:
-        """Score of a lower-cased word for each language, 0 for the best one."""
-        candidates = self.scripts.get(script(word[0]))
-        if candidates is None or not candidates.any():
-            return np.zeros(len(self.langs))
-        table, unseen = self.table, self.unseen
-        total = np.sum([table.get(g, unseen) for g in grams(word)], axis=0)
-        total = np.where(candidates, total, -np.inf)
-        return np.maximum(total - total.max(), -WORD_LIMIT)
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Scores of lower-cased words for each language, 0 for a word's best one."""
+        rows, owner = C.char_grams(words, _ORDERS, BUCKETS, LONGEST)
+        total = np.stack([np.bincount(owner, weights=self.table[rows, k], minlength=len(words)) for k in range(len(self.langs))], 1)
+        # Rows of the scripts' table: 0 for scripts that no language uses.
+        number = {name: i for i, name in enumerate(self.scripts, 1)}
+        allowed = np.stack([np.ones(len(self.langs), dtype=bool), *[v if v.any() else np.ones(len(self.langs), dtype=bool) for v in self.scripts.values()]])
+        usable = np.array([False, *[bool(v.any()) for v in self.scripts.values()]])
+        letters = {c: number.get(script(c), 0) for c in {w[0] for w in words}}
+        used = np.fromiter((letters[w[0]] for w in words), np.int64, len(words))
+        known = usable[used]
+        total = np.where(allowed[used], total, -np.inf)
+        total = np.maximum(total - total.max(1, keepdims=True), -WORD_LIMIT)
+        return np.where(known[:, None], total, 0.0)
+
+    def learn(self, words: set[str]) -> None:
+        """Take the scores of words into the table."""
+        new = sorted(words.difference(self._row))
+        for i in range(0, len(new), 50_000):
+            part = new[i : i + 50_000]
+            first = len(self._row)
+            while first + len(part) > len(self._scores):
+                self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
+            self._scores[first : first + len(part)] = self.word_scores(part)
+            self._row.update(zip(part, range(first, first + len(part))))
+
+    def batch(self, texts: list[str]) -> list[tuple[list[tuple[int, int, str]], str, float]]:
+        """``spans`` of many texts: all their new words are scored at once, in a table that starts anew when full."""
+        if len(self._row) > C.CACHE_WORDS:
+            self._start()
+        words = [_WORD.findall(t) for t in texts]
+        lowered = [list(map(str.lower, ws)) for ws in words]
+        if self.langs:
+            self.learn(set().union(*lowered))
+        return [self._spans(*x) for x in zip(texts, words, lowered)]
 
     def _rows(self, words: list[str]) -> np.ndarray:
-        known = self._row
-        found = list(map(known.get, words))
-        if None in found:
-            # The table starts anew between texts, so its rows stay valid within one.
-            for w in words:
-                if w not in known:
-                    k = known[w] = len(known)
-                    if k >= len(self._scores):
-                        self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
-                    self._scores[k] = self.word_scores(w)
-            found = list(map(known.get, words))
-        return self._scores[found]
+        return self._scores[list(map(self._row.__getitem__, words))]
 
     def label(self, words: list[str]) -> np.ndarray:
-        """Language number of each word."""
-        if len(self._row) > C.CACHE_WORDS:
-            self._start()
-        s = self._rows([w.lower() for w in words])
+        """Language number of each lower-cased word."""
+        s = self._rows(words)
         best = int(s.sum(0).argmax())
         gain = np.cumsum(s - s[:, best : best + 1], axis=0)
         low = np.minimum(np.minimum.accumulate(gain, axis=0), 0.0)
@@ -118,10 +129,12 @@ class Model:
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, str]], str, float]:
         """Spans (start, end, language) in characters, the text's language and its share of the letters."""
-        words = _WORD.findall(text)
+        return self.batch([text])[0]
+
+    def _spans(self, text: str, words: list[str], lowered: list[str]) -> tuple[list[tuple[int, int, str]], str, float]:
         if not words or not self.langs:
             return [], UNKNOWN, 0.0
-        labels = self.label(words)
+        labels = self.label(lowered)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         letters = np.bincount(labels, weights=sizes, minlength=len(self.langs))
         top = int(letters.argmax())
@@ -158,36 +171,32 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 def train(samples: list[tuple[str, str]]) -> Model:
     """Learn from (language, text) pairs."""
     langs = sorted({lang for lang, _ in samples})
-    number = {lang: i for i, lang in enumerate(langs)}
-    counts: dict[str, np.ndarray] = {}
+    counts = np.zeros((len(_ORDERS), BUCKETS, len(langs)))
     letters: dict[str, np.ndarray] = {}
-    for lang in langs:
-        i = number[lang]
-        words: dict[str, int] = {}
+    for i, lang in enumerate(langs):
+        forms: dict[str, int] = {}
         for own, text in samples:
             if own == lang:
                 for w in _WORD.findall(text):
                     w = w.lower()
-                    words[w] = words.get(w, 0) + 1
-        for w, k in words.items():
+                    forms[w] = forms.get(w, 0) + 1
+        names = list(forms)
+        times = np.array(list(forms.values()), dtype=float)
+        for w, k in forms.items():
             letters.setdefault(script(w[0]), np.zeros(len(langs)))[i] += k * len(w)
-            # Frequent words count in full; each form also counts by itself.
-            for g in grams(w):
-                counts.setdefault(g, np.zeros(len(langs)))[i] += k
-    table: dict[str, np.ndarray] = {}
-    totals = np.zeros((len(_ORDERS) + 1, len(langs)))
-    kinds = np.zeros(len(_ORDERS) + 1)
-    for g, c in counts.items():
-        totals[len(g)] += c
-        kinds[len(g)] += 1
-    for g, c in counts.items():
-        n = len(g)
-        # Logarithms are scaled down, as overlapping n-grams repeat each other's evidence.
-        table[g] = np.log((c + 0.5) / (totals[n] + 0.5 * (kinds[n] + 1))) / len(_ORDERS)
-    unseen = np.zeros(len(langs))
+        for j, n in enumerate(_ORDERS):
+            rows, owner = C.char_grams(names, range(n, n + 1), BUCKETS, LONGEST)
+            counts[j, :, i] = np.bincount(rows, weights=times[owner], minlength=BUCKETS)
+    # Each bucket's score is the sum over the orders that use it; nothing is known where none does.
+    table = np.zeros((BUCKETS, len(langs)))
+    for c in counts:
+        seen = c.any(axis=1)
+        share = np.log((c[seen] + 0.5) / (c.sum(0) + 0.5 * (seen.sum() + 1)))
+        # Scaled down, as overlapping n-grams repeat each other's evidence.
+        table[seen] += share / len(_ORDERS)
     whole = sum(letters.values()) if letters else np.ones(len(langs))
     scripts = {name: v >= 0.01 * np.maximum(whole, 1) for name, v in letters.items()}
-    return Model(langs, table, unseen, scripts)
+    return Model(langs, table, scripts)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -202,7 +211,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             total += r.size
             ids.append(r.id)
     if not ids:
-        return Model([], {}, np.zeros(0), {})
+        return Model([], np.zeros((BUCKETS, 0)), {})
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "w long"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), C.utf8(text_col).alias("text"))
     got = rows.where("lang IS NOT NULL").join(wanted, F.col("id") == F.col("w"), "left_semi").orderBy("id", "lang").collect()
@@ -216,7 +225,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(texts: list[bytes]) -> list[pa.Array]:
-        made = [sent.value.spans(t.decode("utf-8", "replace")) for t in texts]
+        made = sent.value.batch([t.decode("utf-8", "replace") for t in texts])
         spans = [[{"start": a, "end": b, "lang": c} for a, b, c in m[0]] for m in made]
         return [pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], pa.float64()), pa.array(spans, kind)]
 

@@ -49,11 +49,11 @@ def words(text: bytes) -> list[str]:
     return _WORD.findall(text.decode("utf-8", "replace").lower())
 
 
-def subwords(word: str) -> list[int]:
-    """Table rows of a word: itself and its n-grams of 3 to 6 characters."""
-    marked = f"<{word[:64]}>"
-    grams = {marked} | {marked[i : i + n] for n in range(3, 7) for i in range(len(marked) - n + 1)}
-    return [xxhash.xxh3_64_intdigest(g) % BUCKETS for g in sorted(grams)]
+def subwords(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Table rows of words, and the word each belongs to: itself and its n-grams of 3 to 6 characters."""
+    rows, owner = C.char_grams(names, range(3, 7), BUCKETS)
+    whole = np.fromiter((xxhash.xxh3_64_intdigest(w) % BUCKETS for w in names), np.int64, len(names))
+    return np.concatenate([rows, whole]), np.concatenate([owner, np.arange(len(names))])
 
 
 class Model:
@@ -63,20 +63,25 @@ class Model:
         self.parts, self.bias = parts, bias
         self._words: dict[str, float] = {}
 
-    def word(self, word: str) -> float:
-        value = self._words.get(word)
-        if value is None:
-            if len(self._words) >= C.CACHE_WORDS:
-                self._words.clear()
-            value = self._words[word] = float(self.parts[subwords(word)].mean())
-        return value
+    def _learn(self, names: list[str]) -> None:
+        """Score parts of words that are not in the table yet."""
+        rows, owner = subwords(names)
+        total = np.bincount(owner, weights=self.parts[rows], minlength=len(names))
+        self._words.update(zip(names, (total / np.bincount(owner, minlength=len(names))).tolist()))
+
+    def scores(self, texts: list[bytes]) -> list[float]:
+        bags = [words(t) for t in texts]
+        if len(self._words) > C.CACHE_WORDS:
+            self._words = {}
+        missing = list(set().union(*bags).difference(self._words)) if bags else []
+        for i in range(0, len(missing), 50_000):
+            self._learn(missing[i : i + 50_000])
+        part = self._words.__getitem__
+        z = np.array([self.bias + (sum(map(part, bag)) / len(bag) if bag else 0.0) for bag in bags])
+        return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
 
     def score(self, text: bytes) -> float:
-        ws = words(text)
-        known = self._words
-        total = sum([known[w] if w in known else self.word(w) for w in ws])
-        z = self.bias + (total / len(ws) if ws else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return self.scores([text])[0]
 
 
 def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
@@ -102,10 +107,10 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7
         word += list(counts)
         share += [c / len(bag) for c in counts.values()]
     doc, word, share = np.array(doc, np.int64), np.array(word, np.int64), np.array(share, np.float32)
-    subs = [subwords(w) for w in vocabulary]
-    rows, sub = np.unique(np.concatenate([np.array(s) for s in subs]) if subs else np.empty(0, np.int64), return_inverse=True)
-    owner = np.repeat(np.arange(len(subs)), [len(s) for s in subs])
-    weight = (1 / np.array([len(s) for s in subs], np.float32))[owner] if subs else np.empty(0, np.float32)
+    n_words = len(vocabulary)
+    found, owner = subwords(list(vocabulary))
+    rows, sub = np.unique(found, return_inverse=True)
+    weight = (1 / np.bincount(owner, minlength=n_words).astype(np.float32))[owner] if n_words else np.empty(0, np.float32)
 
     def gather(at, values, n):  # sum of values[:, k] over equal `at`, for each column
         return np.stack([np.bincount(at, weights=values[:, k], minlength=n) for k in range(values.shape[1])], 1).astype(np.float32) if len(at) else np.zeros((n, values.shape[1]), np.float32)
@@ -113,7 +118,7 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7
     # Rows that few texts share hardly move, and rows with small shares move as far as those with
     # large ones: steps are divided by the row's mean square share plus a floor.
     texts_of = np.array([seen[v] for v in vocabulary], dtype=float)
-    square = np.bincount(word, weights=share * share, minlength=len(subs)) / len(bags)
+    square = np.bincount(word, weights=share * share, minlength=n_words) / len(bags)
     row_square = np.bincount(sub, weights=square[owner] * weight * weight, minlength=len(rows))
     common = np.bincount(sub, weights=texts_of[owner], minlength=len(rows)) >= MIN_ROW_TEXTS
     step = (common / (np.sqrt(row_square) + FLOOR) ** 2)[:, None].astype(np.float32) if len(rows) else np.zeros((0, 1), np.float32)
@@ -131,14 +136,14 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, b)]
     n_docs = len(bags)
     for t in range(1, epochs + 1):
-        word_vec = gather(owner, e[sub] * weight[:, None], len(subs))
+        word_vec = gather(owner, e[sub] * weight[:, None], n_words)
         doc_vec = gather(doc, word_vec[word] * share[:, None], n_docs) * SCALE
         z = doc_vec @ w + b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         g = (p - target) * share_of_doc
         g_doc = (g @ w.T) * SCALE
-        g_word = gather(word, g_doc[doc] * share[:, None], len(subs))
+        g_word = gather(word, g_doc[doc] * share[:, None], n_words)
         momentum = 0.9 * momentum + gather(sub, g_word[owner] * weight[:, None], len(rows)) + DECAY * e
         g_w, g_b = doc_vec.T @ g + 1e-4 * w, g.sum(0)
         e -= RATE * step * momentum
@@ -180,7 +185,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
 
     def run(texts: list[bytes]) -> list[pa.Array]:
         own = _model(*sent.value)
-        values = [own.score(t) for t in texts]
+        values = own.scores(texts)
         return [pa.array(values, pa.float64()), pa.array([int(v >= THRESHOLD) for v in values], pa.int32())]
 
     return C.map_texts(docs, text_col, run, "score double, predicted int", keep)
