@@ -3,9 +3,13 @@
 A gear rolling hash over the last 16 bytes marks cuts at word starts, a quarter of them on average
 (inside words of more than 32 bytes, 1 of 256 bytes), so cuts depend on nearby text alone and an
 insertion shifts none beyond it. Chunks are known by a 64-bit digest of their bytes without the
-space around them. The document with the least id keeps a chunk; in other documents, a run of
-such chunks of at least ``MIN_WORDS`` words is a repeated span. Shorter runs, as of license lines,
-stay. Repeats inside one document are left alone.
+space around them. The shortest runs of neighbouring chunks that have ``MIN_WORDS`` words together,
+taken from each chunk on and up to each chunk, are windows, known by a digest of their chunks. The
+document with the least id keeps a window; in other documents, windows of one keeper that follow
+each other chunk by chunk are a repeated span. So a span is a passage that its keeper holds
+(but one that repeats a word over and over may be longer than there). Spans of different keepers may
+overlap. Shorter passages, as license lines, stay. Repeats inside one
+document are left alone.
 
 Digests are counted with a partial aggregate, so a passage that a third of all rows share is one
 row per task; what goes back to a document is bounded by its own length.
@@ -69,17 +73,33 @@ def digests(text: bytes, bounds: list[int]) -> list[int]:
     return [digest(text[i:j].strip()) for i, j in zip(bounds, bounds[1:])]
 
 
-def _signed(values: list[int]) -> np.ndarray:
-    return np.array(values, dtype=np.uint64).view(np.int64)
+def windows(text: bytes, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """First chunk, chunk after the last, and digest of each window; bounds, and words before each bound."""
+    bounds, starts = chunks(text)
+    before = np.searchsorted(starts, bounds)
+    n = len(bounds) - 1
+    k = np.arange(n)
+    # From each chunk on the least end that gives enough words, and up to each chunk the last start.
+    last = np.searchsorted(before, before[:-1] + min_words, "left")
+    first = np.searchsorted(before, before[1:] - min_words, "right") - 1
+    full, whole = last <= n, first >= 0
+    pairs = np.unique(np.concatenate([k[full] * (n + 1) + last[full], first[whole] * (n + 1) + k[whole] + 1]))
+    begin, end = pairs // (n + 1), pairs % (n + 1)
+    if not len(pairs):
+        return begin, end, np.empty(0, dtype=np.int64), bounds, before
+    own = np.array(digests(text, bounds), dtype=np.uint64).tobytes()
+    digest = xxhash.xxh3_64_intdigest
+    made = [digest(own[8 * i : 8 * j]) for i, j in zip(begin.tolist(), end.tolist())]
+    return begin, end, np.array(made, dtype=np.uint64).view(np.int64), bounds, before
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, h) for the distinct chunks of each text."""
+def _rows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """(id, h) for the distinct windows of each text."""
     for batch in batches:
         ids, made = [], []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text:
-                own = np.unique(_signed(digests(text, chunks(text)[0])))
+                own = np.unique(windows(text, min_words)[2])
                 made.append(own)
                 ids.append(np.full(len(own), i, dtype=np.int64))
         if made:
@@ -93,13 +113,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     C.prepare(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), C.utf8(text_col).alias("text")).where("id IS NOT NULL")
-    rows = slim.mapInArrow(_rows, "id long, h long")
+    rows = slim.mapInArrow(lambda batches: _rows(batches, min_words), "id long, h long")
     shared = rows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "first")
     marked = (
         rows.join(shared, "h")
         .where("id > first")
         .groupBy("id")
-        .agg(F.collect_set(F.struct("h", "first")).alias("marks"))  # at most the chunks of one document
+        .agg(F.collect_set(F.struct("h", "first")).alias("marks"))  # at most the windows of one document
     )
     base = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"))
     joined = base.join(marked, "id", "left").select("row", F.col(f"row.`{text_col}`").alias("text"), F.col("marks.h").alias("h"), F.col("marks.first").alias("first"))
@@ -116,23 +136,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _runs(text: bytes, marks: dict[int, int], min_words: int) -> list[dict]:
-    """Runs of marked chunks with enough words, each with the keeper of its longest chunk."""
-    bounds, starts = chunks(text)
-    own = _signed(digests(text, bounds)).tolist()
-    before = np.searchsorted(starts, bounds).tolist()  # words that start before each bound
-    out, k = [], 0
-    while k < len(own):
-        if own[k] not in marks:
-            k += 1
-            continue
-        begin = k
-        while k < len(own) and own[k] in marks:
-            k += 1
-        n = before[k] - before[begin]
-        if n >= min_words:
-            longest = max(range(begin, k), key=lambda j: bounds[j + 1] - bounds[j])
-            out.append({"start": bounds[begin], "end": bounds[k], "n_words": n, "keeper": marks[own[longest]]})
-    return out
+    """The marked windows; those of one keeper that follow each other, chunk by chunk, are one span."""
+    begin, end, own, bounds, before = windows(text, min_words)
+    spans: list[list[int]] = []
+    held = None  # the keeper of the window before
+    for i, j, h in zip(begin.tolist(), end.tolist(), own.tolist()):
+        keeper = marks.get(h)
+        if keeper is not None and keeper == held:
+            spans[-1][1] = max(spans[-1][1], j)
+        elif keeper is not None:
+            spans.append([i, j, keeper])
+        held = keeper
+    return [{"start": bounds[i], "end": bounds[j], "n_words": int(before[j] - before[i]), "keeper": keeper} for i, j, keeper in spans]
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -148,7 +163,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             start, pieces = 0, []
             for s in at:
                 pieces.append(text[start : s["start"]])
-                start = s["end"]
+                start = max(start, s["end"])
             out.append(b"".join([*pieces, text[start:]]))
         return [pa.array(out, pa.binary()).cast(pa.string())]
 

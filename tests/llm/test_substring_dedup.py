@@ -67,3 +67,26 @@ def test_odd_rows(spark, odd_docs):
     # An exact copy of a long text goes whole, its keeper stays.
     two = odd_docs([(9, "alpha beta " + "gamma delta epsilon zeta " * 40, "en", "s", 1), (8, "alpha beta " + "gamma delta epsilon zeta " * 40, "en", "s", 1)])
     assert [r.doc_id for r in S.without_repeats(two).collect()] == [8]
+
+
+def test_span_is_a_passage_of_one_earlier_document(spark, prose):
+    # Most chunks of document 900 are known, but no neighbours stand in one earlier document.
+    text = prose(58, 400)  # chunks of at most 12 words
+    bounds, _ = S.chunks(text.encode())
+    # With the two words before, which make the cut.
+    pieces = [" ".join([*text[:i].split()[-2:], text[i:j].strip()]) for i, j in zip(bounds, bounds[1:])]
+    docs = [(1 + k, f"{prose(1000 + k, 30)} {p} {prose(2000 + k, 30)}") for k, p in enumerate(pieces)] + [(900, text)]
+    known = {d for _, t in docs[:-1] for d in S.digests(t.encode(), S.chunks(t.encode())[0])}
+    assert sum(d in known for d in S.digests(text.encode(), bounds)) > len(pieces) / 2
+    # A passage of document 901 is held by 902 too, a part of it by 0 as well.
+    long = prose(60, 120)
+    docs += [(0, prose(61, 40) + " " + " ".join(long.split()[40:90]) + " " + prose(62, 40)), (901, f"{prose(63, 50)} {long} {prose(64, 50)}"), (902, f"{prose(68, 50)} {long} {prose(66, 50)}")]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    spans = {r.doc_id: r.spans for r in S.repeated_spans(table).select("row.doc_id", "spans").collect()}
+    assert {i for i, s in spans.items() if s} == {901, 902}
+    assert {s.keeper for s in spans[902]} == {0, 901} and {s.keeper for s in spans[901]} == {0}
+    for i in (901, 902):
+        for s in spans[i]:
+            assert dict(docs)[i].encode()[s.start : s.end].decode().strip() in dict(docs)[s.keeper] and s.n_words >= S.MIN_WORDS
+    left = {r.doc_id: r.text for r in S.without_repeats(table).collect()}
+    assert left[900] == text and len(left[902].split()) < 50 + 50 + 36
