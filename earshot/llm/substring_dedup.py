@@ -1,7 +1,7 @@
 """Substring duplicates by content-defined chunks.
 
 A gear rolling hash over the last 16 bytes marks cuts at word starts, a quarter of them on average
-(inside words of more than 32 bytes, 1 of 256 bytes), so cuts depend on nearby text alone and an
+(inside unspaced text, 1 of 16 bytes), so cuts depend on nearby text alone and an
 insertion shifts none beyond it. Chunks are known by a 64-bit digest of their bytes without the
 space around them. The shortest runs of neighbouring chunks that have ``MIN_WORDS`` words together,
 taken from each chunk on and up to each chunk, are windows, known by a digest of their chunks. The
@@ -14,6 +14,9 @@ document are left alone.
 Digests are counted with a partial aggregate, so a passage that a third of all rows share is one
 row per task; what goes back to a document is bounded by its own length.
 
+Unspaced text is what a word has beyond 32 bytes, and beyond 8 bytes the letters of scripts without
+spaces (Han, Kana, Thai, Lao, Myanmar, Khmer); each 8 bytes of it count as a word.
+
 Odd input: a null or empty text has no chunk. Rows with a null id are left as they are and make no
 other row's passage a repeat. Rows with one id are one document. Repeated rows pass unchanged.
 """
@@ -37,14 +40,30 @@ _GEAR = np.random.default_rng(1979).integers(0, 1 << 16, size=256, dtype=np.uint
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LONG_WORD = 32
+#: Bytes of unspaced text that count as one word.
+WORD_BYTES = 8
+
+
+def _unspaced(b: np.ndarray) -> np.ndarray:
+    """Bytes of the letters of scripts without spaces."""
+    following = np.append(b[1:], np.uint8(0))
+    three = (b >= 0xE3) & (b <= 0xE9)  # U+3000 to U+9FFF
+    three |= (b == 0xE0) & (following >= 0xB8) & (following <= 0xBB)  # Thai, Lao
+    three |= (b == 0xE1) & ((following <= 0x82) | (following == 0x9E) | (following == 0x9F))  # Myanmar, Khmer
+    four = (b == 0xF0) & (following >= 0xA0) & (following <= 0xB3)
+    out = three | four
+    for k in (1, 2):
+        out[k:] |= (three | four)[:-k]
+    out[3:] |= four[:-3]
+    return out
 
 
 def chunks(text: bytes) -> tuple[list[int], np.ndarray]:
-    """Start of each chunk and, at last, the text's end; word starts of the text."""
+    """Start of each chunk and, at last, the text's end; words before each, in parts of ``WORD_BYTES`` to a word."""
     b = np.frombuffer(text, dtype=np.uint8)
     n = len(b)
     if not n:
-        return [0], np.empty(0, dtype=np.int64)
+        return [0], np.zeros(1, dtype=np.int64)
     blank = _BLANK[b]
     word = ~blank
     word[1:] &= blank[:-1]
@@ -60,12 +79,20 @@ def chunks(text: bytes) -> tuple[list[int], np.ndarray]:
     last = np.maximum.accumulate(np.where(blank, -1, np.arange(n)))
     ends = last[ends]
     cut = at[(ends >= 0) & ((h[ends] >> np.uint16(14)) == 0)]
-    if len(starts) and int(np.diff(np.append(starts, n)).max()) > _LONG_WORD:
+    wide = int(b.max()) >= 0xE0
+    inside = None
+    if len(starts) and (wide or int(np.diff(np.append(starts, n)).max()) > _LONG_WORD):
         place = np.searchsorted(starts, np.arange(n), side="right") - 1
         since = np.arange(n) - np.where(place >= 0, starts[np.maximum(place, 0)], 0)
-        inside = (~blank) & (since >= _LONG_WORD) & ((h >> np.uint16(8)) == 0) & ((b & 0xC0) != 0x80)
-        cut = np.union1d(cut, np.flatnonzero(inside))
-    return [0, *cut.tolist(), n], starts
+        inside = ~blank & (since >= _LONG_WORD)
+        if wide:
+            inside |= _unspaced(b) & (since >= WORD_BYTES)
+        cut = np.union1d(cut, np.flatnonzero(inside & ((h >> np.uint16(12)) == 0) & ((b & 0xC0) != 0x80)))
+    bounds = [0, *cut.tolist(), n]
+    before = np.searchsorted(starts, bounds) * WORD_BYTES
+    if inside is not None:
+        before += np.concatenate([[0], np.cumsum(inside)])[bounds]
+    return bounds, before
 
 
 def digests(text: bytes, bounds: list[int]) -> list[int]:
@@ -74,14 +101,14 @@ def digests(text: bytes, bounds: list[int]) -> list[int]:
 
 
 def windows(text: bytes, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], np.ndarray]:
-    """First chunk, chunk after the last, and digest of each window; bounds, and words before each bound."""
-    bounds, starts = chunks(text)
-    before = np.searchsorted(starts, bounds)
+    """First chunk, chunk after the last, and digest of each window; bounds, and words before each, as of ``chunks``."""
+    bounds, before = chunks(text)
+    least = min_words * WORD_BYTES
     n = len(bounds) - 1
     k = np.arange(n)
     # From each chunk on the least end that gives enough words, and up to each chunk the last start.
-    last = np.searchsorted(before, before[:-1] + min_words, "left")
-    first = np.searchsorted(before, before[1:] - min_words, "right") - 1
+    last = np.searchsorted(before, before[:-1] + least, "left")
+    first = np.searchsorted(before, before[1:] - least, "right") - 1
     full, whole = last <= n, first >= 0
     pairs = np.unique(np.concatenate([k[full] * (n + 1) + last[full], first[whole] * (n + 1) + k[whole] + 1]))
     begin, end = pairs // (n + 1), pairs % (n + 1)
@@ -147,7 +174,7 @@ def _runs(text: bytes, marks: dict[int, int], min_words: int) -> list[dict]:
         elif keeper is not None:
             spans.append([i, j, keeper])
         held = keeper
-    return [{"start": bounds[i], "end": bounds[j], "n_words": int(before[j] - before[i]), "keeper": keeper} for i, j, keeper in spans]
+    return [{"start": bounds[i], "end": bounds[j], "n_words": int(before[j] - before[i]) // WORD_BYTES, "keeper": keeper} for i, j, keeper in spans]
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -90,3 +90,36 @@ def test_span_is_a_passage_of_one_earlier_document(spark, prose):
             assert dict(docs)[i].encode()[s.start : s.end].decode().strip() in dict(docs)[s.keeper] and s.n_words >= S.MIN_WORDS
     left = {r.doc_id: r.text for r in S.without_repeats(table).collect()}
     assert left[900] == text and len(left[902].split()) < 50 + 50 + 36
+
+
+def test_repeated_unspaced_passages_are_cut(spark):
+    import random
+    import string
+
+    rng = random.Random(2)
+    make = {
+        "han": lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n)),
+        "lines": lambda n: "\n".join("".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(10)) for _ in range(n // 10)),
+        "thai": lambda n: "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(n)),
+        "base64": lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n)),
+    }
+    docs, passages = [], {}
+    for k, letters in enumerate(make.values()):
+        passage = letters(600)
+        for i in (10 * k + 1, 10 * k + 2):
+            docs.append((i, f"{letters(200)}{passage}{letters(200)}"))
+            passages[i] = passage
+        docs.append((10 * k + 3, letters(300)))
+        docs += [(10 * k + 4 + j, letters(60) + passage[100:112]) for j in (0, 1)]  # too short
+    copy = make["han"](5000)
+    docs += [(100, copy), (101, copy)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    spans = {r.doc_id: r.spans for r in S.repeated_spans(table).select("row.doc_id", "spans").collect()}
+    assert {i for i, s in spans.items() if s} == {2, 12, 22, 32, 101}
+    for i in (2, 12, 22, 32):
+        (span,) = spans[i]
+        found = dict(docs)[i].encode()[span.start : span.end].decode()
+        assert span.keeper == i - 1 and found.strip() in passages[i] and len(found) > 400
+        assert span.n_words >= S.MIN_WORDS
+    left = {r.doc_id: r.text for r in S.without_repeats(table).collect()}
+    assert 101 not in left and left[100] == copy and all(left[i] == t for i, t in docs if not spans[i])
