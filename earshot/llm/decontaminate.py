@@ -251,13 +251,12 @@ def clean(
     benchmark: DataFrame,
     text_col: str = "text",
     window: int = WINDOW,
-    min_span: int = WINDOW,
     max_coverage: float = 0.5,
     **names: str,
 ) -> DataFrame:
-    """Documents without hit spans: spans of ``min_span`` words or more are cut out of the text, and
-    documents of which more than ``max_coverage`` of the words are hit go whole. Columns stay as they
-    are but for the text. Short items whose whole text is hit are cut as well.
+    """Documents without hit spans: all spans are cut out of the text, those of whole short items as
+    well, and documents of which more than ``max_coverage`` of the words are hit go whole. Columns
+    stay as they are but for the text.
     """
     # Clashes cannot come up: the input travels as one struct.
     row = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
@@ -267,11 +266,10 @@ def clean(
     def cut(texts: list[bytes], spans: pa.Array) -> list[pa.Array]:
         out = []
         for text, at in zip(texts, spans.to_pylist()):
-            pairs = [(a, b) for a, b in zip(at[::2], at[1::2]) if b - a >= min(min_span, window)]
-            if pairs:
+            if at:
                 where = [m.span() for m in _WORD.finditer(text.lower())]
                 pieces, start = [], 0
-                for a, b in pairs:
+                for a, b in zip(at[::2], at[1::2]):
                     pieces.append(text[start : where[a][0]])
                     start = where[b - 1][1]
                 text = b"".join([*pieces, text[start:]])

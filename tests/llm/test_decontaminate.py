@@ -56,6 +56,14 @@ def test_clean_cuts_spans_and_drops_covered_documents(spark, prose):
     assert out[1] == f"Before it.  after, {prose(2, 60)}" and out[3] == rows[2][1] and out[4] == rows[3][1]
 
 
+def test_clean_cuts_short_items(spark, prose):
+    item, long = prose(1, 6), prose(2, 30)
+    bench = spark.createDataFrame([(1, item), (2, long)], "item_id long, text string")
+    rows = [(1, f"{prose(3, 80)} Here: {item.upper()}! {prose(4, 40)}"), (2, f"{prose(5, 60)} {' '.join(item.split()[:5])} {prose(6, 9)}"), (3, f"{item} {prose(7, 60)} {long} {item} z")]
+    out = {r.doc_id: r.text for r in D.clean(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert out == {1: f"{prose(3, 80)} Here: ! {prose(4, 40)}", 2: rows[1][1], 3: f" {prose(7, 60)}  z"}
+
+
 def test_odd_rows(spark, odd_docs):
     docs = odd_docs()
     bench = spark.createDataFrame([(1, "six seven"), (1, "six seven"), (2, None), (None, "one two")], "item_id long, text string")
