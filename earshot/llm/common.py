@@ -127,13 +127,25 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def char_grams(words: list[str], orders: range, buckets: int, longest: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character n-grams of words with marked ends: buckets, and the word each belongs to.
-
-    All words are handled at once, as one array of code points; only the first ``longest``
-    characters of a word have n-grams.
+def word_parts(words: list[str], most: int = 500_000) -> Iterator[list[str]]:
+    """The words in parts of about ``most`` characters; a longer word is a part of its own."""
+    part, size = [], 0
+    for w in words:
+        if part and size + len(w) > most:
+            yield part
+            part, size = [], 0
+        part.append(w)
+        size += len(w)
+    if part:
+        yield part
+
+
+def char_grams(words: list[str], orders: range, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams of whole words with marked ends: buckets, and the word each belongs to.
+
+    All words are handled at once, as one array of code points.
     """
-    marked = [f"<{w[:longest]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     owner = np.repeat(np.arange(len(marked)), sizes)

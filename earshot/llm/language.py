@@ -50,9 +50,8 @@ RANGES = [
 _STARTS = [start for start, _ in RANGES]
 _WORD = re.compile(r"[^\W\d_]+")
 _ORDERS = range(1, 5)
-#: Rows of the table of hashed n-grams, and the characters of a word that count.
+#: Rows of the table of hashed n-grams.
 BUCKETS = 1 << 18
-LONGEST = 40
 
 
 def script(letter: str) -> str:
@@ -79,7 +78,7 @@ class Model:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Scores of lower-cased words for each language, 0 for a word's best one."""
-        rows, owner = C.char_grams(words, _ORDERS, BUCKETS, LONGEST)
+        rows, owner = C.char_grams(words, _ORDERS, BUCKETS)
         total = np.stack([np.bincount(owner, weights=self.table[rows, k], minlength=len(words)) for k in range(len(self.langs))], 1)
         # Rows of the scripts' table: 0 for scripts that no language uses.
         number = {name: i for i, name in enumerate(self.scripts, 1)}
@@ -95,8 +94,7 @@ class Model:
     def learn(self, words: set[str]) -> None:
         """Take the scores of words into the table."""
         new = sorted(words.difference(self._row))
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
+        for part in C.word_parts(new):
             first = len(self._row)
             while first + len(part) > len(self._scores):
                 self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
@@ -180,13 +178,13 @@ def train(samples: list[tuple[str, str]]) -> Model:
                 for w in _WORD.findall(text):
                     w = w.lower()
                     forms[w] = forms.get(w, 0) + 1
-        names = list(forms)
-        times = np.array(list(forms.values()), dtype=float)
         for w, k in forms.items():
             letters.setdefault(script(w[0]), np.zeros(len(langs)))[i] += k * len(w)
-        for j, n in enumerate(_ORDERS):
-            rows, owner = C.char_grams(names, range(n, n + 1), BUCKETS, LONGEST)
-            counts[j, :, i] = np.bincount(rows, weights=times[owner], minlength=BUCKETS)
+        for names in C.word_parts(list(forms)):
+            times = np.array([forms[w] for w in names], dtype=float)
+            for j, n in enumerate(_ORDERS):
+                rows, owner = C.char_grams(names, range(n, n + 1), BUCKETS)
+                counts[j, :, i] += np.bincount(rows, weights=times[owner], minlength=BUCKETS)
     # Each bucket's score is the sum over the orders that use it; nothing is known where none does.
     table = np.zeros((BUCKETS, len(langs)))
     for c in counts:

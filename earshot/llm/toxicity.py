@@ -74,8 +74,8 @@ class Model:
         if len(self._words) > C.CACHE_WORDS:
             self._words = {}
         missing = list(set().union(*bags).difference(self._words)) if bags else []
-        for i in range(0, len(missing), 50_000):
-            self._learn(missing[i : i + 50_000])
+        for names in C.word_parts(missing):
+            self._learn(names)
         part = self._words.__getitem__
         z = np.array([self.bias + (sum(map(part, bag)) / len(bag) if bag else 0.0) for bag in bags])
         return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()

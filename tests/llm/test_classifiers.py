@@ -74,6 +74,21 @@ def test_toxicity_learns_words_and_misspellings():
     assert 0 <= model.score(b"") <= 1
 
 
+def test_n_grams_are_of_the_whole_word():
+    rng = np.random.default_rng(3)
+    start = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, 80))
+    rows, owner = common.char_grams([start + "abcdef", start, "abcdef"], range(3, 7), 1 << 17)
+    assert len(rows[owner == 0]) == sum(88 - n + 1 for n in range(3, 7))
+    parts = np.zeros(toxicity.BUCKETS)
+    parts[common.char_grams(["abcdef"], range(6, 7), toxicity.BUCKETS)[0]] = 1000.0
+    model = toxicity.Model(parts, 0.0)
+    assert model.score((start + "abcdef").encode()) > model.score((start + "zzzzzz").encode()) + 0.2
+    known = language.train([("aa", "kanimo " * 50), ("bb", "sutero " * 50)])
+    assert known.word_scores(["x" * 60 + "sutero"])[0].argmax() == 1 and known.word_scores(["x" * 60 + "kanimo"])[0].argmax() == 0
+    words = ["a" * k for k in range(1, 60)] + ["b" * 900]
+    assert [w for part in common.word_parts(words, 100) for w in part] == words
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held = common.crc_bucket("doc_id", 3) == 1
