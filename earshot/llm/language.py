@@ -1,9 +1,10 @@
 """Language of texts and of their spans.
 
-The script of a word's first letter narrows its candidates to the languages that use it. Each word
-has a score for each candidate (naive Bayes over its character n-grams, learned from labelled
-texts), and a Viterbi pass with a penalty for switching labels the words. Runs of one label are the
-spans; a document's language is the one with the most letters.
+Words are runs of letters of one script, which narrows a word's candidates to the languages that use
+it. Each word has a score for each candidate (naive Bayes over its character n-grams, learned from
+labelled texts); its evidence is bounded, in scripts without spaces in proportion to its length. A
+Viterbi pass with a penalty for switching labels the words. Runs of one label are the spans; a
+document's language is the one with the most letters.
 
 A text in which no stretch of words favours another language by more than the penalty is one span
 of its best language, which is what the pass would find; only other texts are walked word by word.
@@ -16,6 +17,8 @@ from __future__ import annotations
 
 import bisect
 import re
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,13 @@ MAX_TRAIN_DOCS = 400
 MAX_TRAIN_BYTES = 48 << 20
 #: Log-odds that a change of language must gain.
 SWITCH = 10.0
-#: Most that one word can say against a language.
+#: Most that the n-grams of one word can say against a language.
 WORD_LIMIT = 6.0
+#: What a word says against languages that do not use its script: more than any switches gain.
+OTHER_SCRIPT = 1000.0
+#: Scripts without spaces, and the letters that weigh as much as a word there.
+UNSPACED = {"Han", "Hiragana", "Katakana", "Bopomofo", "Thai", "Lao", "Myanmar", "Khmer", "Tibetan"}
+UNSPACED_LETTERS = 4
 UNKNOWN = "und"
 
 #: First code points of ranges and their scripts (fixed values of Unicode, by block).
@@ -49,15 +57,40 @@ RANGES = [
 ]
 _STARTS = [start for start, _ in RANGES]
 _WORD = re.compile(r"[^\W\d_]+")
+_BEYOND_LATIN = re.compile("[^\u0000-\u036f\u1e00-\u1eff]")
 _ORDERS = range(1, 5)
 #: Rows of the table of hashed n-grams.
 BUCKETS = 1 << 18
 
 
+@lru_cache(maxsize=1 << 16)
 def script(letter: str) -> str:
     return RANGES[bisect.bisect_right(_STARTS, ord(letter)) - 1][1]
 
 
+def split_word(word: str) -> list[str]:
+    """A run of letters, cut where the script changes."""
+    return [word] if not _BEYOND_LATIN.search(word) else ["".join(run) for _, run in groupby(word, script)]
+
+
+def words_of(text: str) -> list[str]:
+    found = _WORD.findall(text)
+    if text.isascii() or not _BEYOND_LATIN.search(text):
+        return found
+    return [w for run in found for w in split_word(run)]
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """Start and end of each word of ``words_of``."""
+    out = []
+    for m in _WORD.finditer(text):
+        start = m.start()
+        for w in split_word(m.group()):
+            out.append((start, start + len(w)))
+            start += len(w)
+    return out
+
+
 class Model:
     """Scaled log-probabilities of hashed n-grams for each language, and the scripts each one uses."""
 
@@ -87,8 +120,12 @@ class Model:
         letters = {c: number.get(script(c), 0) for c in {w[0] for w in words}}
         used = np.fromiter((letters[w[0]] for w in words), np.int64, len(words))
         known = usable[used]
-        total = np.where(allowed[used], total, -np.inf)
-        total = np.maximum(total - total.max(1, keepdims=True), -WORD_LIMIT)
+        own = allowed[used]
+        total -= np.where(own, total, -np.inf).max(1, keepdims=True)
+        unspaced = np.array([False, *[name in UNSPACED for name in self.scripts]])[used]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        limit = WORD_LIMIT * np.where(unspaced, np.maximum(sizes / UNSPACED_LETTERS, 1.0), 1.0)
+        total = np.where(own, np.maximum(total, -limit[:, None]), -OTHER_SCRIPT)
         return np.where(known[:, None], total, 0.0)
 
     def learn(self, words: set[str]) -> None:
@@ -105,7 +142,7 @@ class Model:
         """``spans`` of many texts: all their new words are scored at once, in a table that starts anew when full."""
         if len(self._row) > C.CACHE_WORDS:
             self._start()
-        words = [_WORD.findall(t) for t in texts]
+        words = [words_of(t) for t in texts]
         lowered = [list(map(str.lower, ws)) for ws in words]
         if self.langs:
             self.learn(set().union(*lowered))
@@ -142,7 +179,7 @@ class Model:
             first = text.find(words[0])
             spans = [(first, text.rfind(words[-1]) + len(words[-1]), self.langs[labels[0]])]
         else:
-            at = [m.span() for m in _WORD.finditer(text)]
+            at = places(text)
             spans = [(at[i][0], at[j - 1][1], self.langs[labels[i]]) for i, j in zip(bounds, bounds[1:])]
         return spans, self.langs[top], float(letters[top] / letters.sum())
 
@@ -175,7 +212,7 @@ def train(samples: list[tuple[str, str]]) -> Model:
         forms: dict[str, int] = {}
         for own, text in samples:
             if own == lang:
-                for w in _WORD.findall(text):
+                for w in words_of(text):
                     w = w.lower()
                     forms[w] = forms.get(w, 0) + 1
         for w, k in forms.items():

@@ -156,6 +156,24 @@ def test_mixed_text_has_spans_and_scripts_narrow(spark):
     assert model.spans("12 %% 3") == ([], "und", 0.0)
 
 
+def test_unspaced_stretches_are_of_their_script():
+    rng = np.random.default_rng(5)
+    han = lambda n, low=0x4E00: "".join(chr(c) for c in rng.integers(low, low + 400, n))
+    a, b = han(12), han(12, 0x5200)
+    samples = [("en", "the weather is good today hello there " * 20), ("zh", "。".join(han(12) + a * 3 for _ in range(60))), ("ja", "。".join(han(6, 0x5200) + "のですがとはにを" + b * 3 for _ in range(60)))]
+    model = language.train(samples)
+    text = f"Hello there, the weather is good. {han(330)}，{han(330)}，{han(340)}。 The weather is good today."
+    spans, lang, score = model.spans(text)
+    assert [s[2] for s in spans] == ["en", "zh", "en"] and lang == "zh" and score > 0.9
+    # Script changes without a space between.
+    joined = "hello" + han(30) + "there"
+    spans, lang, _ = model.spans(joined)
+    assert [joined[a:b] for a, b, _ in spans] == ["hello", joined[5:35], "there"] and lang == "zh"
+    # A long stretch outweighs the switches, a short one does not, in a script of two languages.
+    assert [s[2] for s in model.spans(f"{b * 5}，{a * 4}，{b * 5}")[0]] == ["ja", "zh", "ja"]
+    assert [s[2] for s in model.spans(f"{b * 5}，{a[:2]}，{b * 5}")[0]] == ["ja"]
+
+
 def test_language_odd_rows(spark, odd_docs):
     docs = odd_docs()
     model = language.fit(docs)
