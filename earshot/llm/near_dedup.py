@@ -16,7 +16,8 @@ a block once, not once for each pair: a bucket of thousands of copies costs its
 
 Odd input: a text without words is linked with nothing. Rows with a null id are not linked, get a
 null component and are kept. Rows with equal texts share a component. Repeated ids give one output
-row for each input row; when an id has several texts, each row follows its own text.
+row for each input row; when an id has several texts, each row follows its own text: nodes have
+numbers of their own, and the least id of each is carried beside.
 """
 
 from __future__ import annotations
@@ -90,26 +91,35 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (least id reachable over links), kept."""
     C.prepare(docs.sparkSession)
+    root = F.coalesce("component", "id")
+    return _components(docs, id_col, text_col).select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("id").isNotNull(), root).alias("component_id"),
+        F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"),
+    )
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, n and digest of each row, with the least id of its component and the digest that keeps it."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # Texts are read once here; later steps use this table, about a tenth of the text's size.
     rows = C.map_texts(base, "text", _sketches, "n long, digest binary, half array<long>", keep=["id"]).checkpoint()
-    # Equal sets are one node, named by its least id; their half keys are the same.
+    # Equal sets are one node; their half keys are the same. An id may be the least of several nodes.
     known = rows.where("id IS NOT NULL AND digest IS NOT NULL")
-    least = known.groupBy("digest").agg(F.min("id").alias("node")).select("node", F.col("digest").alias("own"))
-    nodes = known.join(least, (F.col("digest") == F.col("own")) & (F.col("id") == F.col("node"))).select("digest", "node", "n", "half").dropDuplicates(["node"]).checkpoint()
+    least = known.groupBy("digest").agg(F.min("id").alias("least")).select("least", F.col("digest").alias("own"))
+    nodes = known.join(least, (F.col("digest") == F.col("own")) & (F.col("id") == F.col("least"))).select("digest", "least", "n", "half").dropDuplicates(["digest"])
+    # The numbers are fixed by the checkpoint.
+    nodes = nodes.withColumn("node", F.monotonically_increasing_id()).checkpoint()
     stars = _stars(nodes, base)
     named = (
-        nodes.select("digest", "node")
+        nodes.select("digest", "node", "least")
         .join(stars.withColumnRenamed("u", "node"), "node", "left")
-        .select("digest", F.coalesce("root", "node").alias("root"))
-    )
-    root = F.coalesce("root", "id")
-    return rows.select("id", "n", "digest").join(named, "digest", "left").select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), root).alias("component_id"),
-        F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"),
+        .select("digest", "least", F.coalesce("root", "node").alias("root"))
     )
+    keepers = named.groupBy("root").agg(F.min(F.struct("least", "digest")).alias("keeper"))
+    named = named.join(keepers, "root").select("digest", F.col("keeper.least").alias("component"), F.col("keeper.digest").alias("keeper"))
+    return rows.select("id", "n", "digest").join(named, "digest", "left")
 
 
 def _stars(nodes: DataFrame, base: DataFrame) -> DataFrame:
@@ -181,11 +191,11 @@ def _confirmed_in_blocks(sides: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _node_sets(base: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """Full sets (node, shingles) of the wanted nodes, from the texts that have them."""
-    known = nodes.select("digest", "node").join(wanted, "node", "left_semi")
-    own = base.join(C.id_filter(wanted.select(F.col("node").alias("id"))), "id", "left_semi")
+    known = nodes.select("digest", "node", F.col("least").alias("id")).join(wanted, "node", "left_semi")
+    own = base.join(C.id_filter(known.select(F.col("id").alias("least")).distinct()), F.col("id") == F.col("least"), "left_semi")
     sets = C.map_texts(own, "text", _sets, "digest binary, shingles array<long>", keep=["id"])
     # An id that stands for a node may have other texts as well.
-    return sets.join(known.select(F.col("node").alias("id"), "digest"), ["id", "digest"]).dropDuplicates(["id"]).select(F.col("id").alias("node"), "shingles").checkpoint()
+    return sets.join(known, ["id", "digest"]).dropDuplicates(["node"]).select("node", "shingles").checkpoint()
 
 
 def _links_of_block(queries: pa.Table, rows: pa.Table) -> pa.Table:
@@ -214,13 +224,26 @@ def _links_of_block(queries: pa.Table, rows: pa.Table) -> pa.Table:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near copies: of each component the one with the least id stays.
+    """The documents without near copies: of each component the text with the least id stays.
 
-    Repeated rows stay once; rows with a null id all stay.
+    Repeated rows stay once; rows with a null id all stay. Texts go, not ids: another text of an id
+    stays if it is no near copy.
     """
-    gone = near_components(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
+    C.prepare(docs.sparkSession)
+    found = _components(docs, id_col, text_col).where("id IS NOT NULL")
+    gone = F.coalesce((F.col("id") != F.col("component")) | (F.col("digest") != F.col("keeper")), F.lit(False))
+    found = found.select("id", "digest", gone.alias("gone")).checkpoint()
+    ids = found.groupBy("id").agg(F.bool_and("gone").alias("all"), F.bool_or("gone").alias("some"))
     row = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"))
-    kept = row.join(C.id_filter(gone), F.col("_id") == F.col("_gone"), "left_anti")
+    kept = row.join(C.id_filter(ids.where("all").select(F.col("id").alias("_gone"))), F.col("_id") == F.col("_gone"), "left_anti")
+    # Ids with texts of both kinds: only theirs are hashed again.
+    mixed = ids.where("some AND NOT `all`").select(F.col("id").alias("_mixed")).checkpoint()
+    if not mixed.isEmpty():
+        mixed = C.id_filter(mixed)
+        texts = kept.join(mixed, F.col("_id") == F.col("_mixed"), "left_semi").withColumn("text", F.col(f"row.`{text_col}`"))
+        texts = C.map_texts(texts, "text", lambda t: [_digests([C.shingles(x) for x in t])], "digest binary", keep=["row", "_id"])
+        pairs = found.where("gone").select(F.col("id").alias("_id"), "digest").distinct()
+        kept = kept.join(mixed, F.col("_id") == F.col("_mixed"), "left_anti").union(texts.join(pairs, ["_id", "digest"], "left_anti").select("row", "_id"))
     # Only rows whose id comes up again can repeat each other; the others need not be compared.
     again = row.where("_id IS NOT NULL").groupBy("_id").count().where("count > 1").select(F.col("_id").alias("_again"))
     again = C.id_filter(again)

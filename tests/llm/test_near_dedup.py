@@ -74,6 +74,18 @@ def test_odd_rows(spark, odd_docs):
     assert near_dedup.near_components(docs.limit(0)).count() == 0 and near_dedup.keep_one(docs.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_are_nodes_of_their_own(spark, prose):
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [(7, a), (7, b), (7, near(b)), (8, near(a)), (9, near(b)), (10, b), (11, a), (3, c), (12, near(c)), (12, prose(4, 80)), (13, prose(5, 80)), (None, a)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = near_dedup.near_components(table).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (3, 3), (7, 7), (7, 7), (7, 7), (8, 7), (9, 7), (10, 7), (11, 7), (12, 3), (12, 12), (13, 13)]
+    left = sorted((r.doc_id or 0, r.text) for r in near_dedup.keep_one(table).collect())
+    assert [i for i, _ in left] == [0, 3, 7, 7, 12, 13]
+    assert {t for i, t in left if i == 7} in ({a, b}, {a, near(b)}) and (12, prose(4, 80)) in left
+
+
 def test_half_keys_agree_with_resemblance():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
