@@ -238,18 +238,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn from a bounded sample of each language's documents."""
     C.prepare(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.octet_length(C.utf8(text_col)).alias("size")).where("lang IS NOT NULL AND id IS NOT NULL")
+    # Rows of one id and language count once.
+    known = known.groupBy("id", "lang").agg(F.max("size").alias("size"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= MAX_TRAIN_DOCS).orderBy("k", "lang").collect()
-    total, ids = 0, []
+    total, keys = 0, []
     for r in chosen:
         if total + r.size <= MAX_TRAIN_BYTES:
             total += r.size
-            ids.append(r.id)
-    if not ids:
+            keys.append((r.id, r.lang))
+    if not keys:
         return Model([], np.zeros((BUCKETS, 0)), {})
-    wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "w long"))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(keys, "w long, l string"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), C.utf8(text_col).alias("text"))
-    got = rows.where("lang IS NOT NULL").join(wanted, F.col("id") == F.col("w"), "left_semi").orderBy("id", "lang").collect()
+    rows = rows.join(wanted, (F.col("id") == F.col("w")) & (F.col("lang") == F.col("l")), "left_semi")
+    got = rows.groupBy("id", "lang").agg(F.min("text").alias("text")).orderBy("id", "lang").collect()
     return train([(r.lang, bytes(r.text).decode("utf-8", "replace")) for r in got])
 
 

@@ -174,6 +174,14 @@ def test_unspaced_stretches_are_of_their_script():
     assert [s[2] for s in model.spans(f"{b * 5}，{a[:2]}，{b * 5}")[0]] == ["ja"]
 
 
+def test_language_sample_takes_an_id_once(spark, monkeypatch):
+    rows = [(1, "hello weather", "en")] * 300 + [(1, "hallo wetter", "de"), (2, "good day", "en"), (2, "another day", "en"), (2, "x", None)]
+    seen = []
+    monkeypatch.setattr(language, "train", seen.extend)
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert sorted(seen) == [("de", "hallo wetter"), ("en", "another day"), ("en", "hello weather")]
+
+
 def test_language_odd_rows(spark, odd_docs):
     docs = odd_docs()
     model = language.fit(docs)
