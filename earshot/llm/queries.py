@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from earshot.llm import bpe, decontaminate, fingerprints, language, near_dedup, quality, shards, substring_dedup, token_counts, toxicity
+from earshot.llm import bpe, conversations, decontaminate, fingerprints, language, mixing, near_dedup, quality, shards, spelling, substring_dedup, token_counts, toxicity
 from earshot.llm.common import crc_bucket
 from earshot.llm.registry import ORACLES, QUERIES, query, table
 
@@ -138,3 +138,24 @@ def op9(spark, sf_dir):
     """Shard and place of every document along the curve."""
     placed = shards.assign(table(spark, sf_dir, "documents"), n_shards=8, keep=["doc_id"])
     return placed.select("doc_id", "size", "text_crc32", F.lit(shards.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op11_spelling_variants")
+def op11(spark, sf_dir):
+    """Words of all documents, after planted slips, with their near words and the form that each is a variant of."""
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), slip=spelling.SLIP)
+    return spelling.variants(words)
+
+
+@query("op12_conversation_repair")
+def op12(spark, sf_dir):
+    """Faults of every damaged conversation, the cheapest edits that repair it, and a hash of what they leave."""
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.audits(rows, "conv", "turn", "role", "text", "lost").withColumnRenamed("conv", "conv_id")
+
+
+@query("op13_source_mix")
+def op13(spark, sf_dir):
+    """Words that the mix takes of each document, by targets for each source."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
