@@ -6,8 +6,10 @@ labelled texts); its evidence is bounded, in scripts without spaces in proportio
 Viterbi pass with a penalty for switching labels the words. Runs of one label are the spans; a
 document's language is the one with the most letters.
 
-A text in which no stretch of words favours another language by more than the penalty is one span
-of its best language, which is what the pass would find; only other texts are walked word by word.
+A text is one span of its best language without a walk if no stretch of words favours another
+language by more than the penalty, nor a start and an end of it together: leaving the best language
+and coming back costs two penalties, and labels without it one less than they have stretches, of
+which only the first and the last need no gain of their own. Other texts are walked word by word.
 
 Odd input: a null text or one without a letter is ``und`` with score 0 and has no span, and so is
 any text when no label is known. Ties go to the language that is first in order.
@@ -68,6 +70,9 @@ def script(letter: str) -> str:
     return RANGES[bisect.bisect_right(_STARTS, ord(letter)) - 1][1]
 
 
+C.worker_table(script.cache_clear)
+
+
 def split_word(word: str) -> list[str]:
     """A run of letters, cut where the script changes."""
     return [word] if not _BEYOND_LATIN.search(word) else ["".join(run) for _, run in groupby(word, script)]
@@ -158,7 +163,8 @@ class Model:
         gain = np.cumsum(s - s[:, best : best + 1], axis=0)
         low = np.minimum(np.minimum.accumulate(gain, axis=0), 0.0)
         start = np.vstack([np.zeros((1, s.shape[1])), low[:-1]])
-        if (gain - start).max() <= SWITCH:
+        ends = max(gain.max(), 0.0) + (gain[-1] - low[-1]).max()
+        if (gain - start).max() <= SWITCH and ends <= SWITCH:
             return np.full(len(words), best)
         return viterbi(s)
 

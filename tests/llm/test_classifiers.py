@@ -145,6 +145,25 @@ def test_short_cut_agrees_with_the_walk(spark, data, monkeypatch):
             assert cost(labels) == pytest.approx(cost(language.viterbi(scores)))
 
 
+def test_short_cut_is_exact_on_any_scores(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = language.Model(["a", "b", "c"], np.zeros((language.BUCKETS, 3)), {})
+    walked = []
+    walk = language.viterbi
+    monkeypatch.setattr(language, "viterbi", lambda s: walked.append(1) or walk(s))
+    tables = [np.array([[0, -6, -2]] * 5 + [[-6, 0, -2]] * 5, dtype=float)]  # a compromise has the best sum
+    for _ in range(4000):
+        s = rng.uniform(-6, 0, size=(rng.integers(1, 16), 3))
+        s[rng.random(s.shape) < 0.3] = 0
+        tables.append(s * rng.choice([0.2, 0.5, 1.0]))
+    for s in tables:
+        monkeypatch.setattr(model, "_rows", lambda words: s)
+        labels = model.label(["w"] * len(s))
+        cost = lambda p: s[np.arange(len(p)), p].sum() - language.SWITCH * (np.diff(p) != 0).sum()
+        assert cost(labels) == pytest.approx(cost(walk(s)))
+    assert len(walked) < len(tables) / 2
+
+
 def test_mixed_text_has_spans_and_scripts_narrow(spark):
     model = language.train([("ru", "привет как дела сегодня хорошо " * 20), ("en", "the weather is good today hello there " * 20), ("de", "das wetter ist heute gut und schön " * 20)])
     text = "the weather is good today hello there the weather is good. das wetter ist heute gut und schön das wetter ist heute gut и привет как дела сегодня"
