@@ -1,6 +1,6 @@
 """Questions over stored mentions: candidates, ranking, and checks on what an answer claims."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot import config
@@ -69,23 +69,69 @@ def citation_checks(answers: DataFrame, known: DataFrame) -> DataFrame:
 
 
 # -- numbers --------------------------------------------------------------------------------------
+#: Fields whose digits are ids or addresses, at any depth of a record (fixed values).
+ID_FIELDS = (
+    "mention_id", "exemplar_mention_ids", "topic_id", "url", "native_id", "raw_ref", "cluster_key",
+    "author_hash", "run_id", "exhibit_url",
+)
+#: Types of a variant's leaf that are numbers.
+_NUMERIC = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
+
+
 def available_from_columns(table: DataFrame, columns) -> DataFrame:
-    """V08. Distinct values of numeric columns."""
-    values = F.array(*[F.col(c).cast("double").cast("string").try_cast(N.VALUE_TYPE) for c in columns])
+    """V08. Distinct values of numeric columns, in plain form."""
+    values = F.array(*[N.number_text(F.col(c)) for c in columns])
     return table.select(F.explode(values).alias("value")).filter("value is not null").distinct()
 
 
+def _written(text) -> Column:
+    """Values of the numbers written in a text, without dates."""
+    found = N.extract_numbers(F.regexp_replace(F.coalesce(text, F.lit("")), N._ISO, " "))
+    return F.transform(found, lambda token: token["value"])
+
+
 def available_from_texts(table: DataFrame, columns) -> DataFrame:
     """V08. Distinct numbers written in text columns; give no id, link or hash columns."""
-    found = F.flatten(
-        F.array(*[
-            N.extract_numbers(F.regexp_replace(F.coalesce(c, F.lit("")), N._ISO, " ")) for c in columns
-        ])
-    )
-    values = F.transform(found, lambda token: token["value"])
+    values = F.flatten(F.array(*[_written(F.col(c)) for c in columns]))
     return table.select(F.explode(values).alias("value")).filter("value is not null").distinct()
 
 
+def record_leaves(records: DataFrame, scope=()) -> DataFrame:
+    """Leaves of nested records as rows: the ``scope`` columns, path, key (the nearest field name) and value (variant).
+
+    Structs, maps, arrays and variants are walked to any depth, one level of all records at a time; each
+    level is written once. The number of steps is the depth of the deepest record.
+    """
+    scope = list(scope)
+    fields = [c for c in records.columns if c not in scope]
+    whole = F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in fields]))
+    level = records.select(*scope, F.lit("").alias("path"), F.lit(None).cast("string").alias("key"), whole.alias("value"))
+    leaves = None
+    while True:
+        inside = level.lateralJoin(records.sparkSession.tvf.variant_explode(F.col("value").outer()).select(F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value")))
+        step = F.coalesce(F.concat(F.lit("."), "_key"), F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("]")))
+        named = inside.select(*scope, F.concat("path", step).alias("path"), F.coalesce("_key", "key").alias("key"), F.col("_value").alias("value"))
+        level = keep(named.withColumn("_nested", F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")))
+        found = level.filter("NOT _nested").drop("_nested")
+        leaves = found if leaves is None else leaves.unionByName(found)
+        level = level.filter("_nested").drop("_nested")
+        if level.isEmpty():
+            return leaves
+
+
+def available_from_records(records: DataFrame, scope=(), id_fields=ID_FIELDS) -> DataFrame:
+    """V08. Distinct values of a table of nested records, per ``scope``: numeric leaves, and numbers written
+    in text leaves but for id fields. No column list is needed; booleans and times are no numbers.
+    """
+    leaves = record_leaves(records, scope)
+    kind, text = F.schema_of_variant("value"), F.variant_get("value", "$", "string")
+    none = F.array().cast("array<string>")
+    values = F.when(kind.rlike(_NUMERIC), F.array(N.number_text(text))).when(
+        (kind == "STRING") & ~F.coalesce(F.col("key").isin(*id_fields), F.lit(False)), _written(text)
+    ).otherwise(none)
+    return leaves.select(*scope, F.explode(values).alias("value")).filter("value is not null").distinct()
+
+
 def number_checks(
     answers: DataFrame, available: DataFrame, scope=(), text: str = "answer", spoken: bool = False
 ) -> DataFrame:
@@ -93,8 +139,9 @@ def number_checks(
 
     A number passes when an available value equals it (a percentage also as a proportion), or, if
     it is written with decimals or as a percentage, when an available value rounds to it. Both are
-    equi-joins: on the value, and on the value rounded to the places asked for. ``available`` has
-    ``value`` and the ``scope`` columns both sides share.
+    equi-joins on values in plain form, of any length: as they are, and rounded to the places that
+    the scope's answers ask for, where that is fewer than a value has. ``available`` has ``value``
+    (a number or its text) and the ``scope`` columns both sides share.
     """
     scope = list(scope)
     source = F.col(text) if spoken else N.clean_for_numbers(text)
@@ -108,32 +155,24 @@ def number_checks(
         )
     )
     options = tokens.select(
-        "answer_id", *scope, "number", F.explode(N.match_candidates(F.col("token"))).alias("o"),
-    ).select("answer_id", *scope, "number", "o.value", "o.places")
+        "answer_id", "position", "number", *scope, F.explode(N.match_candidates(F.col("token"))).alias("o"),
+    ).select("answer_id", "position", "number", *scope, "o.value", "o.places")
     wanted = options.select(*scope, "value", "places").distinct()
-    values = available.select(*scope, "value").distinct()
-    exact = wanted.filter("places is null").join(values, [*scope, "value"], "left_semi")
-    # Round every available value only to the places somebody wrote: at most MAX_PLACES + 1 ways.
-    longest = tokens.agg(F.max("token.decimals")).first()[0] or 0
-    asked = range(0, min(longest + 2, N.MAX_PLACES) + 1)
-    rounded_wanted = wanted.filter("places is not null")
-    to_places = [
-        F.struct(F.round("value", p).cast(N.VALUE_TYPE).alias("value"), F.lit(p).alias("places"))
-        for p in asked
-    ]
-    rounded = values.select(*scope, F.explode(F.array(*to_places)).alias("r")).select(
-        *scope, "r.value", "r.places"
-    )
-    near = rounded_wanted.join(rounded, [*scope, "value", "places"], "left_semi")
+    values = available.select(*scope, N.number_text("value").alias("value")).filter("value is not null").distinct()
+    # What equals a written number also rounds to it.
+    exact = wanted.join(values, [*scope, "value"], "left_semi")
+    asked = wanted.filter("places is not null")
+    # Places that anybody wrote: as many as the longest number has digits, at most.
+    places = asked.groupBy(*scope).agg(F.collect_set("places").alias("_all"))
+    held = values.join(places, scope) if scope else values.crossJoin(F.broadcast(places))  # one row
+    fewer = F.explode(F.filter("_all", lambda p: p < N.places_of(F.col("value"))))
+    cut = held.select(*scope, "value", fewer.alias("places")).select(*scope, N.rounded(F.col("value"), F.col("places")).alias("value"), "places")
+    near = asked.join(cut, [*scope, "value", "places"], "left_semi")
     at = F.coalesce("places", F.lit(-1)).alias("_at")
-    matched = exact.unionByName(near).select(*scope, "value", at, F.lit(True).alias("_ok"))
+    matched = exact.unionByName(near).select(*scope, "value", at, F.lit(True).alias("_ok")).distinct()
     joined = options.withColumn("_at", at).join(matched, [*scope, "value", "_at"], "left")
-    verified = joined.groupBy("answer_id", "number").agg(
-        F.bool_or(F.coalesce("_ok", F.lit(False))).alias("verified")
-    )
-    return tokens.join(verified, ["answer_id", "number"], "left").select(
-        "answer_id", "position", "number", F.coalesce("verified", F.lit(False)).alias("verified")
-    )
+    verified = F.bool_or(F.coalesce("_ok", F.lit(False)))
+    return joined.groupBy("answer_id", "position", "number").agg(verified.alias("verified"))
 
 
 def check_answers(

@@ -178,19 +178,19 @@ def repeated_requests(ledger: DataFrame) -> DataFrame:
     """J16. Rows whose request already had a run id before them: money spent twice.
 
     The first such run per digest is a combined minimum; a digest many rows share stays one row
-    on that side of the join.
+    on that side of the join, which is on a hash, so that side has an exchange of its own and the
+    adaptive planner can split the rows of the digest.
     """
     when = F.struct("submitted_at", "local_seq")
     first = (
         ledger.filter("run_id is not null")
         .groupBy("input_digest")
         .agg(F.min(when).alias("_first"), F.min_by("run_id", when).alias("first_run_id"))
+        .select(F.col("input_digest").alias("_digest"), F.xxhash64("input_digest").alias("_of"), "_first", "first_run_id")
     )
-    return (
-        ledger.join(first, "input_digest")
-        .filter(when > F.col("_first"))
-        .drop("_first")
-    )
+    hashed = ledger.withColumn("_hash", F.xxhash64("input_digest"))
+    same = (F.col("_hash") == F.col("_of")) & (F.col("input_digest") == F.col("_digest"))
+    return hashed.join(first, same).filter(when > F.col("_first")).select(*ledger.columns, "first_run_id")
 
 
 # -- checks ---------------------------------------------------------------------------------------

@@ -140,3 +140,68 @@ def test_numbers_with_many_places_are_told_apart(spark):
     have = spark.createDataFrame([("0.12345678902",)], "v string").select(F.col("v").cast("decimal(38,18)").alias("value"))
     got = {r.answer_id: r.verified for r in ask.number_checks(answers, have).collect()}
     assert got == {1: False, 2: True, 3: True, 4: False}
+
+
+def test_numbers_of_any_length(spark):
+    known = "1234567890123456789.0123456789012345678901234"
+    true = ["1,234,567,890,123,456,789.0123456789012345678901234", "1234567890123456789.01234567890123456789012340", "1234567890123456789.012346", "1234567890123456789.0"]
+    false = ["1234567890123456789.0123456789012345678901235", "1234567890123456789.012345", "1234567890123456789", "-1234567890123456789.0"]
+    got = numbers_of(spark, " and ".join(true + false), [known])
+    assert {n: got[n] for n in true + false} == {**dict.fromkeys(true, True), **dict.fromkeys(false, False)}
+    assert numbers_of(spark, "0.1234567890123456789012345 or 12.34567890123456789012345%", ["0.1234567890123456789012345"]) == {
+        "0.1234567890123456789012345": True, "12.34567890123456789012345%": True,
+    }
+    # Carries, halves, signs and zeros.
+    assert numbers_of(spark, "10.0 or 9.99 or 9.9", ["9.995"]) == {"10.0": True, "9.99": False, "9.9": False}
+    assert numbers_of(spark, "-0.3 or -0.2 or 0.0", ["-0.25", "-0.04"]) == {"-0.3": True, "-0.2": False, "0.0": True}
+    assert numbers_of(spark, "0.00% or 100%", ["1", "0.00001"]) == {"0.00%": True, "100%": True}
+
+
+def numbers_of(spark, text, values):
+    answers = spark.createDataFrame([("q", text)], "answer_id string, answer string")
+    have = spark.createDataFrame([(v,) for v in values], "value string")
+    return {r["number"]: r["verified"] for r in A.number_checks(answers, have).collect()}
+
+
+def test_plain_form_of_numbers(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from earshot.functions import numbers as N
+
+    texts = ["0", "-0.0", "007.50", "1e3", "1.25E-7", "-12.5e+2", "+.5", "9.", "1e-30", "12.34e1", "x", "", None, "NaN", "1e99999"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = ["0", "0", "7.5", "1000", "0.000000125", "-1250", "0.5", "9", "0." + "0" * 29 + "1", "123.4", None, None, None, None, None]
+    assert [r[0] for r in df.select(N.number_text("t")).collect()] == want
+    doubles = spark.createDataFrame([(1e22,), (0.1,), (-3.0,), (1.5e-9,)], "v double").select(N.number_text("v"))
+    assert [r[0] for r in doubles.collect()] == ["10000000000000000000000", "0.1", "-3", "0.0000000015"]
+    rng = __import__("random").Random(2)
+    rows = [(f"{rng.choice(['', '-'])}{rng.randrange(10 ** rng.randrange(1, 9))}.{''.join(rng.choice('0459') for _ in range(rng.randrange(1, 12)))}", rng.randrange(0, 9)) for _ in range(400)]
+    got = spark.createDataFrame(rows, "t string, p int").select(N.rounded(N.number_text("t"), F.col("p")), N.hundredth(N.number_text("t"))).collect()
+    for (text, places), (rounded, hundredth) in zip(rows, got):
+        value = Decimal(text)
+        exact = value if -value.as_tuple().exponent <= places else value.quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP)
+        assert Decimal(rounded) == exact and Decimal(hundredth) == value / 100
+        assert rounded == "0" or not (rounded.endswith("0") and "." in rounded)
+
+
+def test_numbers_of_nested_records(spark):
+    record = (
+        "a", "9", 3, True, [{"share": 0.25, "run_id": "41", "notes": ["up 12 per cent on 2024-01-05", "x7"], "by_day": {"mon": 1.5e-7}}], None,
+    )
+    schema = "brand string, run_id string, n int, live boolean, topics array<struct<share: double, run_id: string, notes: array<string>, by_day: map<string, double>>>, empty string"
+    records = spark.createDataFrame([record, ("b", "1", -4, False, [], "of $1,234.50")], schema)
+    got = {(r["brand"], r["value"]) for r in A.available_from_records(records, ["brand"]).collect()}
+    assert got == {("a", "3"), ("a", "0.25"), ("a", "12"), ("a", "0.00000015"), ("b", "-4"), ("b", "1234.5")}
+    paths = {(r["path"], r["key"]) for r in A.record_leaves(records.filter("brand = 'a'"), ["brand"]).collect()}
+    assert (".topics[0].notes[1]", "notes") in paths and (".topics[0].by_day.mon", "mon") in paths
+    parsed = records.select("brand", F.parse_json(F.lit('{"deep": [[{"x": [1, {"url": "8", "y": "2"}]}]]}')).alias("v"))
+    assert {r["value"] for r in A.available_from_records(parsed, ["brand"]).collect()} == {"1", "2"}
+
+
+def test_repeated_requests_of_a_hot_digest(spark):
+    rows = [(i, "hot" if i % 3 else f"d{i}", None if i == 1 else f"r{i}", i) for i in range(300)] + [(999, None, "r", 1)]
+    log = spark.createDataFrame(rows, "local_seq long, input_digest string, run_id string, at long").withColumn("submitted_at", F.timestamp_seconds("at")).drop("at")
+    got = G.repeated_requests(log).collect()
+    assert sorted(r["local_seq"] for r in got) == [i for i in range(300) if i % 3 and i > 2] and {r["first_run_id"] for r in got} == {"r2"}
+    plan = G.repeated_requests(log)._jdf.queryExecution().executedPlan().toString()
+    assert "_hash" in plan or "_of" in plan
