@@ -5,11 +5,17 @@ cluster is fully described by its size and mean; no pair table is kept. Average
 reducible: two clusters that are each other's nearest may merge at once, whatever happens
 elsewhere, and a cluster without a neighbour inside the cut never gets one. Merging all mutual
 nearest pairs per round, and retiring clusters without a neighbour, gives the clusters of the
-one-merge-at-a-time rule in a logarithmic number of rounds, each a blocked matrix product.
+one-merge-at-a-time rule in a logarithmic number of rounds.
 
-Brands whose distinct vectors fit one block run all rounds inside one task; larger brands run the
-rounds as Spark jobs over pairs of blocks. Equal vectors are merged before anything else, so a
-pile of copies is one row.
+Brands of many blocks are searched by an index of pivots. Each vector belongs to the cell of the pivot it has the
+least angle with, and a cell knows its widest angle. Two vectors can be within the cut only if the angle
+between them is at most that of the cut (means are no longer than 1, so this holds for them as well), and
+angles obey the triangle inequality: a vector visits another cell only if it is at most that angle farther
+from the cell's pivot than the cell is wide, and at most twice that angle farther than from its own.
+Cells are cut into blocks, and blocks meet in tasks of two; pairs of blocks that none visits have no task.
+
+Brands whose distinct vectors fit one block run all rounds inside one task, also when that is so only
+after some rounds. Equal vectors are merged before anything else, so a pile of copies is one row.
 """
 
 import numpy as np
@@ -60,37 +66,150 @@ def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.clip(1.0 - left @ right.T, 0.0, 2.0)
 
 
-def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
-    """Each row once per pair of blocks its own block is part of; every group holds two blocks."""
-    sizes = rows.groupBy("brand").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb"))
-    placed = rows.join(sizes, "brand").withColumn(
-        "_own", F.pmod(F.xxhash64("cid"), F.col("_nb")).cast("int")
+#: Pivots for each block of a brand, and pivots of a brand at most; larger cells have more blocks.
+PIVOTS_PER_BLOCK = 4
+MAX_PIVOTS = 1024
+#: Brands of at most so many blocks need no pivots: all pairs of their blocks meet.
+PLAIN_BLOCKS = 16
+#: Rows that are compared with the pivots in one task.
+CHUNK = 16_384
+#: Angles are taken a little wider, as they come from rounded cosines.
+_SLACK = 1e-6
+
+
+def _widest(cut: float) -> float:
+    """The widest angle of two vectors within ``cut``; beyond a right angle short means know no bound."""
+    return float(np.arccos(1.0 - cut)) + _SLACK if 0 <= cut < 1 else np.pi
+
+
+def _angles(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    long = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.arccos(np.clip(rows / np.where(long > 0, long, 1.0) @ pivots.T, -1.0, 1.0))
+
+
+def _with_pivots(rows: DataFrame, pivots: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn(rows, pivots)`` for each chunk of a brand's rows and all pivots of the brand."""
+    sizes = rows.groupBy("brand").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_n"))
+    chunk = F.pmod(F.xxhash64("cid"), F.col("_n")).cast("int")
+    dealt = rows.join(sizes, "brand").withColumn("_chunk", chunk).drop("_n")
+    # The sides share ancestors, so their keys need names of their own.
+    every = pivots.join(sizes, "brand").withColumn("_for", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    every = every.select(F.col("brand").alias("_of"), "_for", *[F.col(c).alias(c) for c in pivots.columns if c != "brand"])
+    return dealt.groupBy("brand", "_chunk").cogroup(every.groupBy("_of", "_for")).applyInPandas(fn, schema)
+
+
+def _cells(rows: DataFrame, cut: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors with their cell, and the (brand, cell) sizes; also what visits other cells.
+
+    Returns home rows (brand, cid, size, mean, cell) and visits (the same columns, ``cell`` visited);
+    of two cells that are near each other the vectors of the lower one visit the higher.
+    """
+    wide = _widest(cut)
+    counted = rows.groupBy("brand").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = F.when(F.col("_n") <= block, 1).otherwise(F.least(F.lit(MAX_PIVOTS), F.ceil(PIVOTS_PER_BLOCK * F.col("_n") / block)))
+    ranked = top_per_group(rows.select("brand", "cid"), ["brand"], [F.xxhash64("cid"), F.col("cid")], MAX_PIVOTS, "_rank")
+    chosen = ranked.join(counted, "brand").filter(F.col("_rank") <= wanted).select("brand", "cid", (F.col("_rank") - 1).cast("int").alias("cell"))
+    pivots = keep(chosen.join(rows.select("brand", "cid", "mean"), ["brand", "cid"]).select("brand", "cell", F.col("mean").alias("pivot")))
+    schema = "brand string, cid string, size long, mean array<double>, cell int, angle double"
+
+    def settle(pdf: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        near = near.sort_values("cell", ignore_index=True)
+        angles = _angles(_matrix(pdf["mean"]), _unit_matrix(near["pivot"]))
+        own = angles.argmin(axis=1)
+        return pdf[["brand", "cid", "size", "mean"]].assign(cell=near["cell"].to_numpy()[own], angle=angles.min(axis=1))
+
+    settled = keep(_with_pivots(rows.select("brand", "cid", "size", "mean"), pivots, settle, schema))
+    radii = settled.groupBy("brand", "cell").agg(F.max("angle").alias("radius"))
+    known = pivots.join(radii, ["brand", "cell"])
+
+    def visit(pdf: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        angles = _angles(_matrix(pdf["mean"]), _unit_matrix(near["pivot"]))
+        cells, radius = near["cell"].to_numpy(), near["radius"].to_numpy()
+        far = np.minimum(radius[None, :] + wide, pdf["angle"].to_numpy()[:, None] + 2 * wide)
+        i, j = np.nonzero((angles <= far + _SLACK) & (cells[None, :] > pdf["cell"].to_numpy()[:, None]))
+        return pdf[["brand", "cid", "size", "mean"]].iloc[i].assign(cell=cells[j])
+
+    several = known.join(known.groupBy("brand").count().filter(F.col("count") > 1).select("brand"), "brand", "left_semi")
+    guests = settled.join(several.select("brand").distinct(), "brand", "left_semi")
+    visits = _with_pivots(guests, several, visit, "brand string, cid string, size long, mean array<double>, cell int")
+    return settled.drop("angle"), keep(visits)
+
+
+def _unit_matrix(column: pd.Series) -> np.ndarray:
+    m = _matrix(column)
+    long = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(long > 0, long, 1.0)
+
+
+_TASK = ["brand", "_cell", "_block", "_guests"]
+
+
+def block_tasks(rows: DataFrame, cut: float, block: int) -> DataFrame:
+    """Rows dealt to tasks of two blocks: a block of a cell (``_side`` 0) and one block of its visitors (1).
+
+    ``_guests`` numbers the visitors' blocks; -1 is the block by itself. The blocks of one cell visit
+    each other, the lower ones the higher.
+    """
+    sizes = rows.groupBy("brand").agg(F.count(F.lit(1)).alias("_n"))
+    sized = keep(rows.select("brand", "cid", "size", "mean").join(sizes, "brand"))
+    zero = F.lit(0).cast("int")
+    # A brand of one block meets itself alone.
+    single = sized.filter(F.col("_n") <= block).select(
+        "brand", zero.alias("_cell"), zero.alias("_block"), F.lit(-1).alias("_guests"), F.lit(0).alias("_side"), "cid", "size", "mean"
     )
-    other = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    return other.withColumns(
-        {"_p": F.least("_own", "_other"), "_q": F.greatest("_own", "_other")}
-    ).drop("_other", "_nb")
+    # One of few blocks is one cell, which none visits.
+    plain = sized.filter((F.col("_n") > block) & (F.col("_n") <= PLAIN_BLOCKS * block)).drop("_n").withColumn("cell", zero)
+    none = plain.limit(0)
+    large = sized.filter(F.col("_n") > PLAIN_BLOCKS * block).drop("_n")
+    if large.isEmpty():
+        return single.unionByName(_met_blocks(plain, none, block))
+    home, visits = _cells(large, cut, block)
+    return single.unionByName(_met_blocks(plain.unionByName(home), visits, block))
+
+
+def _met_blocks(home: DataFrame, visits: DataFrame, block: int) -> DataFrame:
+    """``block_tasks`` of vectors in cells and of what visits the cells."""
+    blocks = F.ceil(F.count(F.lit(1)) / block).cast("int")
+    held = home.groupBy("brand", "cell").agg(blocks.alias("_blocks"))
+    guests = visits.groupBy("brand", "cell").agg(blocks.alias("_visits"))
+    sizes = keep(held.join(guests, ["brand", "cell"], "left").fillna({"_visits": 0}))
+    own = F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int")
+    placed = home.join(sizes, ["brand", "cell"]).withColumn("_block", own)
+    shape = lambda df, at, g, side: df.select("brand", F.col("cell").alias("_cell"), at, g, F.lit(side).alias("_side"), "cid", "size", "mean")
+    none = F.array().cast("array<int>")
+    after = lambda low, high: F.when(high >= low, F.sequence(low, high)).otherwise(none)
+    opposite = F.concat(after(F.lit(-1), F.col("_block") - 1), after(F.col("_blocks"), F.col("_blocks") + F.col("_visits") - 1))
+    hosts = shape(placed, F.col("_block"), F.explode(opposite).alias("_guests"), 0)
+    higher = placed.withColumn("_to", F.explode(after(F.col("_block") + 1, F.col("_blocks") - 1)))
+    inner = shape(higher, F.col("_to").alias("_block"), F.col("_block").alias("_guests"), 1)
+    outer = visits.join(sizes, ["brand", "cell"]).withColumn("_from", F.pmod(F.xxhash64("cid"), F.col("_visits")).cast("int"))
+    outer = outer.withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    outer = shape(outer, F.col("_to").alias("_block"), (F.col("_blocks") + F.col("_from")).alias("_guests"), 1)
+    return hosts.unionByName(inner).unionByName(outer)
 
 
 def _sides(pdf: pd.DataFrame):
+    """The host block, its visitors and whether they are one block, each in the order of names."""
     pdf = pdf.sort_values("cid", ignore_index=True)
-    left = pdf[pdf["_own"] == pdf["_p"]]
-    right = pdf[pdf["_own"] == pdf["_q"]]
-    return left, right
+    left = pdf[pdf["_side"] == 0]
+    same = pdf["_guests"].iloc[0] < 0
+    return left, left if same else pdf[pdf["_side"] == 1], same
 
 
 def close_pairs(unit: DataFrame, cut: float = config.TOPIC_CUT, block: int = BLOCK) -> DataFrame:
-    """V01. Pairs of distinct vectors of one brand within ``cut``, with both copy counts."""
+    """V01. Pairs of distinct vectors of one brand within ``cut``, with both copy counts.
+
+    A vector is sent to the tasks of its own block and of the cells it visits, not to every block.
+    """
     schema = "brand string, a string, b string, distance double, copies_a long, copies_b long"
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(pdf)
+        left, right, same_block = _sides(pdf)
         if left.empty or right.empty:
             return _rows("", a=[], b=[], distance=[], copies_a=[], copies_b=[])
         d = _distances(_matrix(left["mean"]), _matrix(right["mean"]))
         i, j = np.nonzero(d <= cut)
         one, two = left["cid"].to_numpy(dtype=object)[i], right["cid"].to_numpy(dtype=object)[j]
-        same_block = pdf["_p"].iloc[0] == pdf["_q"].iloc[0]
         keep = one < two if same_block else one != two
         i, j, one, two = i[keep], j[keep], one[keep], two[keep]
         swap = one > two
@@ -105,19 +224,18 @@ def close_pairs(unit: DataFrame, cut: float = config.TOPIC_CUT, block: int = BLO
         )
 
     rows = distinct_vectors(unit).drop("vkey")
-    return _block_pairs(rows, block).groupBy("brand", "_p", "_q").applyInPandas(pairs, schema)
+    return block_tasks(rows, cut, block).groupBy(*_TASK).applyInPandas(pairs, schema)
 
 
 def _nearest(rows: DataFrame, cut: float, block: int) -> DataFrame:
     """Each cluster's nearest neighbour within ``cut``; ties by the lowest pair of names."""
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(pdf)
+        left, right, same_block = _sides(pdf)
         if left.empty or right.empty:
             return _rows("", cid=[], d=[], a=[], b=[])
         d = _distances(_matrix(left["mean"]), _matrix(right["mean"]))
         l_ids, r_ids = left["cid"].to_numpy(dtype=object), right["cid"].to_numpy(dtype=object)
-        same_block = pdf["_p"].iloc[0] == pdf["_q"].iloc[0]
         if same_block:
             np.fill_diagonal(d, np.inf)
         parts = [(l_ids, r_ids[d.argmin(axis=1)], d.min(axis=1))]
@@ -135,7 +253,7 @@ def _nearest(rows: DataFrame, cut: float, block: int) -> DataFrame:
             b=np.where(lower, other, own),
         )
 
-    found = _block_pairs(rows, block).groupBy("brand", "_p", "_q").applyInPandas(best, _NEAREST)
+    found = block_tasks(rows, cut, block).groupBy(*_TASK).applyInPandas(best, _NEAREST)
     return (
         found.groupBy("brand", "cid")
         .agg(F.min(F.struct("d", "a", "b")).alias("near"))
@@ -144,14 +262,13 @@ def _nearest(rows: DataFrame, cut: float, block: int) -> DataFrame:
 
 
 def _merge_in_task(cut: float):
-    """All rounds for one small brand; yields (child, parent) pairs of names."""
+    """All rounds for one small brand; yields (child, final parent) pairs of names."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cid", ignore_index=True)
         names, size = pdf["cid"].to_numpy(dtype=object), pdf["size"].to_numpy(dtype=np.float64)
         mean = _matrix(pdf["mean"])
-        active = np.arange(len(names))
-        children, parents = [], []
+        active = root = np.arange(len(names))
         while len(active) > 1:
             d = _distances(mean[active], mean[active])
             np.fill_diagonal(d, np.inf)
@@ -165,21 +282,30 @@ def _merge_in_task(cut: float):
             total = size[a] + size[b]
             mean[a] = (mean[a] * size[a, None] + mean[b] * size[b, None]) / total[:, None]
             size[a] = total
-            children.extend(names[b])
-            parents.extend(names[a])
-            gone = set(b.tolist())
-            active = np.array([x for x in active[inside] if x not in gone], dtype=np.int64)
-        return _rows(pdf["brand"].iloc[0], child=children, parent=parents)
+            into = np.arange(len(names))
+            into[b] = a
+            root = into[root]
+            active = np.setdiff1d(active[inside], b)
+        moved = root != np.arange(len(names))
+        return _rows(pdf["brand"].iloc[0], child=names[moved], parent=names[root[moved]])
 
     return run
 
 
-def _merge_rounds(rows: DataFrame, cut: float, block: int) -> DataFrame:
+def _in_tasks(rows: DataFrame, cut: float, small: int) -> tuple[DataFrame, DataFrame]:
+    """(merges of the brands with at most ``small`` clusters, the clusters of the others)."""
+    sizes = rows.groupBy("brand").agg(F.count(F.lit(1)).alias("_n"))
+    sized = rows.select("brand", "cid", "size", "mean").join(sizes, "brand")
+    done = sized.filter(F.col("_n") <= small).drop("_n").groupBy("brand").applyInPandas(_merge_in_task(cut), _MERGED)
+    return done, sized.filter(F.col("_n") > small).drop("_n")
+
+
+def _merge_rounds(rows: DataFrame, cut: float, block: int, small: int) -> DataFrame:
     """The rounds as Spark jobs; each round's clusters are checkpointed, which cuts the plan."""
     spark = rows.sparkSession
     checkpoint_dir(spark)
     merged = spark.createDataFrame([], _MERGED)
-    active = rows.select("brand", "cid", "size", "mean").checkpoint()
+    active = rows.checkpoint()
     while True:
         near = _nearest(active, cut, block).checkpoint()
         pairs = near.groupBy("brand", "a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n = 2")
@@ -201,9 +327,13 @@ def _merge_rounds(rows: DataFrame, cut: float, block: int) -> DataFrame:
         added = F.when(F.size("totals") == 1, F.col("totals")[0]).otherwise(
             F.zip_with(F.col("totals")[0], F.col("totals")[1], lambda x, y: x + y)
         )
-        active = both.select(
+        rest = both.select(
             "brand", "cid", "size", F.transform(added, lambda x: x / F.col("size")).alias("mean")
         ).checkpoint()
+        # A brand that now fits a block is finished in one task.
+        done, large = _in_tasks(rest, cut, small)
+        merged = merged.unionByName(done.checkpoint())
+        active = large.checkpoint()
 
 
 def _roots(merged: DataFrame) -> DataFrame:
@@ -230,18 +360,12 @@ def average_linkage(
     rounds over blocks of ``block``; both give the same clusters.
     """
     rows = keep(distinct_vectors(unit))
-    sizes = rows.groupBy("brand").agg(F.count(F.lit(1)).alias("_n"))
-    sized = rows.drop("vkey").join(sizes, "brand")
-    merged = (
-        sized.filter(F.col("_n") <= small)
-        .drop("_n")
-        .groupBy("brand")
-        .applyInPandas(_merge_in_task(cut), _MERGED)
-    )
-    large = sized.filter(F.col("_n") > small).drop("_n")
+    # What one task merges has its final names at once.
+    roots, large = _in_tasks(rows, cut, small)
+    large = keep(large)
     if not large.isEmpty():
-        merged = merged.unionByName(_merge_rounds(large, cut, block))
-    roots = _roots(merged).withColumnRenamed("child", "cid")
+        roots = _roots(roots.unionByName(_merge_rounds(large, cut, block, small)))
+    roots = roots.withColumnRenamed("child", "cid")
     named = rows.select("brand", "vkey", "cid").join(roots, ["brand", "cid"], "left").select(
         "brand", "vkey", F.coalesce("parent", "cid").alias("cid")
     )
@@ -251,18 +375,25 @@ def average_linkage(
 def centroids(members: DataFrame) -> DataFrame:
     """Mean of the members' unit vectors per (brand, cid), scaled to length one.
 
-    Each dimension is an average combined before the exchange.
+    Vectors are summed per Arrow batch before the exchange, one row per cluster and batch.
     """
-    summed = (
-        members.select("brand", "cid", F.posexplode("unit").alias("at", "x"))
-        .groupBy("brand", "cid", "at")
-        .agg(F.avg("x").alias("x"))
-        .groupBy("brand", "cid")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("mean"))
-    )
-    return summed.select(
-        "brand", "cid", S.unit_vector(F.transform("mean", lambda m: m["x"])).alias("centroid")
+    fields = "brand string, cid string, total array<double>"
+
+    def sums(frames):
+        for pdf in frames:
+            if not pdf.empty:
+                group, keys = pd.factorize(pd.MultiIndex.from_frame(pdf[["brand", "cid"]]))
+                rows = _matrix(pdf["unit"])
+                total = np.zeros((len(keys), rows.shape[1]))
+                np.add.at(total, group, rows)
+                yield pd.DataFrame({"brand": [k[0] for k in keys], "cid": [k[1] for k in keys], "total": list(total)})
+
+    # The mean's direction is that of the sum.
+    each = members.select("brand", "cid", "unit").mapInPandas(sums, fields)
+    summed = each.groupBy("brand", "cid").applyInPandas(
+        lambda pdf: pd.DataFrame({"brand": pdf["brand"][:1], "cid": pdf["cid"][:1], "total": [_matrix(pdf["total"]).sum(axis=0)]}), fields
     )
+    return summed.select("brand", "cid", S.unit_vector("total").alias("centroid"))
 
 
 def medoids(members: DataFrame, k: int = config.TOPIC_EXEMPLARS) -> DataFrame:
@@ -282,51 +413,90 @@ def cosine_top_k(vectors: DataFrame, question, k: int = config.TOP_K) -> DataFra
     return vectors.withColumn("score", score).orderBy(F.desc("score"), F.asc("mention_id")).limit(k)
 
 
-MAX_QUESTIONS = 4096
+#: Questions of a block, and questions that one pass over the vectors answers.
+QUESTION_BLOCK = 1024
+MAX_QUESTIONS = 32_768
+
+
+def _packed(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """One row per batch of vectors: their names in order, and all numbers as one binary."""
+
+    def pack(frames):
+        for pdf in frames:
+            for at in range(0, len(pdf), rows):
+                part = pdf.iloc[at : at + rows].sort_values(id_col)
+                yield pd.DataFrame({"ids": [part[id_col].tolist()], "numbers": [_matrix(part["unit"]).tobytes()]})
+
+    return df.select(id_col, "unit").mapInPandas(pack, "ids array<string>, numbers binary")
+
+
+class _Best:
+    """The best ``k`` vectors so far for each question of a block, ties by name."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.least = np.full(n, -np.inf)
+        self.question = np.empty(0, dtype=np.int64)
+        self.score = np.empty(0)
+        self.name = np.empty(0, dtype=str)
+
+    def add(self, scores: np.ndarray, names: np.ndarray) -> None:
+        """Scores (question, vector) of one batch."""
+        rows = scores.shape[1]
+        floor = self.least
+        if rows > self.k:
+            floor = np.maximum(floor, np.partition(scores, rows - self.k, axis=1)[:, rows - self.k])
+        q, v = np.nonzero(scores >= floor[:, None])
+        question = np.concatenate([self.question, q])
+        score = np.concatenate([self.score, scores[q, v]])
+        name = np.concatenate([self.name, names[v]])
+        order = np.lexsort((name, -score, question))
+        question = question[order]
+        start = np.searchsorted(question, np.arange(len(self.least)))
+        keep_ = np.arange(len(question)) - start[question] < self.k
+        self.question, self.score, self.name = question[keep_], score[order][keep_], name[order][keep_]
+        last = np.searchsorted(self.question, np.arange(len(self.least)), side="right") - 1
+        full = np.bincount(self.question, minlength=len(self.least)) >= self.k
+        self.least = np.where(full, self.score[np.maximum(last, 0)], -np.inf)
 
 
 def cosine_top_k_many(vectors: DataFrame, questions: DataFrame, k: int = config.TOP_K) -> DataFrame:
-    """V04 for a table of questions (question_id, unit): one scan of the mentions per 4096.
+    """V04 for a table of questions (question_id, unit): (question_id, mention_id, score, rank).
 
-    Each batch of mentions keeps its own best ``k`` per question before anything is exchanged.
+    Questions stay a table: packed into blocks, they are sent to the tasks that scan the vectors, up to
+    ``MAX_QUESTIONS`` a pass. Each task keeps the best ``k`` of each question while it reads, so what is
+    exchanged is at most questions x k x tasks rows, whatever the number of vectors. Scores that agree to
+    12 places are ties, which go to the lower id.
     """
     from pyspark.sql import Window
 
-    n = questions.count()
-    blocks = max(1, -(-n // MAX_QUESTIONS))
+    passes = max(1, -(-questions.count() // MAX_QUESTIONS))
     schema = "question_id string, mention_id string, score double"
-    place = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
-    out = None
-    for at in range(blocks):
-        # At most a few thousand questions a block: small enough for every task to hold.
-        asked = questions.filter(place == at).select("question_id", "unit").collect()
-        if not asked:
-            continue
-        ids = np.array([row["question_id"] for row in asked], dtype=object)
-        matrix = np.array([row["unit"] for row in asked], dtype=np.float64)
-
-        def rank(frames, ids=ids, matrix=matrix):
-            for pdf in frames:
-                if pdf.empty:
-                    continue
-                pdf = pdf.sort_values("mention_id", ignore_index=True)
-                scores = _matrix(pdf["unit"]) @ matrix.T
-                order = np.argsort(-scores, axis=0, kind="stable")[:k]
-                names = pdf["mention_id"].to_numpy(dtype=object)
-                yield pd.DataFrame(
-                    {
-                        "question_id": np.tile(ids, len(order)),
-                        "mention_id": names[order].ravel(),
-                        "score": np.take_along_axis(scores, order, axis=0).ravel(),
-                    }
-                )
-
-        local = vectors.select("mention_id", "unit").mapInPandas(rank, schema)
-        out = local if out is None else out.unionByName(local)
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], schema)
+    scanned = _packed(vectors, "mention_id", 4096).select(F.col("ids").alias("names"), F.col("numbers").alias("rows"))
+    scanned = keep(scanned) if passes > 1 else scanned
+
+    def best(frames):
+        held: dict[str, tuple] = {}
+        for pdf in frames:
+            for ids, numbers, names, rows in zip(pdf["ids"], pdf["numbers"], pdf["names"], pdf["rows"]):
+                key = ids[0]
+                if key not in held:
+                    held[key] = (list(ids), np.frombuffer(numbers).reshape(len(ids), -1), _Best(len(ids), k))
+                _, asked, found = held[key]
+                found.add(np.round(asked @ np.frombuffer(rows).reshape(len(names), -1).T, 12), np.array(list(names), dtype=str))
+        for ids, _, found in held.values():
+            yield pd.DataFrame({"question_id": np.array(ids, dtype=object)[found.question], "mention_id": found.name.astype(object), "score": found.score})
+
+    place = F.pmod(F.xxhash64("question_id"), F.lit(passes))
+    local = None
+    for at in range(passes):
+        asked = questions.select("question_id", "unit").filter(place == at).repartitionByRange("question_id")
+        blocks = keep(_packed(asked, "question_id", QUESTION_BLOCK))
+        # MAX_QUESTIONS vectors at most, a row for each block: the query set against all rows, in blocks.
+        found = scanned.crossJoin(F.broadcast(blocks)).mapInPandas(best, schema)
+        local = found if local is None else local.unionByName(found)
     ranked = Window.partitionBy("question_id").orderBy(F.desc("score"), F.asc("mention_id"))
-    return out.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
+    return local.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 
 
 def embedding_misses(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:

@@ -115,3 +115,45 @@ def test_topics_end_to_end(spark):
     assert len(topic[0]["exemplar_mention_ids"]) == 3
     assert got["assignments"].count() == 3
     assert [(r["brand"], r["reason"]) for r in got["abstentions"].collect()] == [("few", "below_minimum")]
+
+
+def groups_in_space(seed=11, groups=24, each=18, dims=8):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dims))
+    return np.concatenate([c + rng.normal(scale=0.12, size=(each, dims)) for c in centres])
+
+
+def test_pivots_skip_blocks_that_cannot_be_near(spark, monkeypatch):
+    points = groups_in_space()
+    unit = V.with_unit_vectors(frame(spark, points))
+    rows = V.distinct_vectors(unit).drop("vkey")
+    tasks = V.block_tasks(rows, 0.1, 16).cache()
+    blocks = tasks.filter("_side = 0").select("_cell", "_block").distinct().count()
+    met = tasks.select(*V._TASK).distinct().count()
+    assert blocks >= 27 and met < 0.6 * blocks * (blocks + 1) / 2
+    # Every near pair is found once all the same.
+    u = points / np.linalg.norm(points, axis=1, keepdims=True)
+    near = 1 - u @ u.T <= 0.1
+    tasks.unpersist()
+    got = V.close_pairs(unit, 0.1, block=16).collect()
+    assert sorted((int(r["a"][1:]), int(r["b"][1:])) for r in got) == [(i, j) for i in range(len(u)) for j in range(i + 1, len(u)) if near[i, j]]
+    monkeypatch.setattr(V, "PLAIN_BLOCKS", 1)
+    assert groups_of(V.average_linkage(unit, 0.1, block=64, small=200)) == groups_of(V.average_linkage(unit, 0.1))
+
+
+def test_cells_larger_than_a_block_and_wide_cuts(spark, monkeypatch):
+    points = cloud(4, 90)
+    unit = V.with_unit_vectors(frame(spark, points))
+    u = points / np.linalg.norm(points, axis=1, keepdims=True)
+    first = {}
+    for i, p in enumerate(map(tuple, u)):
+        first.setdefault(p, i)
+    names = sorted(first.values())
+    monkeypatch.setattr(V, "MAX_PIVOTS", 3)
+    for cut, plain in ((0.3, 1), (1.2, 1), (0.3, 99)):
+        monkeypatch.setattr(V, "PLAIN_BLOCKS", plain)
+        want = {(a, b) for a in names for b in names if a < b and 1 - u[a] @ u[b] <= cut}
+        got = V.close_pairs(unit, cut, block=6).collect()
+        assert len(got) == len(want) and {(int(r["a"][1:]), int(r["b"][1:])) for r in got} == want
+    # Rounds end in one task once a brand is small enough.
+    assert groups_of(V.average_linkage(unit, 0.35, block=8, small=30)) == greedy(points, 0.35)
