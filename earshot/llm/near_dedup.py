@@ -7,8 +7,9 @@ of resemblance J shares a table with probability (1 - (1 - J ** ROWS) ** HALVES)
 the values here that is 0.9997 and at 0.8 it is above 0.99999.
 
 Texts with the same set are one node. Half keys that only one node has are dropped. Each node is
-first compared with the leader it shares the most half keys with, which connects most groups. What
-is left are half keys with nodes of several components. The nodes outside the largest component of
+first compared with the leader it shares the most half keys with, which connects most groups, then with
+the hub of half keys that still have nodes of several components: the node that shares the most with
+others. What is left are half keys with nodes of several components. The nodes outside the largest component of
 a half key are queries; tables are made of these half keys only, and every node that shares a table
 bucket with a block of queries is compared on full sets with the whole block, by an index of the
 block's shingles. So each two nodes of a bucket are compared or already connected, and a node meets
@@ -133,12 +134,12 @@ def _stars(nodes: DataFrame, base: DataFrame) -> DataFrame:
     firsts = best.select(F.col("node").alias("u"), F.negative("best.less").alias("v")).checkpoint()
     sets = _node_sets(base, nodes, firsts.select(F.col("u").alias("node")))
     tree = C.tree_roots(_confirmed(firsts.where("u != v"), sets))
-    # What is left: half keys with nodes of several components. Of two nodes in different components,
-    # one at least is outside the component that has most nodes of their half key: a query node.
-    rooted = nodes.join(tree.withColumnRenamed("u", "node"), "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), "half")
-    rooted = rooted.select("node", "n", "root", F.posexplode("half").alias("slot", "h")).join(shared, slots)
-    sizes = rooted.groupBy(*slots, "root").count().groupBy(*slots).agg(F.max(F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
-    open_half = rooted.join(sizes.where("roots > 1").select(*slots, F.col("most.root").alias("major")), slots)
+    # What is left: half keys with nodes of several components. There each node is compared with the
+    # node that shares the most with others, as the text that many copies were made of does.
+    known = tree.select("u", F.col("root").alias("v"))
+    hubs = _hubs(_open_half(nodes, tree, shared).checkpoint())
+    known = known.union(_confirmed(hubs, sets)).checkpoint()
+    open_half = _open_half(nodes, C.min_label_edges(known), shared)
     sides = (
         open_half.groupBy("node", "n")
         .agg(
@@ -149,7 +150,34 @@ def _stars(nodes: DataFrame, base: DataFrame) -> DataFrame:
         .checkpoint()
     )
     links = _confirmed_in_blocks(_blocked(sides), sets)
-    return C.min_label_edges(tree.select("u", F.col("root").alias("v")).union(links))
+    return C.min_label_edges(known.union(links))
+
+
+def _open_half(nodes: DataFrame, stars: DataFrame, shared: DataFrame) -> DataFrame:
+    """Half keys that nodes of several components have, with each node's root and the largest component.
+
+    Of two nodes in different components, one at least is outside the component that has most nodes of
+    their half key: a query node.
+    """
+    slots = ["slot", "h"]
+    rooted = nodes.join(stars.withColumnRenamed("u", "node"), "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), "half")
+    rooted = rooted.select("node", "n", "root", F.posexplode("half").alias("slot", "h")).join(shared, slots)
+    sizes = rooted.groupBy(*slots, "root").count().groupBy(*slots).agg(F.max(F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
+    return rooted.join(sizes.where("roots > 1").select(*slots, F.col("most.root").alias("major")), slots)
+
+
+def _hubs(half: DataFrame) -> DataFrame:
+    """Each node (u) with the node (v) of another component that it shares the most half keys with, among
+    those that share the most of all in a half key.
+    """
+    slots = ["slot", "h"]
+    sizes = half.groupBy(*slots).agg(F.count(F.lit(1)).alias("size"))
+    weights = half.join(sizes, slots).groupBy("node").agg(F.sum("size").alias("weight"))
+    hub = half.join(weights, "node").groupBy(*slots).agg(F.max(F.struct("weight", "node", "root")).alias("hub"))
+    votes = half.join(hub.select(*slots, "hub.node", "hub.root").toDF(*slots, "v", "to"), slots).where("root != to")
+    counts = votes.groupBy("node", "v").count()
+    best = counts.groupBy("node").agg(F.max(F.struct("count", "v")).alias("best"))
+    return best.select(F.col("node").alias("u"), F.col("best.v").alias("v"))
 
 
 def _blocked(sides: DataFrame) -> DataFrame:
@@ -168,12 +196,10 @@ def _confirmed_in_blocks(sides: DataFrame, sets: DataFrame) -> DataFrame:
     half = sides.select("node", "n", "block", F.explode("halves").alias("k")).select("node", "n", "block", "k.slot", "k.h")
     asked = half.where("block IS NOT NULL").select("slot", "h", F.col("block").alias("query_block")).distinct()
     first = half.where(F.col("slot") < HALVES).join(asked, ["slot", "h"]).select("node", F.col("query_block").alias("block")).distinct()
-    second = (
-        first.join(sides.select("node", "n", "halves"), "node")
-        .select("node", "n", "block", F.explode(F.expr(f"filter(halves, x -> x.slot >= {HALVES})")).alias("k"))
-        .select("node", "n", "block", "k.slot", "k.h")
-    )
-    near = second.join(asked.withColumnRenamed("query_block", "block"), ["slot", "h", "block"], "left_semi").select("node", "n", "block").distinct().checkpoint()
+    # What a block asks for on side b is one list, at most HALVES for each of its nodes.
+    wanted = asked.where(F.col("slot") >= HALVES).groupBy("query_block").agg(F.collect_list(F.struct("slot", "h")).alias("wanted"))
+    paired = first.join(sides.select("node", "n", "halves"), "node").join(wanted.withColumnRenamed("query_block", "block"), "block")
+    near = paired.where(F.arrays_overlap("halves", "wanted")).select("node", "n", "block").checkpoint()
     salts = F.ceil(F.greatest(F.count(F.lit(1)) / (8 * BLOCK_NODES), F.sum("n") / (8 * BLOCK_SHINGLES))).cast("int")
     counts = near.groupBy("block").agg(salts.alias("salts")).checkpoint()
     rows = near.join(counts, "block").join(sets, "node").select("block", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node", "shingles")
@@ -199,8 +225,15 @@ def _node_sets(base: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFram
 
 
 def _links_of_block(queries: pa.Table, rows: pa.Table) -> pa.Table:
-    """Near pairs of a block's sets and the rows' sets, by one sorted index of the block's shingles."""
+    """Links that connect what near pairs of a block's sets and the rows' sets connect.
+
+    Pairs are found by one sorted index of the block's shingles. Only those that join two groups are
+    given, so a call makes fewer links than it has queries and rows, however many pairs are near.
+    """
+    C.use(__name__)
     nodes = queries["query"].to_numpy()
+    place = {node: i for i, node in enumerate(nodes.tolist())}
+    group = np.arange(len(nodes))
     lists = queries["query_shingles"].combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     flat = lists.flatten().to_numpy(zero_copy_only=False)
@@ -216,9 +249,15 @@ def _links_of_block(queries: pa.Table, rows: pa.Table) -> pa.Table:
         at = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         both = np.bincount(owner[at], minlength=len(nodes))
         near = both * 100 >= (sizes + len(own) - both) * C.NEAR_PERCENT
-        found = nodes[near & (nodes != node)]
-        us.append(np.full(len(found), node, dtype=np.int64))
-        vs.append(found)
+        mine = place.get(node)
+        at = np.flatnonzero(near)
+        groups, first = np.unique(group[at], return_index=True)
+        if mine is not None:
+            first = first[groups != group[mine]]
+        us.append(np.full(len(first), node, dtype=np.int64))
+        vs.append(nodes[at[first]])
+        if len(groups) > 1:
+            group[np.isin(group, groups)] = groups[0]
     none = np.empty(0, dtype=np.int64)
     return pa.table({"u": np.concatenate([none, *us]), "v": np.concatenate([none, *vs])})
 

@@ -107,3 +107,43 @@ def test_components_of_paths(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = common.min_label_edges(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {r.u: r.root for r in got} == {**{k: 0 for k in range(1, 41)}, 100: 90, 95: 90}
+
+
+def test_links_of_a_block_are_a_forest(prose):
+    import pyarrow as pa
+
+    sets = [common.shingles(prose(k // 40, 60).encode()) for k in range(120)]  # three groups of copies
+    sets += [common.shingles(prose(1000 + k, 60).encode()) for k in range(20)]
+    lists = common.list_array([s.view(np.int64) for s in sets], pa.int64())
+    nodes = np.arange(len(sets), dtype=np.int64) * 7
+    queries = pa.table({"query": nodes[:100], "query_shingles": lists.slice(0, 100)})
+    rows = pa.table({"node": nodes[30:], "shingles": lists.slice(30)})
+    made = near_dedup._links_of_block(queries, rows).to_pydict()
+    links = list(zip(made["u"], made["v"]))
+    assert len(links) < len(nodes)
+    root = {n: n for n in nodes.tolist()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        assert a // 7 // 40 == b // 7 // 40 and max(a, b) // 7 < 120
+        assert find(a) != find(b)
+        root[find(a)] = find(b)
+    # Rows of a group are connected with each other and with the queries that they are near to.
+    assert len({find(n * 7) for n in range(30, 40)} | {find(n * 7) for n in range(30)}) == 1
+    assert len({find(n * 7) for n in range(40, 80)}) == 1
+    assert len({find(n * 7) for n in range(80, 120)}) == 1
+
+
+def test_worker_tables_go_when_another_operator_starts():
+    common.use("a")
+    common.shingles(b"one two three")
+    common.use("a")
+    assert len(common._HASHES) == 3
+    common.shingles(b"x" * 100)
+    assert len(common._HASHES) == 3  # long words are not kept
+    common.use("b")
+    assert not common._HASHES
