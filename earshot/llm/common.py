@@ -8,6 +8,8 @@ single text and not the partition.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,6 +31,9 @@ BATCH_ROWS = 512
 
 #: Entries of a worker's word table; it starts anew when it is full.
 CACHE_WORDS = 400_000
+#: Bytes of a worker's table of word hashes, about, and the longest word that it keeps.
+HASH_BYTES = 32 << 20
+LONGEST_KEY = 64
 
 _U = np.uint64
 _ODD = np.array(
@@ -50,6 +55,36 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b""))
 
 
+_clears: list[Callable[[], object]] = []
+_owner: list[str] = []
+
+
+def worker_table(clear: Callable[[], object]) -> None:
+    """Names what empties a table that Python workers keep between tasks."""
+    _clears.append(clear)
+
+
+def use(owner: str) -> None:
+    """Called where a task's work starts. Workers are reused: when another operator begins, the tables
+    of the one before are dropped and their memory goes back to the system.
+    """
+    if _owner == [owner]:
+        return
+    first = not _owner
+    _owner[:] = [owner]
+    if first:
+        # What Arrow has freed goes back to the system and is not kept for later batches.
+        pa.set_memory_pool(pa.system_memory_pool())
+        return
+    for clear in _clears:
+        clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,
@@ -72,6 +107,7 @@ def map_texts(
     outs = out.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(fn.__module__)
         for batch in batches:
             made = fn(batch.column(1).to_pylist(), *[batch.column(2 + i) for i in range(len(extra))])
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=outs)
@@ -83,16 +119,20 @@ def map_texts(
 
 
 class WordHashes(dict):
-    """Word bytes -> 64-bit hash, filled on first use and bounded in size."""
+    """Word bytes -> 64-bit hash, filled on first use and bounded in bytes."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST_KEY:
+            # A key of average length, a number and the table's slot are about 160 bytes.
+            if len(self) >= HASH_BYTES // 160:
+                self.clear()
+            self[word] = value
         return value
 
 
 _HASHES = WordHashes()
+worker_table(_HASHES.clear)
 
 
 def lower_words(text: bytes) -> list[bytes]:

@@ -167,6 +167,7 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _BUILT: dict[tuple[str, int], Automaton] = {}
+C.worker_table(_BUILT.clear)
 
 
 def _automaton(items: Broadcast, window: int) -> Automaton:

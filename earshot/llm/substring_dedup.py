@@ -122,6 +122,7 @@ def windows(text: bytes, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.nda
 
 def _rows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     """(id, h) for the distinct windows of each text."""
+    C.use(__name__)
     for batch in batches:
         ids, made = [], []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

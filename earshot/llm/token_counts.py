@@ -106,6 +106,7 @@ def load(spark: SparkSession, pieces: list[tuple[str, float]]) -> Broadcast:
 
 
 _COUNTERS: dict[str, Counter] = {}
+C.worker_table(_COUNTERS.clear)
 
 
 def token_counts(docs: DataFrame, vocabulary: Broadcast, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -178,6 +178,9 @@ def _model(packed: bytes, bias: float) -> Model:
     return Model(np.frombuffer(packed, np.float32), bias)
 
 
+C.worker_table(_model.cache_clear)
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds ``score`` (0 to 1) and ``predicted`` (1 from ``THRESHOLD`` on)."""
     C.prepare(docs.sparkSession)
