@@ -29,8 +29,9 @@ from earshot.llm import common as C
 #: Largest vocabulary file that is sent to the workers.
 MAX_VOCABULARY_BYTES = 64 << 20
 
-#: Entries of each of a worker's tables of encoded pieces; a full table starts anew.
-CACHE_PIECES = 500_000
+#: Entries of a worker's tables of encoded pieces, some 200 bytes each, together; when there are more, they
+#: start anew.
+CACHE_PIECES = 150_000
 
 #: White space as the word pattern of the tokenizer knows it (fixed values of Unicode).
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -152,8 +153,10 @@ class Codec:
         return made[0] if len(made) == 1 else b"".join(made)
 
     def _stored(self, table: dict[bytes, bytes], key: bytes, packed: bytes) -> bytes:
-        if len(table) >= CACHE_PIECES:
-            table.clear()
+        if len(self._spaced) + len(self._bare) + len(self._fragments) >= CACHE_PIECES:
+            self._spaced.clear()
+            self._bare.clear()
+            self._fragments.clear()
         if len(key) <= 48:
             table[key] = packed
         return packed
@@ -208,6 +211,9 @@ def _codec(source: str) -> Codec:
     return Codec(source)
 
 
+C.worker_table(_codec.cache_clear)
+
+
 def load(spark: SparkSession, path: str) -> Broadcast:
     """The vocabulary file for the workers, which may not see the driver's folders."""
     with open(path, encoding="utf-8") as f:
