@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from earshot import config
+from earshot.catalog import label_queries as LQ
 from earshot.catalog import views as V
 from earshot.catalog.registry import query
 from earshot.functions import scalars as S
 from earshot.operators import counts as C
+from earshot.operators import labels as L
 from earshot.operators import ledger as G
 from earshot.sources import tables as T
 
@@ -288,13 +290,17 @@ def source_costs(spark, sf_dir):
 
 @query(
     "a28_scorecard",
-    TOTALS + """SELECT round(provider_usd, 6) AS total_usd, 0.84 AS agreement,
-  provider_usd < 5 AS h1, false AS h3, provider_usd > 0 AS h4 FROM tot""",
+    f"""SELECT round(provider_usd, 6) AS total_usd, round(agreement, 9) AS agreement, provider_usd < 5 AS h1,
+  coalesce(agreement >= 0.85::DOUBLE, false) AS h3, provider_usd > 0 AS h4
+FROM ({TOTALS} SELECT provider_usd FROM tot), ({LQ.LABELS} SELECT
+  count(*) FILTER (audited AND t_status = 'ok' AND t_label = c_label) /
+    nullif(count(*) FILTER (audited AND t_status = 'ok'), 0) AS agreement FROM lab)""",
 )
 def scorecard(spark, sf_dir):
+    """The billed cost of the runs and the agreement of the audit sample against the thresholds."""
     cost = G.totals(settled(spark, sf_dir)[0]).withColumn("total_usd", F.col("provider_usd"))
-    agreement = cost.select((F.lit(84.0) / 100).alias("agreement"))
-    return C.scorecard(cost, agreement).withColumn("total_usd", F.round("total_usd", 6))
+    got = C.scorecard(cost, L.audit(LQ.labelled(spark, sf_dir)))
+    return got.withColumns({c: F.round(c, n) for c, n in (("total_usd", 6), ("agreement", 9))})
 
 
 _PLAN_ROWS = ", ".join(

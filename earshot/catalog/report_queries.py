@@ -249,14 +249,15 @@ def labels_table(spark, sf_dir):
 
 @query(
     "src17_stats_object",
-    TQ.EV + "SELECT 'counts' AS \"table\", count(DISTINCT brand) AS n FROM rel",
+    TQ.EV + """SELECT 'counts' AS "table", brand, count(*) AS n_all, count(*) FILTER (in_basis) AS n_basis
+FROM rel GROUP BY brand""",
 )
 def stats_object(spark, sf_dir):
-    """Result tables as JSON objects, read back."""
+    """Result tables as JSON objects; the rows are read back from them."""
     counts = TQ.plan(spark, sf_dir).counts().select("brand", "n_all", "n_basis")
     made = T.one_object({"counts": counts})
-    n = F.json_array_length("json").cast("long").alias("n")
-    return made.select("table", n)
+    rows = made.select("table", F.explode(F.from_json("json", "array<string>")).alias("row"))
+    return rows.select("table", F.from_json("row", "brand string, n_all long, n_basis long").alias("r")).select("table", "r.*")
 
 
 # -- streams ----------------------------------------------------------------------------------------
@@ -280,18 +281,22 @@ def ledger_stream(spark, sf_dir):
 
 @query(
     "s02_daily_stream",
-    V.with_("ev") + """SELECT strftime(published_at, '%Y-%m-%d') AS day, brand, count(*) AS n FROM ev
+    V.with_("ev") + """SELECT strftime(published_at, '%Y-%m-%d') AS day, brand, count(*) AS n,
+  count(DISTINCT cluster_key) AS n_clusters FROM ev
 WHERE published_at IS NOT NULL AND published_at::DATE + INTERVAL 1 DAY <=
   (SELECT max(published_at) FROM ev) - INTERVAL 2 DAY GROUP BY ALL""",
 )
 def daily_stream(spark, sf_dir):
-    """Every event arrives twice; days close two days behind the newest one."""
+    """Every event arrives twice, the copy with the lower reference in its own cluster; days close two days
+    behind the newest event."""
     once = V.ev_labelled(spark, sf_dir, events=_stream(spark, sf_dir, "events")).select(
         F.col("event_id").cast("string").alias("native_id"), "url", "brand", "source", "published_at",
         "cluster_key", F.lit("").alias("text"),
     )
-    twice = once.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    twice = once.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(0)))).withColumn(
+        "raw_ref", F.concat(F.col("copy").cast("string"), F.lit("#"), "native_id")
+    ).withColumn("cluster_key", F.when(F.col("copy") == 0, F.col("cluster_key")).otherwise("other")).drop("copy")
     path = T.fresh_path(spark, "daily")
     streams.start_daily_stream(twice, f"{path}/days", f"{path}/progress").awaitTermination()
     got = streams.closed_days(spark, f"{path}/days")
-    return got.select(F.col("day").cast("string").alias("day"), "brand", "n")
+    return got.select(F.col("day").cast("string").alias("day"), "brand", "n", "n_clusters")

@@ -6,11 +6,14 @@ from earshot.catalog import views as V
 from earshot.catalog.registry import query
 from earshot.catalog.text_queries import URL_SQL
 from earshot.functions import scalars as S
+from earshot.functions import text as X
 from earshot.functions import word_lists
 from earshot.operators import counts as C
 from earshot.operators import frame as R
+from earshot.operators import terms as D
 from earshot.sources import normalise as M
 from earshot.sources import payloads as P
+from earshot.sources import runs as N
 from earshot.sources import tables as T
 
 BRAND = "the"
@@ -283,6 +286,43 @@ def payload_items(spark, sf_dir):
     return got.select("local_seq", "index", P.string("item", "id").alias("id"))
 
 
+class _Columns:
+    """Adapter of a provider that sends one list for each field instead of one object for each item."""
+
+    source = "columns"
+
+    def items(self, body):
+        import json
+
+        fields = json.loads(body)["columns"]
+        return [dict(zip(fields, values)) for values in zip(*fields.values())]
+
+
+@query(
+    "x01_run_folders",
+    """SELECT 'columns' AS source, doc_id + 1 AS local_seq, 0 AS index, 'v' || doc_id AS id FROM documents WHERE doc_id % 4 = 1
+UNION ALL SELECT 'columns', doc_id + 1, 1, 'w' || doc_id FROM documents WHERE doc_id % 4 = 1
+UNION ALL SELECT 'youtube', doc_id + 1, 0, 'v' || doc_id FROM documents WHERE doc_id % 4 = 0""",
+)
+def run_folders(spark, sf_dir):
+    """Run bodies in folders, read through the data source; a source of our own, and runs that no filter wants."""
+    doc = F.col("doc_id")
+    name = lambda prefix: F.concat(F.lit(prefix), doc.cast("string"))
+    usual = F.to_json(F.struct(F.array(F.struct(name("v").alias("id"))).alias("output")))
+    by_field = F.to_json(F.struct(F.struct(F.array(name("v"), name("w")).alias("id")).alias("columns")))
+    d = V.table(spark, sf_dir, "documents")
+    runs = d.select(
+        (doc + 1).alias("local_seq"), name("r").alias("run_id"), F.lit(BRAND).alias("brand"),
+        F.when(doc % 4 == 0, "youtube").when(doc % 4 == 1, "columns").when(doc % 4 == 2, "news").otherwise("tiktok").alias("source"),
+        F.when(doc % 4 == 1, by_field).otherwise(usual).alias("body"),
+    )
+    path = T.fresh_path(spark, "runs")
+    N.write_runs(runs.repartition(8), path)
+    N.install(spark, [_Columns()])
+    read = N.as_items(spark.read.format(N.FORMAT).load(path).filter(F.col("source").isin("columns", "youtube")))
+    return read.select("source", "local_seq", "index", P.string("item", "id").alias("id"))
+
+
 @query(
     "f37_result_count",
     "SELECT doc_id + 1 AS local_seq, CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n FROM documents",
@@ -393,8 +433,27 @@ def resolved_reviews(spark, sf_dir):
 )
 def brand_terms(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents").select(F.col("lang").alias("brand")).distinct()
-    terms = F.array_union(F.array("brand"), F.array("brand", F.lit("src1"), F.lit("src1")))
-    return d.select("brand", F.array_join(terms, ",").alias("terms"))
+    rows = D.brand_terms(d.withColumn("aliases", F.array("brand", F.lit("src1"), F.lit("src1"))))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "term")))
+    listed = rows.groupBy("brand").agg(F.transform(ordered, lambda x: x["term"]).alias("terms"))
+    return listed.select("brand", F.array_join("terms", ",").alias("terms"))
+
+
+@query(
+    "f08_term_table",
+    """WITH d AS (SELECT doc_id, source AS brand, regexp_extract_all(""" + V.norm_sql() + """, '[\\w\\p{L}\\p{N}]+') AS toks FROM documents)
+SELECT doc_id, len(list_distinct(list_filter(toks, lambda t: regexp_full_match(t, '[a-z]{3,}'))))::BIGINT AS n_terms,
+  coalesce(list_filter(toks, lambda t: regexp_full_match(t, '[a-z]{3,}'))[1], '') AS first_term FROM d""",
+)
+def term_table(spark, sf_dir):
+    """Each source is a brand whose terms are all plain words of its documents, some thousands."""
+    d = V.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("brand"), X.normalize("text").alias("norm"))
+    words = d.select("brand", F.explode(F.regexp_extract_all("norm", F.lit("([a-z]+)"), F.lit(1))).alias("alias"))
+    plain = words.filter(F.char_length("alias") >= 3).distinct()
+    terms = plain.select("brand", F.col("alias").alias("term"), F.char_length("alias").alias("place"))
+    got = D.match_table(d, terms, ["doc_id"], "norm", normalized=True)
+    n = F.size("matched_terms").cast("long")
+    return got.select("doc_id", n.alias("n_terms"), F.coalesce(F.get("matched_terms", F.lit(0)), F.lit("")).alias("first_term"))
 
 
 # -- lexicons and dimensions ------------------------------------------------------------------------
@@ -411,8 +470,6 @@ SELECT polarity, count(*) AS n FROM w JOIN lex USING (term) GROUP BY polarity"""
 )
 def lexicon_use(spark, sf_dir):
     """Documents that contain a single-word lexicon term, by polarity; the lexicon is read from its file form."""
-    from earshot.functions import text as X
-
     path = T.fresh_path(spark, "lexicon")
     sign = F.when(F.col("polarity") > 0, "+").otherwise("-")
     T.default_lexicon(spark).select(F.concat(sign, F.lit("\t"), "term").alias("value")).write.text(path)

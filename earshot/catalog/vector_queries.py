@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from earshot import config
 from earshot.catalog import views as V
 from earshot.catalog.registry import query
 from earshot.functions import scalars as S
@@ -52,12 +53,30 @@ def close_pairs(spark, sf_dir):
     return got.withColumn("distance", F.round("distance", 8))
 
 
-@query("v02_average_linkage")
+# One merge at a time, of the least pair of each brand, until none is within the cut; the rows of a brand's
+# last step are its clusters.
+_LINKAGE = VEC.replace("WITH ", "WITH RECURSIVE ", 1) + f""", st AS (
+  SELECT 0 AS i, brand, min(mention_id) AS cid, count(*)::DOUBLE AS n, u AS m, list(mention_id) AS ids
+  FROM vec GROUP BY brand, u
+UNION ALL
+  SELECT * FROM (WITH pair AS (SELECT a.brand, a.cid AS x, b.cid AS y,
+        greatest(0, 1 - list_dot_product(a.m, b.m)) AS d FROM st a JOIN st b ON a.brand = b.brand AND a.cid < b.cid),
+    best AS (SELECT brand, x, y FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY d, x, y) AS r
+      FROM pair WHERE d <= {V.VEC_CUT}) WHERE r = 1)
+  SELECT s.i + 1 AS i, s.brand, s.cid, s.n + coalesce(t.n, 0) AS n, CASE WHEN t.cid IS NULL THEN s.m ELSE
+      list_transform(range(1, {V.VEC_DIMS + 1}), lambda k: (s.m[k] * s.n + t.m[k] * t.n) / (s.n + t.n)) END AS m,
+    s.ids || coalesce(t.ids, []) AS ids
+  FROM st s JOIN best ON best.brand = s.brand LEFT JOIN st t ON t.brand = s.brand AND s.cid = best.x AND t.cid = best.y
+  WHERE s.cid <> best.y))
+SELECT brand, unnest(ids) AS mention_id, cid FROM st JOIN (SELECT brand, max(i) AS i FROM st GROUP BY brand) USING (brand, i)"""
+
+
+@query("v02_average_linkage", _LINKAGE)
 def average_linkage(spark, sf_dir):
     return X.average_linkage(unit(spark, sf_dir), V.VEC_CUT)
 
 
-@query("v02_average_linkage_rounds")
+@query("v02_average_linkage_rounds", _LINKAGE)
 def average_linkage_rounds(spark, sf_dir):
     """The distributed rounds on every brand, whatever its size."""
     return X.average_linkage(unit(spark, sf_dir), V.VEC_CUT, block=256, small=0)
@@ -66,7 +85,7 @@ def average_linkage_rounds(spark, sf_dir):
 @query("v03_topics")
 def topics(spark, sf_dir):
     m = V.vec_mentions(spark, sf_dir)
-    got = T.build_topics(m.drop("vector"), m.select("brand", "mention_id", "vector"), V.VEC_CUT, b=200)
+    got = T.build_topics(m.drop("vector"), m.select("brand", "mention_id", "vector"), V.VEC_CUT, b=config.B_LIVE)
     return got["topics"].withColumn("exemplar_mention_ids", F.array_join("exemplar_mention_ids", ","))
 
 

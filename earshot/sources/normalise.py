@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from earshot import schemas
 from earshot.functions import scalars as S
 from earshot.functions import text as X
+from earshot.operators.terms import match_table
 from earshot.sources import payloads as P
 
 
@@ -295,7 +296,7 @@ def _news() -> Reading:
     )
 
 
-# X01. Source name -> reading; register more with the same shape.
+# X01. Source name -> reading; ``register`` adds more with the same shape.
 READINGS: dict[str, Callable[[], Reading]] = {
     "reddit": _reddit,
     "youtube": _youtube,
@@ -310,11 +311,26 @@ READINGS: dict[str, Callable[[], Reading]] = {
 }
 
 
+def register(source: str, reading: Callable[[], Reading]) -> None:
+    """X01. A source of the user's own, read like the others from then on."""
+    READINGS[source] = reading
+
+
 def brand_terms(terms: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
     """U06. Brand first, then its aliases, each once."""
     return {brand: list(dict.fromkeys([brand, *more])) for brand, more in terms.items()}
 
 
+def _table_matched(read: DataFrame, terms: DataFrame, entity: bool) -> DataFrame:
+    """Adds ``matched_terms`` by the table of terms (brand, term, place)."""
+    if not entity:
+        return match_table(read, terms, ["local_seq", "brand", "index"], "_norm", normalized=True)
+    known = terms.select(F.col("brand").alias("_known")).distinct()
+    none = F.array().cast("array<string>")
+    found = F.when(F.col("_known").isNotNull(), F.array(X.normalize("brand"))).otherwise(none)
+    return read.join(known, F.col("brand") == F.col("_known"), "left").withColumn("matched_terms", found).drop("_known")
+
+
 def _matched(terms: Mapping[str, Sequence[str]], entity: bool) -> Column:
     none = F.array().cast("array<string>")
     if entity:
@@ -328,12 +344,13 @@ def _matched(terms: Mapping[str, Sequence[str]], entity: bool) -> Column:
 
 
 def parse(
-    items: DataFrame, source: str, terms: Mapping[str, Sequence[str]], inherit: bool | None = None
+    items: DataFrame, source: str, terms: Mapping[str, Sequence[str]] | DataFrame, inherit: bool | None = None
 ) -> DataFrame:
     """SRC02-SRC11. Every item of ``source`` with its mention columns and what became of it.
 
     Flags: ``drift_reason``, ``error_item``, ``no_text``, ``no_match``, ``cluster_key_fell_back``.
-    ``terms`` maps each compared brand to its aliases. ``inherit`` (by default reddit only) lets an
+    ``terms`` maps each compared brand to its aliases, or is a table (brand, term, place) as of
+    ``terms.brand_terms`` for any number of brands and terms. ``inherit`` (by default reddit only) lets an
     unmatched comment take the terms of its matched post in the same payload.
     """
     r = READINGS[source]()
@@ -364,10 +381,14 @@ def parse(
             **r.extra,
         }
     ).withColumn("_norm", X.normalize("text"))
+    if isinstance(terms, DataFrame):
+        read, matched = _table_matched(read, terms, r.entity), F.col("matched_terms")
+    else:
+        matched = _matched(terms, r.entity)
     keyed = read.withColumns(
         {
             "no_text": F.col("drift_reason").isNull() & (F.col("error_item") | F.col("text").isNull()),
-            "matched_terms": _matched(terms, r.entity),
+            "matched_terms": matched,
             "mention_id": S.mention_id(
                 F.lit(source),
                 F.col("url")
@@ -448,7 +469,7 @@ def run_outcomes(parsed: DataFrame) -> DataFrame:
 
 
 def parse_all(
-    items: DataFrame, terms: Mapping[str, Sequence[str]], sources: Sequence[str] | None = None
+    items: DataFrame, terms: Mapping[str, Sequence[str]] | DataFrame, sources: Sequence[str] | None = None
 ) -> DataFrame:
     """U01. The asked sources (all by default), in plan order."""
     keep = [

@@ -1,16 +1,21 @@
 """The two incremental jobs: ledger state, and deduplicated daily counts with spike days.
 
-Every batch writes under its own batch number and overwrites only that, so a batch that is run
-again after a failure leaves the same table.
+The ledger's current rows live in the stream's state store, keyed by ``local_seq``, and are read from
+there as a table; batches hold only what changed. Mentions are deduplicated by a keyed state that holds
+the lowest reference of an identity until the watermark passes its last date; a second stream counts the
+winners by day. Every batch writes under its own batch number and overwrites only that, so a batch that is
+run again after a failure leaves the same table.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from earshot.operators.dedup import KEYS, identity
+from earshot.operators.dedup import KEYS, identity, with_position
 from earshot.operators.events import baselines
 from earshot.operators.ranking import keep_last
 
@@ -22,19 +27,42 @@ def _write_batch(df: DataFrame, path: str, batch: int) -> None:
 def start_ledger_stream(
     log: DataFrame, path: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
-    """S01. Append-only log lines -> changes per batch, already folded per ``local_seq``."""
+    """S01. Append-only log lines -> changed rows per batch; the last line of each ``local_seq`` stays in state.
 
-    def fold(batch: DataFrame, number: int) -> None:
-        _write_batch(keep_last(batch, ["local_seq"], ["write_seq"]), path, number)
-
-    writer = log.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    Late and repeated lines change nothing. ``path`` also names the checkpoint, for ``ledger_state``.
+    """
+    spark = log.sparkSession
+    spark.createDataFrame([(checkpoint,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_state_of")
+    writer = (
+        keep_last(log, ["local_seq"], ["write_seq"])
+        .writeStream.outputMode("update")
+        .foreachBatch(lambda batch, number: _write_batch(batch, path, number))
+        .option("checkpointLocation", checkpoint)
+    )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def ledger_state(spark: SparkSession, path: str) -> DataFrame:
-    """S01. The current row per ``local_seq`` over all batches so far."""
-    changes = spark.read.parquet(path).drop("batch")
-    return keep_last(changes, ["local_seq"], ["write_seq"])
+    """S01. The current row per ``local_seq``, read from the stream's state; no batch is read again.
+
+    A folder that ``compact_ledger`` has written holds the rows themselves.
+    """
+    source = _state_of(spark, path)
+    if source is None:
+        return spark.read.parquet(path).drop("batch")
+    state = spark.read.format("statestore").load(source)
+    # What the state keeps of a key: the row with the greatest order so far, then the order.
+    row = state.schema["value"].dataType.fieldNames()[0]
+    return state.select("key.local_seq", f"value.{row}.*")
+
+
+def _state_of(spark: SparkSession, path: str) -> str | None:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.text(f"{path}/_state_of").first()[0]
+    except AnalysisException:
+        return None
 
 
 def compact_ledger(spark: SparkSession, path: str, target: str) -> None:
@@ -42,13 +70,49 @@ def compact_ledger(spark: SparkSession, path: str, target: str) -> None:
     _write_batch(ledger_state(spark, path), target, 0)
 
 
-def fresh_mentions(mentions: DataFrame, delay: str = "2 days") -> DataFrame:
-    """S02. Dated mentions, each identity once while the watermark remembers it.
-
-    The first arrival wins, where the batch form keeps the lowest reference.
+_WINNER = "source string, brand string, dedup_rule string, dedup_key string, position long, published_at timestamp, cluster_key string"
+_HELD = "position long, at_us long, cluster_key string, last long, done boolean"
+
+
+def _settle(memory: int):
+    """Holds the lowest reference of an identity until its last date is past, then gives it once."""
+
+    def settle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            position, at_us, cluster, last, done = state.get
+            if done or last + memory <= state.getCurrentWatermarkMs():
+                state.remove()
+            else:
+                # Remembered for a while, so that a copy with a later date is no new winner.
+                state.update((position, at_us, cluster, last, True))
+                state.setTimeoutTimestamp(last + memory)
+            if not done:
+                at = pd.Series([pd.Timestamp(at_us, unit="us")])
+                yield pd.DataFrame({**{k: [v] for k, v in zip(KEYS, key)}, "position": [position], "published_at": at, "cluster_key": [cluster]})
+            return
+        position, at_us, cluster, last, done = state.get if state.exists else (None, None, None, 0, False)
+        for pdf in frames:
+            low = pdf.loc[pdf["position"].idxmin()]
+            if position is None or low["position"] < position:
+                position, at_us, cluster = int(low["position"]), int(low["at_us"]), low["cluster_key"]
+            last = max(last, int(pdf["at_us"].max()) // 1000)
+        state.update((position, at_us, cluster, last, done))
+        due = last + memory if done else last
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+    return settle
+
+
+def fresh_mentions(mentions: DataFrame, delay: str = "2 days", memory: str = "2 days") -> DataFrame:
+    """S02. Dated mentions, each identity once, as the one with the lowest reference (``raw_ref``).
+
+    An identity waits until the watermark, ``delay`` behind the newest date, has passed the last date among
+    its copies, and is remembered for ``memory`` more. Copies within these bounds may arrive in any order.
     """
-    dated = identity(mentions.filter("published_at is not null"))
-    return dated.withWatermark("published_at", delay).dropDuplicatesWithinWatermark(list(KEYS))
+    dated = identity(with_position(mentions.filter("published_at IS NOT NULL"))).withWatermark("published_at", delay)
+    slim = dated.select(*KEYS, "position", "published_at", "cluster_key", F.unix_micros("published_at").alias("at_us"))
+    hold = int(pd.Timedelta(memory) / pd.Timedelta(milliseconds=1))
+    return slim.groupBy(*KEYS).applyInPandasWithState(_settle(hold), _WINNER, _HELD, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def undated(mentions: DataFrame) -> DataFrame:
@@ -56,14 +120,16 @@ def undated(mentions: DataFrame) -> DataFrame:
     return mentions.filter("published_at is null")
 
 
-def daily_stream(mentions: DataFrame, delay: str = "2 days") -> DataFrame:
-    """S02. Closed days: mentions per brand and UTC day."""
-    return (
-        fresh_mentions(mentions, delay)
-        .groupBy(F.window("published_at", "1 day").alias("w"), "brand")
-        .agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("cluster_key").alias("n_clusters"))
-        .select(F.to_date("w.start").alias("day"), "brand", "n", "n_clusters")
-    )
+def daily_stream(winners: DataFrame) -> DataFrame:
+    """S02. Closed days: winners and their distinct clusters per brand and UTC day.
+
+    Winners come in the order of the watermark, so a day is closed by the first one after it. Clusters
+    are counted one by one before days are, so no state row grows with a day.
+    """
+    dated = winners.withWatermark("published_at", "0 seconds")
+    each = dated.groupBy(F.window("published_at", "1 day").alias("w"), "brand", "cluster_key").agg(F.count(F.lit(1)).alias("n"))
+    days = each.groupBy(F.window("w", "1 day").alias("d"), "brand").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_clusters"))
+    return days.select(F.to_date("d.start").alias("day"), "brand", "n", "n_clusters")
 
 
 def start_daily_stream(
@@ -72,21 +138,32 @@ def start_daily_stream(
     checkpoint: str,
     on_batch: Callable[[DataFrame, int], None] | None = None,
     available_now: bool = True,
+    delay: str = "2 days",
+    memory: str = "2 days",
 ) -> StreamingQuery:
-    """S02. Writes each batch of closed days; ``on_batch`` may act on them (spikes, alerts)."""
+    """S02. Writes each batch of closed days; ``on_batch`` may act on them (spikes, alerts).
+
+    Two streams: mentions to winners, in a table at ``<path>-winners`` whose files are added once, and
+    winners to days. With ``available_now`` the first has ended when the second starts.
+    """
+    spark = mentions.sparkSession
 
     def store(batch: DataFrame, number: int) -> None:
         _write_batch(batch, path, number)
         if on_batch is not None:
             on_batch(batch, number)
 
-    writer = (
-        daily_stream(mentions)
-        .writeStream.outputMode("append")
-        .foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
+    def started(writer) -> StreamingQuery:
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+    fresh = fresh_mentions(mentions, delay, memory)
+    first = started(
+        fresh.writeStream.format("parquet").outputMode("append").option("path", f"{path}-winners").option("checkpointLocation", f"{checkpoint}-winners")
     )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    if available_now:
+        first.awaitTermination()
+    winners = spark.readStream.schema(_WINNER).parquet(f"{path}-winners")
+    return started(daily_stream(winners).writeStream.outputMode("append").foreachBatch(store).option("checkpointLocation", checkpoint))
 
 
 def closed_days(spark: SparkSession, path: str) -> DataFrame:

@@ -208,3 +208,108 @@ def test_later_batches_win(spark, folder):
     back = fold_log(T.read_log(spark, f"{folder}/log"))
     assert back.columns == schemas.columns(schemas.RUN)
     assert back.where("status = 'COMPLETED'").count() == back.count() == 20
+
+
+def test_ledger_state_is_read_from_the_state_alone(spark, folder):
+    schema = "local_seq long, status string, n long"
+    log = lambda: spark.readStream.schema(schema).json(f"{folder}/in").withColumn("write_seq", F.struct("n"))
+
+    def add(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{folder}/in")
+        streams.start_ledger_stream(log(), f"{folder}/state", f"{folder}/ck").awaitTermination()
+        state = streams.ledger_state(spark, f"{folder}/state")
+        assert "batch=" not in state._jdf.queryExecution().executedPlan().toString()
+        return {r["local_seq"]: (r["status"], r["n"]) for r in state.collect()}
+
+    assert add([(1, "PENDING", 5), (2, "PENDING", 6)]) == {1: ("PENDING", 5), 2: ("PENDING", 6)}
+    # Late lines, repeated ones and new ones.
+    assert add([(1, "OLD", 2), (2, "PENDING", 6), (2, "DONE", 9), (2, "DONE", 9), (3, "PENDING", 1)]) == {1: ("PENDING", 5), 2: ("DONE", 9), 3: ("PENDING", 1)}
+    assert add([(2, "OLD", 7)]) == {1: ("PENDING", 5), 2: ("DONE", 9), 3: ("PENDING", 1)}
+
+
+def test_daily_stream_equals_the_batch_form(spark, folder):
+    import random
+
+    from earshot.operators import dedup
+    from earshot.operators.events import daily_counts
+
+    rng = random.Random(3)
+    rows, refs = [], list(range(400))
+    rng.shuffle(refs)
+    for i in range(130):
+        hour = i * 2
+        for copy in range(rng.choice([1, 1, 2, 3, 4])):
+            ref = refs.pop()
+            rows.append((hour + rng.choice([0, 0, 3]), f"n{i}", f"b{i % 2}", f"c{rng.randrange(9)}", f"{ref // 7}#{ref % 7}"))
+    rows.append((2000, "last", "b0", "c", "999#0"))
+    schema = "hour long, native_id string, brand string, cluster_key string, raw_ref string"
+    full = lambda df: df.select("*", F.lit("reddit").alias("source"), F.lit(None).cast("string").alias("url"), F.lit("").alias("text"), F.timestamp_seconds(F.col("hour") * 3600 + 1_700_000_000).alias("published_at")).drop("hour")
+    # Copies come in any order within two days, in three files.
+    rows.sort(key=lambda r: r[0] + rng.uniform(0, 40))
+    stream = lambda: full(spark.readStream.schema(schema).json(f"{folder}/in"))
+    for part in (rows[:90], rows[90:180], rows[180:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(f"{folder}/in")
+        streams.start_daily_stream(stream(), f"{folder}/days", f"{folder}/ck").awaitTermination()
+    got = {(str(r["day"]), r["brand"]): (r["n"], r["n_clusters"]) for r in streams.closed_days(spark, f"{folder}/days").collect()}
+    kept = dedup.kept(dedup.dedup(full(spark.createDataFrame(rows, schema)))).withColumn("day", F.to_date("published_at"))
+    want = {(str(r["day"]), r["brand"]): (r["n"], r["n_clusters"]) for r in daily_counts(kept).collect()}
+    # The last row is not settled yet, and the day before it in the data has no later winner to close it.
+    open_days = sorted({day for day, _ in want})[-2:]
+    assert len(got) > 15 and got == {k: v for k, v in want.items() if k[0] not in open_days}
+
+
+def test_own_adapter_through_the_data_source(spark, folder):
+    from earshot.sources import normalise, runs as N
+
+    class Forum:
+        """A provider that sends threads of posts."""
+
+        source = "forum"
+
+        def items(self, body):
+            threads = json.loads(body)["threads"]
+            return [{"id": f"{t}-{i}", "said": text} for t, posts in threads.items() for i, text in enumerate(posts)]
+
+    bodies = [
+        (1, "r-1", "Nubank", "forum", json.dumps({"threads": {"a": ["nubank is fine", "so it is"], "b": ["no nubank"]}})),
+        (2, "r2", "Inter Co", "forum", "not opened, not JSON"),
+        (3, "r3", "Nubank", "youtube", json.dumps({"output": {"items": [{"id": "v1", "title": "nubank"}]}})),
+        (4, "r4", "Nubank", "news", "not opened either"),
+        (5, "r5", "Nubank", "youtube", json.dumps({"message": "none"})),
+    ]
+    N.write_runs(spark.createDataFrame(bodies, "local_seq long, run_id string, brand string, source string, body string"), f"{folder}/runs")
+    N.install(spark, [Forum()])
+    read = lambda: spark.read.format("listening_runs").load(f"{folder}/runs")
+    got = read().filter("source = 'forum' AND brand = 'Nubank'").collect()  # the other forum run would fail
+    assert [(r["local_seq"], r["run_id"], r["index"]) for r in got] == [(1, "r-1", 0), (1, "r-1", 1), (1, "r-1", 2)]
+    lists = read().filter(F.col("source").isin("youtube")).orderBy("local_seq").collect()
+    assert [(r["local_seq"], r["no_list"], r["index"]) for r in lists] == [(3, False, 0), (5, True, None)]
+    assert read().filter("run_id = 'r3'").count() == 1 and read().filter("local_seq = 3 AND source = 'news'").count() == 0
+    import pytest
+
+    with pytest.raises(Exception, match="JSONDecodeError|Expecting value"):
+        read().collect()
+
+    def reading():
+        return normalise.Reading(
+            text=P.string("item", "said"), native_id=P.string("item", "id"), url=F.lit(None).cast("string"), handle=F.lit(None).cast("string"),
+            published_at=F.lit(None).cast("timestamp"), engagement={}, drift={"id missing or empty": P.string("item", "id").isNull()},
+        )
+
+    normalise.register("forum", reading)
+    try:
+        found = M.mentions(M.parse(N.as_items(read().filter("source = 'forum' AND brand = 'Nubank'")), "forum", {"Nubank": []}))
+        assert sorted(r["native_id"] for r in found.collect()) == ["a-0", "b-0"]
+    finally:
+        del normalise.READINGS["forum"]
+
+
+def test_terms_as_a_table_give_the_same_mentions(spark):
+    from earshot.operators import terms as D
+
+    posts = [{"id": f"p{i}", "dataType": "post" if i % 3 else "comment", "postId": f"p{i - 1}", "title": f"nubank story {i}", "body": f"roxinho {i}" if i % 2 else "nothing"} for i in range(20)]
+    items = P.payload_items(runs(spark, ("Nubank", "reddit", {"output": posts}), ("Inter", "reddit", {"output": posts[:4]})))
+    terms = {"Nubank": ["roxinho", "nubank story"], "Inter": ["nothing"]}
+    one = M.mentions(M.parse(items, "reddit", terms)).orderBy("raw_ref", "brand").collect()
+    two = M.mentions(M.parse(items, "reddit", D.brand_terms(D.brand_aliases(spark, terms)))).orderBy("raw_ref", "brand").collect()
+    assert one == two and len(one) > 10
