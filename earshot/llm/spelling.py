@@ -48,7 +48,7 @@ SLIP = 199
 BLOCK_WORDS = 20_000
 PART_SEARCHES = 100_000
 LEAF = 12
-#: Words whose counts place the cuts between blocks, at most (least hashes).
+#: Words whose counts place the cuts between blocks, about (by their hashes).
 SAMPLE = 50_000
 #: Pairs of counts that are compared at once, about.
 PAIRS = 50_000
@@ -261,8 +261,10 @@ def cuts(words: DataFrame) -> dict[int, Blocks]:
     sizes = words.groupBy(F.length("word").alias("k")).count().where(F.col("count") > BLOCK_WORDS).collect()  # few: a length each
     if not sizes:
         return {}
-    wide = words.where(F.length("word").isin([r.k for r in sizes]))
-    sample = [r.word for r in wide.orderBy(F.xxhash64("word"), "word").limit(SAMPLE).select("word").collect()]
+    # A share of the hashes that about ``SAMPLE`` words have, whatever the number of partitions.
+    share = min(1.0, SAMPLE / sum(r["count"] for r in sizes))
+    wide = words.where(F.length("word").isin([r.k for r in sizes]) & (F.pmod(F.xxhash64("word"), F.lit(1 << 32)) <= int(share * (1 << 32))))
+    sample = [r.word for r in wide.select("word").collect()]
     out = {}
     for r in sizes:
         own = sorted(w for w in sample if len(w) == r.k)
