@@ -438,10 +438,12 @@ class _Best:
         self.least = np.full(n, -np.inf)
         self.question = np.empty(0, dtype=np.int64)
         self.score = np.empty(0)
+        self.exact = np.empty(0)
         self.name = np.empty(0, dtype=str)
 
-    def add(self, scores: np.ndarray, names: np.ndarray) -> None:
+    def add(self, exact: np.ndarray, names: np.ndarray) -> None:
         """Scores (question, vector) of one batch."""
+        scores = np.round(exact, 12)
         rows = scores.shape[1]
         floor = self.least
         if rows > self.k:
@@ -449,12 +451,14 @@ class _Best:
         q, v = np.nonzero(scores >= floor[:, None])
         question = np.concatenate([self.question, q])
         score = np.concatenate([self.score, scores[q, v]])
+        exact = np.concatenate([self.exact, exact[q, v]])
         name = np.concatenate([self.name, names[v]])
         order = np.lexsort((name, -score, question))
         question = question[order]
         start = np.searchsorted(question, np.arange(len(self.least)))
         keep_ = np.arange(len(question)) - start[question] < self.k
         self.question, self.score, self.name = question[keep_], score[order][keep_], name[order][keep_]
+        self.exact = exact[order][keep_]
         last = np.searchsorted(self.question, np.arange(len(self.least)), side="right") - 1
         full = np.bincount(self.question, minlength=len(self.least)) >= self.k
         self.least = np.where(full, self.score[np.maximum(last, 0)], -np.inf)
@@ -483,9 +487,9 @@ def cosine_top_k_many(vectors: DataFrame, questions: DataFrame, k: int = config.
                 if key not in held:
                     held[key] = (list(ids), np.frombuffer(numbers).reshape(len(ids), -1), _Best(len(ids), k))
                 _, asked, found = held[key]
-                found.add(np.round(asked @ np.frombuffer(rows).reshape(len(names), -1).T, 12), np.array(list(names), dtype=str))
+                found.add(asked @ np.frombuffer(rows).reshape(len(names), -1).T, np.array(list(names), dtype=str))
         for ids, _, found in held.values():
-            yield pd.DataFrame({"question_id": np.array(ids, dtype=object)[found.question], "mention_id": found.name.astype(object), "score": found.score})
+            yield pd.DataFrame({"question_id": np.array(ids, dtype=object)[found.question], "mention_id": found.name.astype(object), "score": found.exact})
 
     place = F.pmod(F.xxhash64("question_id"), F.lit(passes))
     local = None
@@ -495,7 +499,7 @@ def cosine_top_k_many(vectors: DataFrame, questions: DataFrame, k: int = config.
         # MAX_QUESTIONS vectors at most, a row for each block: the query set against all rows, in blocks.
         found = scanned.crossJoin(F.broadcast(blocks)).mapInPandas(best, schema)
         local = found if local is None else local.unionByName(found)
-    ranked = Window.partitionBy("question_id").orderBy(F.desc("score"), F.asc("mention_id"))
+    ranked = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 12)), F.asc("mention_id"))
     return local.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 
 
