@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from earshot.operators import bootstrap as B
 from earshot.operators import draws as D
+from earshot.operators import topics as T
 
 
 def plain(text, first, last, n):
@@ -49,3 +50,17 @@ def test_counter_draws_over_frequent_and_rare_kinds(spark, monkeypatch):
             for cell, n in cells:
                 want[b, key, cell] = want.get((b, key, cell), 0) + n
     assert got == want
+
+
+def test_topic_intervals_over_several_chunks(spark, monkeypatch):
+    monkeypatch.setattr(D, "chunk_width", lambda b: 8)
+    rng = np.random.default_rng(2)
+    rows = [("ab"[i % 2], f"{i % 3:04d}", f"u{i:03d}", *map(int, rng.integers(0, 4, 3))) for i in range(150)]
+    units = spark.createDataFrame(rows, "brand string, cid string, cluster_key string, pos long, neg long, neu long").withColumn("n", F.lit(1))
+    got = {(r["brand"], r["cid"]): (r["ci_lo"], r["ci_hi"]) for r in T.topic_intervals(units, b=20, method="counter").collect()}
+    assert len(got) == 6
+    for (brand, cid), ends in got.items():
+        mine = np.array([r[3:] for r in sorted(rows, key=lambda r: r[2]) if r[:2] == (brand, cid)])
+        sums = [mine[plain(f"777:t:{brand}:{cid}:{b}:", 0, len(mine), len(mine))].sum(axis=0) for b in range(20)]
+        nets = [(p - n) / (p + n + u) for p, n, u in sums]
+        assert np.allclose(ends, np.quantile(nets, [0.025, 0.975]))
