@@ -157,3 +157,16 @@ def test_cells_larger_than_a_block_and_wide_cuts(spark, monkeypatch):
         assert len(got) == len(want) and {(int(r["a"][1:]), int(r["b"][1:])) for r in got} == want
     # Rounds end in one task once a brand is small enough.
     assert groups_of(V.average_linkage(unit, 0.35, block=8, small=30)) == greedy(points, 0.35)
+
+
+def test_rounds_do_not_multiply_the_planned_size(spark, monkeypatch):
+    seen, nearest = [], V._nearest
+
+    def watched(rows, cut, block):
+        seen.append(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return nearest(rows, cut, block)
+
+    monkeypatch.setattr(V, "_nearest", watched)
+    unit = V.with_unit_vectors(frame(spark, cloud(9, 30)))
+    V.average_linkage(unit, 0.35, block=16, small=0)
+    assert len(seen) > 2 and max(seen) < 64
