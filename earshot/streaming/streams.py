@@ -1,19 +1,18 @@
 """The two incremental jobs: ledger state, and deduplicated daily counts with spike days.
 
 The ledger's current rows live in the stream's state store, keyed by ``local_seq``, and are read from
-there as a table; batches hold only what changed. Mentions are deduplicated by a keyed state that holds
-the lowest reference of an identity until the watermark passes its last date; a second stream counts the
-winners by day. Every batch writes under its own batch number and overwrites only that, so a batch that is
+there as a table; batches hold only what changed. Mentions are deduplicated by a table of identities that
+holds the lowest reference of each until the watermark passes its last date; the winners are counted by
+day. Every batch writes under its own batch number and overwrites only that, so a batch that is
 run again after a failure leaves the same table.
 """
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from earshot.operators.dedup import KEYS, identity, with_position
 from earshot.operators.events import baselines
@@ -70,49 +69,26 @@ def compact_ledger(spark: SparkSession, path: str, target: str) -> None:
     _write_batch(ledger_state(spark, path), target, 0)
 
 
-_WINNER = "source string, brand string, dedup_rule string, dedup_key string, position long, published_at timestamp, cluster_key string"
-_HELD = "position long, at_us long, cluster_key string, last long, done boolean"
-
-
-def _settle(memory: int):
-    """Holds the lowest reference of an identity until its last date is past, then gives it once."""
-
-    def settle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            position, at_us, cluster, last, done = state.get
-            if done or last + memory <= state.getCurrentWatermarkMs():
-                state.remove()
-            else:
-                # Remembered for a while, so that a copy with a later date is no new winner.
-                state.update((position, at_us, cluster, last, True))
-                state.setTimeoutTimestamp(last + memory)
-            if not done:
-                at = pd.Series([pd.Timestamp(at_us, unit="us")])
-                yield pd.DataFrame({**{k: [v] for k, v in zip(KEYS, key)}, "position": [position], "published_at": at, "cluster_key": [cluster]})
-            return
-        position, at_us, cluster, last, done = state.get if state.exists else (None, None, None, 0, False)
-        for pdf in frames:
-            low = pdf.loc[pdf["position"].idxmin()]
-            if position is None or low["position"] < position:
-                position, at_us, cluster = int(low["position"]), int(low["at_us"]), low["cluster_key"]
-            last = max(last, int(pdf["at_us"].max()) // 1000)
-        state.update((position, at_us, cluster, last, done))
-        due = last + memory if done else last
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    return settle
-
-
-def fresh_mentions(mentions: DataFrame, delay: str = "2 days", memory: str = "2 days") -> DataFrame:
-    """S02. Dated mentions, each identity once, as the one with the lowest reference (``raw_ref``).
-
-    An identity waits until the watermark, ``delay`` behind the newest date, has passed the last date among
-    its copies, and is remembered for ``memory`` more. Copies within these bounds may arrive in any order.
+#: What is kept of an identity, and of an open day. Times are microseconds.
+_HELD = "source string, brand string, dedup_rule string, dedup_key string, low struct<position:long,at:long,cluster_key:string>, last long, done boolean"
+_OPEN = "day date, brand string, cluster_key string, n long"
+_MARKS = "seen long, settled long, won long"
+
+
+def _hold(batch: DataFrame, held: DataFrame, settled: int | None) -> DataFrame:
+    """S02. ``held`` with the rows of a batch: the lowest reference and the last date of each identity.
+
+    Rows behind ``settled`` are late.
     """
-    dated = identity(with_position(mentions.filter("published_at IS NOT NULL"))).withWatermark("published_at", delay)
-    slim = dated.select(*KEYS, "position", "published_at", "cluster_key", F.unix_micros("published_at").alias("at_us"))
-    hold = int(pd.Timedelta(memory) / pd.Timedelta(milliseconds=1))
-    return slim.groupBy(*KEYS).applyInPandasWithState(_settle(hold), _WINNER, _HELD, "append", GroupStateTimeout.EventTimeTimeout)
+    at = F.unix_micros("published_at")
+    in_time = F.lit(True) if settled is None else at > settled
+    rows = identity(with_position(batch.filter(F.col("published_at").isNotNull() & in_time)))
+    fresh = rows.select(
+        *KEYS, F.struct("position", at.alias("at"), "cluster_key").alias("low"), at.alias("last"), F.lit(False).alias("done")
+    )
+    # Identities of the state and of the batch are a row each for one and the same aggregate.
+    every = fresh.unionByName(held)
+    return every.groupBy(*KEYS).agg(F.min("low").alias("low"), F.max("last").alias("last"), F.bool_or("done").alias("done"))
 
 
 def undated(mentions: DataFrame) -> DataFrame:
@@ -120,16 +96,19 @@ def undated(mentions: DataFrame) -> DataFrame:
     return mentions.filter("published_at is null")
 
 
-def daily_stream(winners: DataFrame) -> DataFrame:
-    """S02. Closed days: winners and their distinct clusters per brand and UTC day.
+def _count(winners: DataFrame, counted: DataFrame, closed: int | None) -> DataFrame:
+    """S02. Winners of each cluster by brand and UTC day, added to those of the open days."""
+    at = F.timestamp_micros("low.at")
+    fresh = winners.select(F.to_date(at).alias("day"), "brand", F.col("low.cluster_key").alias("cluster_key"), F.lit(1).cast("long").alias("n"))
+    fresh = fresh.filter(~_ends_by(closed))
+    return fresh.unionByName(counted).groupBy("day", "brand", "cluster_key").agg(F.sum("n").alias("n"))
 
-    Winners come in the order of the watermark, so a day is closed by the first one after it. Clusters
-    are counted one by one before days are, so no state row grows with a day.
-    """
-    dated = winners.withWatermark("published_at", "0 seconds")
-    each = dated.groupBy(F.window("published_at", "1 day").alias("w"), "brand", "cluster_key").agg(F.count(F.lit(1)).alias("n"))
-    days = each.groupBy(F.window("w", "1 day").alias("d"), "brand").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_clusters"))
-    return days.select(F.to_date("d.start").alias("day"), "brand", "n", "n_clusters")
+
+def _ends_by(mark: int | None):
+    """The column ``day`` is over at the mark."""
+    if mark is None:
+        return F.lit(False)
+    return F.unix_micros(F.date_add("day", 1).cast("timestamp")) <= mark
 
 
 def start_daily_stream(
@@ -143,27 +122,51 @@ def start_daily_stream(
 ) -> StreamingQuery:
     """S02. Writes each batch of closed days; ``on_batch`` may act on them (spikes, alerts).
 
-    Two streams: mentions to winners, in a table at ``<path>-winners`` whose files are added once, and
-    winners to days. With ``available_now`` the first has ended when the second starts.
-    """
-    spark = mentions.sparkSession
+    Dated mentions count once for each identity, as the one with the lowest reference (``raw_ref``). An
+    identity waits until the watermark, ``delay`` behind the newest date, has passed the last date among its
+    copies, and is remembered for ``memory`` more, so that a later copy is no new winner. Copies within these
+    bounds may arrive in any order. A day is closed by the first winner after it; it has its winners and
+    their distinct clusters.
 
-    def store(batch: DataFrame, number: int) -> None:
-        _write_batch(batch, path, number)
+    Identities and open days are tables at ``<checkpoint>-state``, which a batch joins by one aggregate each.
+    Two places take turns: batch n reads what n - 1 left and overwrites what n - 2 left, so a batch that is
+    run again starts from the same state.
+    """
+    wait, hold = (int(pd.Timedelta(t) / pd.Timedelta(microseconds=1)) for t in (delay, memory))
+
+    def advance(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        place = lambda n, name: f"{checkpoint}-state/{n % 2}/{name}"
+
+        def left(name: str, schema: str) -> DataFrame:
+            if number == 0:
+                return spark.createDataFrame([], schema)
+            return spark.read.schema(schema).parquet(place(number - 1, name))
+
+        def put(df: DataFrame, name: str, schema: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(place(number, name))
+            return spark.read.schema(schema).parquet(place(number, name))
+
+        seen, settled, won = left("marks", _MARKS).first() or (None, None, None)
+        past = F.col("last") <= F.lit(settled)
+        known = left("held", _HELD).withColumn("done", F.col("done") | F.coalesce(past, F.lit(False)))
+        kept = known.filter(~F.col("done") | (F.col("last") + hold > F.lit(settled)))
+        held = put(_hold(batch, kept, settled), "held", _HELD)
+        newest = held.agg(F.max("last")).first()[0]
+        seen = max((m for m in (seen, newest) if m is not None), default=None)
+        settled = None if seen is None else seen - wait
+        winners = held.filter(~F.col("done") & (F.col("last") <= F.lit(settled)))
+        counted = put(_count(winners, left("open", _OPEN).filter(~_ends_by(won)), won), "open", _OPEN)
+        newest = winners.agg(F.max("low.at")).first()[0]
+        won = max((m for m in (won, newest) if m is not None), default=None)
+        spark.createDataFrame([(seen, settled, won)], _MARKS).coalesce(1).write.mode("overwrite").parquet(place(number, "marks"))
+        days = counted.filter(_ends_by(won)).groupBy("day", "brand").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_clusters"))
+        _write_batch(days, path, number)
         if on_batch is not None:
-            on_batch(batch, number)
-
-    def started(writer) -> StreamingQuery:
-        return (writer.trigger(availableNow=True) if available_now else writer).start()
+            on_batch(spark.read.parquet(f"{path}/batch={number}"), number)
 
-    fresh = fresh_mentions(mentions, delay, memory)
-    first = started(
-        fresh.writeStream.format("parquet").outputMode("append").option("path", f"{path}-winners").option("checkpointLocation", f"{checkpoint}-winners")
-    )
-    if available_now:
-        first.awaitTermination()
-    winners = spark.readStream.schema(_WINNER).parquet(f"{path}-winners")
-    return started(daily_stream(winners).writeStream.outputMode("append").foreachBatch(store).option("checkpointLocation", checkpoint))
+    writer = mentions.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def closed_days(spark: SparkSession, path: str) -> DataFrame:
@@ -182,6 +185,5 @@ def stream_spikes(days: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "closed_days", "compact_ledger", "daily_stream", "fresh_mentions", "ledger_state",
-    "start_daily_stream", "start_ledger_stream", "stream_spikes", "undated",
+    "closed_days", "compact_ledger", "ledger_state", "start_daily_stream", "start_ledger_stream", "stream_spikes", "undated",
 ]

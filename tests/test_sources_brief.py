@@ -1,5 +1,5 @@
 import json
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
@@ -258,6 +258,18 @@ def test_daily_stream_equals_the_batch_form(spark, folder):
     assert len(got) > 15 and got == {k: v for k, v in want.items() if k[0] not in open_days}
 
 
+def test_identities_of_a_batch_are_held_without_python_calls(spark):
+    schema = "native_id string, raw_ref string, published_at timestamp, cluster_key string"
+    rows = [("a", "2#0", datetime(2024, 1, 5), "c2"), ("a", "1#7", datetime(2024, 1, 4), "c1"), ("b", "9#9", datetime(2024, 1, 6), "c3"), ("late", "0#0", datetime(2024, 1, 2), "c4"), ("none", "0#1", None, "c5")]
+    more = {"source": F.lit("reddit"), "brand": F.lit("x"), "url": F.lit(None).cast("string"), "text": F.lit("")}
+    us = lambda day: int(datetime(2024, 1, day, tzinfo=timezone.utc).timestamp()) * 1_000_000
+    held = spark.createDataFrame([("reddit", "x", "dedup_native_id", "b", (5, us(3), "c0"), us(3), True)], streams._HELD)
+    got = streams._hold(spark.createDataFrame(rows, schema).withColumns(more), held, us(2))
+    assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["dedup_key"]: (r["low"]["position"], r["low"]["cluster_key"], r["last"], r["done"]) for r in got.collect()}
+    assert found == {"a": ((1 << 31) + 7, "c1", us(5), False), "b": (5, "c0", us(6), True)}
+
+
 def test_own_adapter_through_the_data_source(spark, folder):
     from earshot.sources import normalise, runs as N
 
