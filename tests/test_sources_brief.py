@@ -270,6 +270,14 @@ def test_identities_of_a_batch_are_held_without_python_calls(spark):
     assert found == {"a": ((1 << 31) + 7, "c1", us(5), False), "b": (5, "c0", us(6), True)}
 
 
+def test_texts_of_mentions_are_folded_and_matched_once(spark):
+    posts = [{"id": f"p{i}", "caption": f"caf\u00e9 NUBANK\u00a0 {i}", "uploadedAt": 1_700_000_000} for i in range(6)]
+    items = P.payload_items(runs(spark, ("Nubank", "tiktok", {"output": posts})))
+    got = M.mentions(M.parse(items, "tiktok", TERMS), whole_run=False)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_fold_unicode(") == 1 and got.count() == 6
+
+
 def test_own_adapter_through_the_data_source(spark, folder):
     from earshot.sources import normalise, runs as N
 

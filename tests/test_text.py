@@ -122,3 +122,19 @@ def test_half_up_and_digest(spark):
     inner = F.struct(F.lit(None).cast("string").alias("c"), F.lit("é").alias("d"))
     got = df.select(S.input_digest(F.struct(F.lit(1).alias("a"), inner.alias("b")))).first()[0]
     assert got == want
+
+
+def test_runs_of_any_whitespace_and_terms_at_any_place(spark):
+    import random
+    import re
+
+    rng = random.Random(5)
+    parts = ["a", "I", "the", "@x", " ", "  ", "\t", "\n ", " \u00a0", "\u2003", "\x1c", "\x1f ", "\u00e9", "."]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    terms = ["the", "i", "a.", "x", "\u00e9 a"]
+    options = "|".join(re.escape(t) for t in terms)
+    plain = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?iU)(?:^|(?<=\s)|\b)({options})(?:\s|$|\b)"), F.lit(1)))
+    every = F.trim(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+", " "))
+    got = rows.select("text", X.squeeze("text").alias("s"), every.alias("s2"), X.match_terms("text", terms, normalized=True).alias("m"), plain.alias("m2")).collect()
+    assert all(r["s"] == r["s2"] and r["m"] == r["m2"] for r in got) and sum(len(r["m"]) > 0 for r in got) > 100
