@@ -168,3 +168,8 @@ def test_events_leave_the_tested_day_out(spark):
     assert got[0]["label"] == "Card limits raised again and again" and got[0]["exhibit_url"] == "u13-11"
     assert E.filled_days(df, brands, NOW).count() == 28
     assert E.detect_events(df, brands, NOW).first()["label"] == "nu bank"
+
+
+def test_rows_of_a_brand_are_not_exchanged_into_one_task(plan):
+    steps = plan.rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in steps and "SortMergeJoin" not in steps
