@@ -2,8 +2,8 @@
 
 Bodies lie at ``<path>/source=<source>/brand=<brand>/run=<local_seq>-<run_id>/<any file>``, as
 ``write_runs`` lays them out. Filters on source, brand, run id and sequence number are pushed down to the
-folder names, so what they exclude is neither listed below that level nor opened. Runs are read in
-partitions of about ``PARTITION_BYTES``. An adapter names its source and turns a body into items; sources
+folder names, so what they exclude is neither listed below that level nor opened. The driver lists names of
+runs only; their files are listed and read by the tasks, at most ``RUNS_PER_TASK`` runs each. An adapter names its source and turns a body into items; sources
 without one are read like every other payload, by the lists that providers use.
 
     install(spark, [Forum()])
@@ -15,7 +15,7 @@ import json
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any, Protocol
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +23,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 FORMAT = "listening_runs"
 SCHEMA = "local_seq long, run_id string, brand string, source string, no_list boolean, index int, item string"
-PARTITION_BYTES = 64 << 20
+RUNS_PER_TASK = 2_000
+#: As many tasks are made of fewer runs.
+_MIN_TASKS = 64
 
 # Keys that lead from a body to its item list, in the order they are tried (as in ``payloads``).
 _PATHS = (
@@ -59,7 +61,10 @@ def listed_items(body: str) -> list[Any] | None:
 
 @dataclass
 class _Runs(InputPartition):
-    files: list[tuple[str, int, str, str, str]]  # file, local_seq, run_id, brand, source
+    folder: str  # of the brand
+    brand: str
+    source: str
+    runs: list[str]  # names of folders below it
 
 
 def _file_system(path: str):
@@ -89,50 +94,62 @@ class _Reader(DataSourceReader):
     def _passes(self, name: str, value) -> bool:
         return name not in self.wanted or value in self.wanted[name]
 
-    def _folders(self, files, at: str, key: str) -> Iterator[tuple[str, str]]:
+    def _folders(self, files, at: str, key: str) -> list[str]:
         from pyarrow import fs
 
-        for info in sorted(files.get_file_info(fs.FileSelector(at)), key=lambda i: i.path):
-            name = info.base_name
-            if info.type == fs.FileType.Directory and name.startswith(f"{key}="):
-                yield info.path, unquote(name.partition("=")[2])
+        found = files.get_file_info(fs.FileSelector(at))
+        return sorted(i.base_name for i in found if i.type == fs.FileType.Directory and i.base_name.startswith(f"{key}="))
 
-    def partitions(self) -> Sequence[InputPartition]:
-        from pyarrow import fs
+    @staticmethod
+    def _run(name: str) -> tuple[int, str]:
+        seq, _, run_id = _value(name).partition("-")
+        return int(seq), run_id
 
+    def partitions(self) -> Sequence[InputPartition]:
         files, root = _file_system(self.path)
-        out, own, size = [], [], 0
-        for source_at, source in self._folders(files, root, "source"):
+        found = []
+        for source_name in self._folders(files, root, "source"):
+            source = _value(source_name)
             if not self._passes("source", source):
                 continue
-            for brand_at, brand in self._folders(files, source_at, "brand"):
+            for brand_name in self._folders(files, f"{root}/{source_name}", "brand"):
+                brand = _value(brand_name)
                 if not self._passes("brand", brand):
                     continue
-                for run_at, run in self._folders(files, brand_at, "run"):
-                    seq, _, run_id = run.partition("-")
-                    if not (self._passes("local_seq", int(seq)) and self._passes("run_id", run_id)):
-                        continue
-                    for info in files.get_file_info(fs.FileSelector(run_at)):
-                        if info.type == fs.FileType.File and not info.base_name.startswith(("_", ".")):
-                            if own and size + info.size > PARTITION_BYTES:
-                                out.append(_Runs(own))
-                                own, size = [], 0
-                            own.append((info.path, int(seq), run_id, brand, source))
-                            size += info.size
-        return [*out, _Runs(own)]
+                at = f"{root}/{source_name}/{brand_name}"
+                runs = self._folders(files, at, "run")
+                if "local_seq" in self.wanted or "run_id" in self.wanted:
+                    known = ((name, *self._run(name)) for name in runs)
+                    runs = [n for n, seq, run_id in known if self._passes("local_seq", seq) and self._passes("run_id", run_id)]
+                found.append((at, brand, source, runs))
+        total = sum(len(runs) for *_, runs in found)
+        each = min(RUNS_PER_TASK, -(-total // _MIN_TASKS)) or 1
+        out = [_Runs(at, brand, source, runs[i : i + each]) for at, brand, source, runs in found for i in range(0, len(runs), each)]
+        return out or [_Runs(root, "", "", [])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        from pyarrow import fs
+
         files, _ = _file_system(self.path)
-        for path, seq, run_id, brand, source in partition.files:
-            with files.open_input_stream(path) as stream:
-                body = stream.read().decode("utf-8", "replace")
-            adapter = self.adapters.get(source)
-            items = listed_items(body) if adapter is None else adapter.items(body)
-            if items is None:
-                yield (seq, run_id, brand, source, True, None, None)
-                continue
-            for index, item in enumerate(items):
-                yield (seq, run_id, brand, source, False, index, json.dumps(item, ensure_ascii=False))
+        brand, source = partition.brand, partition.source
+        adapter = self.adapters.get(source)
+        for name in partition.runs:
+            seq, run_id = self._run(name)
+            for info in files.get_file_info(fs.FileSelector(f"{partition.folder}/{name}")):
+                if info.type != fs.FileType.File or info.base_name.startswith(("_", ".")):
+                    continue
+                with files.open_input_stream(info.path) as stream:
+                    body = stream.read().decode("utf-8", "replace")
+                items = listed_items(body) if adapter is None else adapter.items(body)
+                if items is None:
+                    yield (seq, run_id, brand, source, True, None, None)
+                    continue
+                for index, item in enumerate(items):
+                    yield (seq, run_id, brand, source, False, index, json.dumps(item, ensure_ascii=False))
+
+
+def _value(name: str) -> str:
+    return unquote(name.partition("=")[2])
 
 
 class RunFolders(DataSource):
@@ -168,7 +185,28 @@ def write_runs(runs: DataFrame, path: str) -> None:
     """Run bodies (local_seq, run_id, brand, source, body) laid out for the data source, one folder a run."""
     run = F.concat(F.col("local_seq").cast("string"), F.lit("-"), F.col("run_id"))
     flat = runs.select("source", "brand", run.alias("run"), F.regexp_replace("body", r"[\r\n]", " ").alias("value"))
-    flat.write.partitionBy("source", "brand", "run").text(path)
+    files, root = _file_system(path)
+    if files.get_file_info(root).type.name != "NotFound":
+        raise ValueError(f"{path} exists")
+    files.create_dir(root, recursive=True)
+
+    def write(rows: Iterator) -> None:
+        # Straight to the run's folder: a task that is run again overwrites its own files, and nothing is renamed.
+        from pyspark import TaskContext
+
+        files, _ = _file_system(path)
+        part = TaskContext.get().partitionId()
+        for i, row in enumerate(rows):
+            folder = "/".join([root, *(f"{key}={_written(row[key])}" for key in ("source", "brand", "run"))])
+            files.create_dir(folder, recursive=True)
+            with files.open_output_stream(f"{folder}/part-{part:05d}-{i}.json") as out:
+                out.write(((row["value"] or "") + "\n").encode())
+
+    flat.foreachPartition(write)
+
+
+def _written(name: str | None) -> str:
+    return quote(name, safe="") if name else "__HIVE_DEFAULT_PARTITION__"
 
 
 __all__ = ["Adapter", "FORMAT", "RunFolders", "as_items", "install", "listed_items", "write_runs"]

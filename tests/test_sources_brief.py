@@ -324,6 +324,22 @@ def test_own_adapter_through_the_data_source(spark, folder):
         del normalise.READINGS["forum"]
 
 
+def test_run_folders_are_one_file_a_body_and_bounded_tasks(spark, folder, monkeypatch):
+    from pathlib import Path
+
+    from earshot.sources import runs as N
+
+    rows = [(i, f"r/{i % 9}", "A b=c", "news", json.dumps([{"id": i}])) for i in [*range(9), 4]]
+    N.write_runs(spark.createDataFrame(rows, "local_seq long, run_id string, brand string, source string, body string"), f"{folder}/runs")
+    assert len([f for f in Path(f"{folder}/runs").rglob("*") if f.is_file()]) == 10
+    monkeypatch.setattr(N, "RUNS_PER_TASK", 4)
+    monkeypatch.setattr(N, "_MIN_TASKS", 1)
+    assert sorted(len(p.runs) for p in N._Reader(f"{folder}/runs", {}).partitions()) == [1, 4, 4]
+    N.install(spark, [])
+    got = spark.read.format(N.FORMAT).load(f"{folder}/runs").collect()
+    assert sorted((r["local_seq"], r["run_id"], r["brand"], r["index"]) for r in got) == sorted((r[0], r[1], "A b=c", 0) for r in rows)
+
+
 def test_terms_as_a_table_give_the_same_mentions(spark):
     from earshot.operators import terms as D
 
