@@ -20,6 +20,15 @@ def test_stretches_against_hashlib(text):
         assert D.stretch(text, first, last, n).tolist() == plain(text, first, last, n)
 
 
+def test_draws_in_long_ranges_are_counted_by_their_ends():
+    at = np.sort(np.random.default_rng(4).integers(0, 1000, 5000))
+    starts, ends = np.array([0, 100, 400, 990]), np.array([100, 130, 700, 1000])
+    counts, others = D.apart(at, starts, ends)
+    inside = [(at >= lo) & (at < hi) for lo, hi in zip(starts, ends)]
+    assert counts.tolist() == [int(i.sum()) for i in inside]
+    assert others.tolist() == at[~np.any(inside, axis=0)].tolist()
+
+
 def test_draws_are_packed_not_sent_one_by_one(spark):
     n, width = 2_500_000, D.chunk_width(200)
     starts, ends = np.array([0]), np.array([500_000])
