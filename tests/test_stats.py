@@ -173,3 +173,11 @@ def test_events_leave_the_tested_day_out(spark):
 def test_rows_of_a_brand_are_not_exchanged_into_one_task(plan):
     steps = plan.rows._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in steps and "SortMergeJoin" not in steps
+
+
+def test_verdicts_draw_no_single_rows(spark, monkeypatch):
+    """Verdicts and share of voice read the draws of clusters; single rows cost most draws."""
+    fresh = StatsPlan(rows(spark), R.brand_table(spark, ["a", "b", "c"]), ["reddit", "news"], NOW, b=20)
+    monkeypatch.setattr(fresh, "iid_draws", lambda: pytest.fail("rows were drawn"))
+    assert fresh.tests().count() == 6 and fresh.share_of_voice().count() == 3
+    fresh.close()
