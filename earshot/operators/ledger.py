@@ -32,7 +32,7 @@ def priced_calls(calls: DataFrame, rates: DataFrame) -> DataFrame:
 
 def fold_log(log: DataFrame) -> DataFrame:
     """W02, SRC16. The last line per ``local_seq``, by ``write_seq``."""
-    return keep_last(log, ["local_seq"], ["write_seq"]).drop("write_seq")
+    return keep_last(log, ["local_seq"], ["write_seq"], with_order=False)
 
 
 def in_window(listing: DataFrame, started: datetime, reconciled: datetime) -> DataFrame:

@@ -13,30 +13,36 @@ from earshot.settings import checkpoint_dir
 
 
 _BATCH = "batch bigint, batch_line bigint"
+#: Lines of a part file, at most: a compressed file is read by one task.
+LINES_PER_FILE = 500_000
 
 
 def _line_order(df: DataFrame) -> DataFrame:
     """``write_seq`` of JSON lines: the batch and line that the writer put into them.
 
     Part files of an append have random names, so their order says nothing; writers number their
-    batches. Lines without a number are older than all batches and follow file, block and position.
+    batches. Lines without a number are older than all batches and follow file, block and position; numbered
+    lines carry no file name, which would be most of what an exchange of them sends.
     """
+    unnumbered = F.col("batch").isNull()
     return df.withColumn(
         "write_seq",
         F.struct(
             F.coalesce("batch", F.lit(-1)).cast("long").alias("batch"),
             F.coalesce("batch_line", F.lit(-1)).cast("long").alias("batch_line"),
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
+            F.when(unnumbered, F.col("_metadata.file_path")).alias("file"),
+            F.when(unnumbered, F.col("_metadata.file_block_start")).alias("block"),
             F.monotonically_increasing_id().alias("line"),
         ),
     ).drop("batch", "batch_line")
 
 
-def _numbered(df: DataFrame, batch: int) -> DataFrame:
+def _append(df: DataFrame, path: str, batch: int) -> None:
+    """Numbered lines, compressed: field names are most of a line."""
     if batch < 0:
         raise ValueError("batches are numbered from 0 on")
-    return df.withColumns({"batch": F.lit(batch).cast("long"), "batch_line": F.monotonically_increasing_id()})
+    lines = df.withColumns({"batch": F.lit(batch).cast("long"), "batch_line": F.monotonically_increasing_id()})
+    lines.write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", LINES_PER_FILE).json(path)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -67,7 +73,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     schema = f"brand string, label struct<{_nested(schemas.LABEL)}>, {_BATCH}"
     lines = spark.read.schema(schema).json(path)
     flat = _line_order(lines.select("*", "_metadata")).select("brand", "write_seq", "label.*")
-    return keep_last(flat, ["mention_id", "brand"], ["write_seq"]).drop("write_seq")
+    return keep_last(flat, ["mention_id", "brand"], ["write_seq"], with_order=False)
 
 
 def _nested(schema: str) -> str:
@@ -81,13 +87,13 @@ def write_labels(labels: DataFrame, path: str, batch: int) -> None:
     """SRC15. Append JSON lines of ``{brand, label}``; lines of a higher batch win."""
     names = [c for c in schemas.columns(schemas.LABEL) if c in labels.columns]
     lines = labels.select("brand", F.struct(*names).alias("label"))
-    _numbered(lines, batch).write.mode("append").json(path)
+    _append(lines, path, batch)
 
 
 def write_log(log: DataFrame, path: str, batch: int) -> None:
     """SRC16. Append lines of the run log; lines of a higher batch are later."""
     names = [c for c in schemas.columns(schemas.RUN) if c in log.columns]
-    _numbered(log.select(*names), batch).write.mode("append").json(path)
+    _append(log.select(*names), path, batch)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

@@ -210,6 +210,26 @@ def test_later_batches_win(spark, folder):
     assert back.where("status = 'COMPLETED'").count() == back.count() == 20
 
 
+def test_numbered_lines_are_short(spark, folder, monkeypatch):
+    """Compressed part files of a bounded length; numbered lines carry no file name, winners no order."""
+    from pathlib import Path
+
+    from earshot.operators.ranking import keep_last
+    from earshot.sources import tables as T
+
+    monkeypatch.setattr(T, "LINES_PER_FILE", 30)
+    log = spark.createDataFrame([(i, "PENDING") for i in range(100)], "local_seq long, status string")
+    T.write_log(log.coalesce(1), f"{folder}/log", 0)
+    parts = list(Path(f"{folder}/log").glob("part-*"))
+    assert len(parts) == 4 and all(p.name.endswith(".json.gz") for p in parts)
+    spark.createDataFrame([(7, "OLD")], "local_seq long, status string").write.mode("append").json(f"{folder}/log")
+    lines = T.read_log(spark, f"{folder}/log")
+    assert lines.where("write_seq.file IS NOT NULL").select("status").collect() == [("OLD",)]
+    assert lines.select("write_seq").distinct().count() == 101
+    last = keep_last(lines.select("local_seq", "status", "write_seq"), ["local_seq"], ["write_seq"], with_order=False)
+    assert last.columns == ["local_seq", "status"] and last.where("status = 'PENDING'").count() == 100
+
+
 def test_ledger_state_is_read_from_the_state_alone(spark, folder):
     schema = "local_seq long, status string, n long"
     log = lambda: spark.readStream.schema(schema).json(f"{folder}/in").withColumn("write_seq", F.struct("n"))
