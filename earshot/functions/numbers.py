@@ -142,21 +142,18 @@ def extract_numbers(text, spoken: bool = False) -> Column:
     return F.transform(F.regexp_extract_all(_col(text), pattern, F.lit(1)), token)
 
 
-def match_candidates(token: Column) -> Column:
-    """J14. Array of {value, places}: what the token may equal; null places means exactly."""
+def match_forms(token: Column) -> Column:
+    """J14. Array of {value, places}: a value that the token may equal, or that a known value rounded to ``places`` may."""
     value, percent, decimals = token["value"], token["percent"], token["decimals"]
 
-    def option(v, places):
+    def form(v, places):
         return F.struct(v.alias("value"), places.cast("int").alias("places"))
 
-    none = F.lit(None)
-    options = F.array(
-        option(value, none),
-        F.when(percent, option(hundredth(value), none)),
-        F.when(percent | (decimals >= 1), option(value, decimals)),
-        F.when(percent, option(hundredth(value), decimals + 2)),
+    forms = F.array(
+        form(value, F.when(percent | (decimals >= 1), decimals)),
+        F.when(percent, form(hundredth(value), decimals + 2)),
     )
-    return F.filter(options, lambda o: o["value"].isNotNull())
+    return F.filter(forms, lambda o: o["value"].isNotNull())
 
 
 def strip_citations(text, unknown) -> Column:

@@ -9,7 +9,7 @@ from earshot.functions import text as X
 from earshot.operators.frame import relevant_for_stats
 from earshot.operators.ranking import keep_first
 from earshot.operators.vectors import cosine_top_k
-from earshot.settings import keep
+from earshot.settings import keep, store
 
 
 def brand_rows(labelled: DataFrame, brand: str) -> DataFrame:
@@ -138,41 +138,40 @@ def number_checks(
     """J14. One row per distinct number text of an answer, and whether it is backed.
 
     A number passes when an available value equals it (a percentage also as a proportion), or, if
-    it is written with decimals or as a percentage, when an available value rounds to it. Both are
-    equi-joins on values in plain form, of any length: as they are, and rounded to the places that
-    the scope's answers ask for, where that is fewer than a value has. ``available`` has ``value``
-    (a number or its text) and the ``scope`` columns both sides share.
+    it is written with decimals or as a percentage, when an available value rounds to it. Values are in
+    plain form, of any length; each is known as it is, and rounded to the places that any answer asks
+    for, where that is fewer than it has. A number and what is known meet once, by an equi-join on the
+    value. ``available`` has ``value`` (a number or its text) and the ``scope`` columns both sides share;
+    an answer lies in one scope.
     """
     scope = list(scope)
     source = F.col(text) if spoken else N.clean_for_numbers(text)
     tokens = answers.select(
         "answer_id", *scope, F.posexplode(N.extract_numbers(source, spoken)).alias("position", "token")
-    )
-    # One row per distinct number of an answer; kept, since both joins and the result read it.
-    tokens = keep(
-        tokens.groupBy("answer_id", *scope, F.col("token.text").alias("number")).agg(
-            F.min("position").alias("position"), F.first("token").alias("token")
-        )
-    )
+    ).select("answer_id", *scope, "position", "token.*")
+    # Numbers are read from the texts once; as files they take a small part of a checkpoint.
+    tokens = store(tokens)
+    # What a number may equal, and the places to which a known value may be rounded for it.
+    token = F.struct("value", "percent", "decimals")
     options = tokens.select(
-        "answer_id", "position", "number", *scope, F.explode(N.match_candidates(F.col("token"))).alias("o"),
+        "answer_id", "position", F.col("text").alias("number"), *scope, F.explode(N.match_forms(token)).alias("o")
     ).select("answer_id", "position", "number", *scope, "o.value", "o.places")
-    wanted = options.select(*scope, "value", "places").distinct()
-    values = available.select(*scope, N.number_text("value").alias("value")).filter("value is not null").distinct()
-    # What equals a written number also rounds to it.
-    exact = wanted.join(values, [*scope, "value"], "left_semi")
-    asked = wanted.filter("places is not null")
     # Places that anybody wrote: as many as the longest number has digits, at most.
-    places = asked.groupBy(*scope).agg(F.collect_set("places").alias("_all"))
-    held = values.join(places, scope) if scope else values.crossJoin(F.broadcast(places))  # one row
-    fewer = F.explode(F.filter("_all", lambda p: p < N.places_of(F.col("value"))))
-    cut = held.select(*scope, "value", fewer.alias("places")).select(*scope, N.rounded(F.col("value"), F.col("places")).alias("value"), "places")
-    near = asked.join(cut, [*scope, "value", "places"], "left_semi")
-    at = F.coalesce("places", F.lit(-1)).alias("_at")
-    matched = exact.unionByName(near).select(*scope, "value", at, F.lit(True).alias("_ok")).distinct()
-    joined = options.withColumn("_at", at).join(matched, [*scope, "value", "_at"], "left")
-    verified = F.bool_or(F.coalesce("_ok", F.lit(False)))
-    return joined.groupBy("answer_id", "position", "number").agg(verified.alias("verified"))
+    asked = tokens.select(F.inline(N.match_forms(token))).agg(F.collect_set("places").alias("_all"))  # one row
+    # A value without a number is null and meets nothing. Each value is rounded once, inside the array.
+    values = available.select(*scope, N.number_text("value").alias("value"))
+    form = lambda v, p: F.struct(v.alias("value"), p.cast("int").alias("at"))
+    fewer = F.filter("_all", lambda p: p < N.places_of(F.col("value")))
+    cut = F.transform(fewer, lambda p: form(N.rounded(F.col("value"), p), p))
+    forms = F.concat(F.array(form(F.col("value"), F.lit(None))), cut)
+    known = values.crossJoin(F.broadcast(asked)).select(*scope, F.inline(forms))
+    # What equals a written number also rounds to it.
+    met = known.groupBy(*scope, "value").agg(F.bool_or(F.col("at").isNull()).alias("_equal"), F.collect_set("at").alias("_at"))
+    joined = options.join(met, [*scope, "value"], "left")
+    ok = F.coalesce(F.col("_equal") | F.array_contains("_at", F.col("places")), F.lit(False))
+    return joined.groupBy("answer_id", "number").agg(
+        F.min("position").alias("position"), F.bool_or(ok).alias("verified")
+    ).select("answer_id", "position", "number", "verified")
 
 
 def check_answers(

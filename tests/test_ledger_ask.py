@@ -142,6 +142,17 @@ def test_numbers_with_many_places_are_told_apart(spark):
     assert got == {1: False, 2: True, 3: True, 4: False}
 
 
+def test_numbers_meet_known_values_once(spark):
+    """One exchange for the known values, one for the numbers, one for the result."""
+    answers = spark.createDataFrame([("q", "a", "up 12.5% to 3.14"), ("r", "b", "up 12.5% to 3.14, or 3.14")], "answer_id string, brand string, answer string")
+    have = spark.createDataFrame([("a", "0.1249"), ("a", "3.1415"), ("b", "3.2"), ("b", None)], "brand string, value string")
+    got = A.number_checks(answers, have, ["brand"])
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 3
+    assert {(r.answer_id, r.position, r.number): r.verified for r in got.collect()} == {
+        ("q", 0, "12.5%"): True, ("q", 1, "3.14"): True, ("r", 0, "12.5%"): False, ("r", 1, "3.14"): False,
+    }
+
+
 def test_numbers_of_any_length(spark):
     known = "1234567890123456789.0123456789012345678901234"
     true = ["1,234,567,890,123,456,789.0123456789012345678901234", "1234567890123456789.01234567890123456789012340", "1234567890123456789.012346", "1234567890123456789.0"]
