@@ -170,3 +170,40 @@ def test_rounds_do_not_multiply_the_planned_size(spark, monkeypatch):
     unit = V.with_unit_vectors(frame(spark, cloud(9, 30)))
     V.average_linkage(unit, 0.35, block=16, small=0)
     assert len(seen) > 2 and max(seen) < 64
+
+
+def test_vectors_are_sent_by_runs_of_blocks_not_by_cells(spark, monkeypatch):
+    """With a wide cut each cell is near each other; a visit of all vectors to all cells was 40 times this table."""
+    points = np.random.default_rng(3).normal(size=(300, 8))
+    unit = V.with_unit_vectors(frame(spark, points))
+    rows = V.distinct_vectors(unit).drop("vkey").cache()
+    monkeypatch.setattr(V, "PLAIN_BLOCKS", 1)
+    monkeypatch.setattr(V, "SIDE_BYTES", 8 * 8 * 50)
+    monkeypatch.setattr(V, "SLICE", 64)
+    held = F.sum(F.size("cids"))
+    tasks = V.block_tasks(rows, 0.8, 10).groupBy(*V._TASK, "_side").agg(held.alias("n"), F.sum(F.size("meets")).alias("met")).collect()
+    runs = len({t["_cell"] for t in tasks})
+    assert 300 / 50 <= runs <= 12 and sum(t["n"] for t in tasks) <= 300 * runs and max(t["n"] for t in tasks) <= 60
+    u = points / np.linalg.norm(points, axis=1, keepdims=True)
+    near = 1 - u @ u.T <= 0.8
+    got = V.close_pairs(unit, 0.8, block=10).collect()
+    assert sorted((int(r["a"][1:]), int(r["b"][1:])) for r in got) == [(i, j) for i in range(300) for j in range(i + 1, 300) if near[i, j]]
+    assert groups_of(V.average_linkage(unit, 0.5, block=10, small=0)) == groups_of(V.average_linkage(unit, 0.5))
+
+
+def test_blocks_without_near_cells_are_not_compared(spark):
+    unit = V.with_unit_vectors(frame(spark, groups_in_space()))
+    tasks = V.block_tasks(V.distinct_vectors(unit).drop("vkey"), 0.1, 16).filter("_side = 0")
+    blocks, met = tasks.agg(F.countDistinct("_block"), F.sum(F.size("meets"))).first()
+    assert blocks >= 27 and met < 0.6 * blocks * (blocks + 1) / 2
+
+
+def test_of_equal_distances_the_lowest_pair_is_taken(spark, monkeypatch):
+    """Axes and their opposites: all others but the opposite are at distance 1, also in other blocks and runs."""
+    points = np.concatenate([-np.eye(6), np.eye(6)])
+    rows = V.distinct_vectors(V.with_unit_vectors(frame(spark, points))).drop("vkey")
+    monkeypatch.setattr(V, "SIDE_BYTES", 64)
+    monkeypatch.setattr(V, "SLICE", 4)
+    got = {r["cid"]: (r["a"], r["b"]) for r in V._nearest(rows, 1.0, 3).collect()}
+    lowest = {i: next(j for j in range(12) if j not in (i, (i + 6) % 12)) for i in range(12)}
+    assert got == {f"m{i:03d}": (f"m{min(i, j):03d}", f"m{max(i, j):03d}") for i, j in lowest.items()}
