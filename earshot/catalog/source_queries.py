@@ -11,6 +11,7 @@ from earshot.functions import word_lists
 from earshot.operators import counts as C
 from earshot.operators import frame as R
 from earshot.operators import terms as D
+from earshot.settings import store
 from earshot.sources import normalise as M
 from earshot.sources import payloads as P
 from earshot.sources import runs as N
@@ -447,9 +448,9 @@ SELECT doc_id, len(list_distinct(list_filter(toks, lambda t: regexp_full_match(t
 )
 def term_table(spark, sf_dir):
     """Each source is a brand whose terms are all plain words of its documents, some thousands."""
-    d = V.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("brand"), X.normalize("text").alias("norm"))
-    words = d.select("brand", F.explode(F.regexp_extract_all("norm", F.lit("([a-z]+)"), F.lit(1))).alias("alias"))
-    plain = words.filter(F.char_length("alias") >= 3).distinct()
+    d = store(V.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("brand"), X.normalize("text").alias("norm")))
+    words = F.array_distinct(F.regexp_extract_all("norm", F.lit("([a-z]{3,})"), F.lit(1)))
+    plain = d.select("brand", F.explode(words).alias("alias")).distinct()
     terms = plain.select("brand", F.col("alias").alias("term"), F.char_length("alias").alias("place"))
     got = D.match_table(d, terms, ["doc_id"], "norm", normalized=True)
     n = F.size("matched_terms").cast("long")
