@@ -207,3 +207,30 @@ def test_of_equal_distances_the_lowest_pair_is_taken(spark, monkeypatch):
     got = {r["cid"]: (r["a"], r["b"]) for r in V._nearest(rows, 1.0, 3).collect()}
     lowest = {i: next(j for j in range(12) if j not in (i, (i + 6) % 12)) for i in range(12)}
     assert got == {f"m{i:03d}": (f"m{min(i, j):03d}", f"m{max(i, j):03d}") for i, j in lowest.items()}
+
+
+def test_only_fresh_clusters_look_for_a_neighbour_again(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(60, 4))
+    rows = V.distinct_vectors(V.with_unit_vectors(frame(spark, points))).drop("vkey")
+    want = {r["cid"]: (r["a"], r["b"]) for r in V._nearest(rows, 0.9, 8).collect()}
+    known = spark.createDataFrame([(c, *ab, c < "m045") for c, ab in want.items()], "cid string, a string, b string, old boolean")
+    some = rows.join(known, "cid", "left").withColumn("fresh", ~F.coalesce("old", F.lit(False)))
+    marked = some.withColumns({"a": F.when(~F.col("fresh"), F.lit("kept")), "b": F.when(~F.col("fresh"), F.col("b"))}).drop("old")
+    got = {r["cid"]: (r["a"], r["b"]) for r in V._nearest(marked, 0.9, 8).collect()}
+    assert got == {c: ("kept", ab[1]) if c < "m045" else ab for c, ab in want.items()}
+
+
+def test_rounds_look_again_for_few_clusters(spark, monkeypatch):
+    """After the first round only clusters that merged, or whose neighbour did, look for one; before, all did each round."""
+    fresh, nearest = [], V._nearest
+
+    def watched(rows, cut, block):
+        fresh.append((rows.count(), rows.filter("fresh").count() if "fresh" in rows.columns else rows.count()))
+        return nearest(rows, cut, block)
+
+    monkeypatch.setattr(V, "_nearest", watched)
+    points = cloud(6, 90)
+    unit = V.with_unit_vectors(frame(spark, points))
+    assert groups_of(V.average_linkage(unit, 0.35, block=16, small=0)) == greedy(points, 0.35)
+    assert len(fresh) > 2 and sum(f for _, f in fresh[1:]) < 0.9 * sum(n for n, _ in fresh[1:])
