@@ -23,7 +23,7 @@ _T0 = 1704067200
 
 
 def as_items(rows, source, item, local_seq, index):
-    """Rows with a struct ``item`` as payload items."""
+    """Rows with a struct ``item`` as payload items; a null field is written, as one left out would be drift."""
     return rows.select(
         local_seq.cast("long").alias("local_seq"),
         F.concat(F.lit("run-"), local_seq.cast("string")).alias("run_id"),
@@ -31,7 +31,7 @@ def as_items(rows, source, item, local_seq, index):
         F.lit(source).alias("source"),
         F.lit(False).alias("no_list"),
         index.alias("index"),
-        F.parse_json(F.to_json(item)).alias("item"),
+        F.parse_json(F.to_json(item, {"ignoreNullFields": "false"})).alias("item"),
     )
 
 

@@ -369,3 +369,14 @@ def test_terms_as_a_table_give_the_same_mentions(spark):
     one = M.mentions(M.parse(items, "reddit", terms)).orderBy("raw_ref", "brand").collect()
     two = M.mentions(M.parse(items, "reddit", D.brand_terms(D.brand_aliases(spark, terms)))).orderBy("raw_ref", "brand").collect()
     assert one == two and len(one) > 10
+
+
+def test_a_null_text_does_not_void_its_run(spark, folder):
+    from earshot.catalog import QUERIES
+
+    rows = [(i, None if i == 105 else "a word of the b", "en", "src1", 15) for i in range(1, 200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    # 105 and 8 are items of one run, 50, 100 and 150 are errors on facebook.
+    got = {r["source"]: r["n"] for r in QUERIES["u01_all_mentions"](spark, folder).collect()}
+    assert got == {"youtube": 198, "tiktok": 198, "facebook": 195}
+    assert {r["reason"] for r in QUERIES["src13_run_outcomes"](spark, folder).collect()} == {"none"}
